@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_decontaminate"]
+MODULES = ["q_decontaminate", "q_toxicity", "q_jaccard"]
 
 
 def _modules():
