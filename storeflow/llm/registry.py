@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_decontaminate", "q_toxicity", "q_jaccard"]
+MODULES = ["q_decontaminate", "q_toxicity", "q_jaccard", "q_licenses", "q_packing", "q_urlfilter", "q_chat"]
 
 
 def _modules():
