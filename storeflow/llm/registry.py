@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_decontaminate", "q_toxicity", "q_jaccard", "q_licenses", "q_packing", "q_urlfilter", "q_chat"]
+MODULES = ["q_decontaminate", "q_toxicity", "q_jaccard", "q_licenses", "q_packing", "q_urlfilter", "q_chat", "q_tokencount", "q_warc", "q_fingerprints"]
 
 
 def _modules():
@@ -18,8 +18,7 @@ def _pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    found = {k: v for m in _modules() for k, v in m.QUERIES.items()}
-    return found
+    return {k: v for m in _modules() for k, v in m.QUERIES.items()} | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict:
