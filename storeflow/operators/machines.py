@@ -1,0 +1,192 @@
+"""Grouped state machines whose rules depend on their own output. Each step function is plain Python and is shared with
+the streaming form; groups are one lane, camera or shelf between two natural resets."""
+
+from __future__ import annotations
+
+from collections import deque
+from dataclasses import dataclass, field
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+@dataclass
+class Hysteresis:
+    """k-of-n alerts: start on enough hits of the last n, end after m misses in a row, then cool down.
+
+    Scores keep entering the window while cooling; an ending empties it, and the ending sample starts nothing.
+    """
+
+    threshold: float = 0.6
+    window: int = 5
+    min_hits: int = 3
+    end_below: int = 4
+    cooldown: int = 20_000
+    recent: deque = field(default_factory=deque)
+    active: dict | None = None
+    below: int = 0
+    until: int | None = None
+
+    def step(self, at: int, score: float) -> dict | None:
+        """The event that this sample ends, if any."""
+        hit = score >= self.threshold
+        self.recent.append(hit)
+        while len(self.recent) > self.window:
+            self.recent.popleft()
+        if self.active is None:
+            if (self.until is None or at >= self.until) and sum(self.recent) >= self.min_hits:
+                self.active, self.below = {"start_ms": at, "end_ms": None, "peak": score, "hits": sum(self.recent)}, 0
+            return None
+        self.active["peak"] = max(self.active["peak"], score)
+        if hit:
+            self.active["hits"] += 1
+            self.below = 0
+            return None
+        self.below += 1
+        if self.below < self.end_below:
+            return None
+        ended, self.active = self.active | {"end_ms": at}, None
+        self.below, self.until = 0, at + self.cooldown
+        self.recent.clear()
+        return ended
+
+
+def alert_intervals(scores: DataFrame, key: str, time: str, tie: str, score: str, **params) -> DataFrame:
+    """Alert events of each key: start_ms, end_ms (null while open), peak, hits."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([time, tie])
+        m = Hysteresis(**params)
+        out = [e for t, s in zip(pdf[time], pdf[score], strict=True) if (e := m.step(int(t), float(s)))]
+        if m.active:
+            out.append(m.active)
+        frame = pd.DataFrame(out, columns=["start_ms", "end_ms", "peak", "hits"]).astype({"end_ms": "Int64"})
+        frame.insert(0, key, pdf[key].iloc[0])
+        return frame
+
+    kind = scores.schema[key].dataType.simpleString()
+    return scores.select(key, time, tie, score).groupBy(key).applyInPandas(run, f"{key} {kind}, start_ms long, end_ms long, peak double, hits int")
+
+
+@dataclass
+class LaneCounter:
+    """Item count of one lane from distances.
+
+    A median of the last samples is compared with the reference distance of each count; a candidate is confirmed after
+    enough stable time and samples within a spread. A gap in time restarts stability, and the count confirmed after an
+    unobserved gap is a RESYNC, never a movement. Suppressed samples (restocking) also lead to a RESYNC.
+    """
+
+    refs: tuple[float, ...]
+    tolerance: float = 15.0
+    hysteresis: float = 10.0
+    stable_ms: int = 1200
+    min_samples: int = 5
+    spread: float = 10.0
+    max_gap: int = 600
+    resync_gap: int = 5000
+    error_after: int = 5
+    median: int = 5
+    low: float = 0.0
+    high: float = 1e9
+    last: deque = field(default_factory=deque)
+    count: int | None = None
+    candidate: int | None = None
+    since: int = 0
+    seen: list = field(default_factory=list)
+    at: int | None = None
+    bad: int = 0
+    failed: bool = False
+    resync: bool = False
+
+    def _event(self, at, kind, before, after):
+        return {"at_ms": at, "event": kind, "before": before, "after": after, "quantity": abs(after - before) if None not in (before, after) else 0}
+
+    def step(self, at: int, mm: float | None, restock: bool = False) -> list[dict]:
+        out = []
+        if mm is None or mm != mm or not self.low <= mm <= self.high:
+            self.bad += 1
+            self.candidate = None
+            if self.bad >= self.error_after and not self.failed:
+                self.failed = True
+                out.append(self._event(at, "SENSOR_ERROR", self.count, self.count))
+            return out
+        if self.failed:
+            self.failed, self.resync = False, True
+            out.append(self._event(at, "RECOVERED", self.count, self.count))
+        self.bad = 0
+        if self.at is not None and at - self.at > self.max_gap:
+            self.candidate = None
+            self.last.clear()
+            if at - self.at > self.resync_gap:
+                self.resync = True
+        self.at = at
+        if restock:
+            self.candidate, self.resync = None, True
+            return out
+        self.last.append(mm)
+        while len(self.last) > self.median:
+            self.last.popleft()
+        value = sorted(self.last)[len(self.last) // 2]
+        near = min(range(len(self.refs)), key=lambda k: (abs(self.refs[k] - value), k))
+        room = self.tolerance + (self.hysteresis if near == self.count else 0)
+        if abs(self.refs[near] - value) > room:
+            self.candidate = None
+            return out
+        if near != self.candidate:
+            self.candidate, self.since, self.seen = near, at, []
+        self.seen.append(value)
+        if max(self.seen) - min(self.seen) > self.spread:
+            self.since, self.seen = at, [value]
+        if at - self.since >= self.stable_ms and len(self.seen) >= self.min_samples and (near != self.count or self.resync):
+            kind = "INIT" if self.count is None else "RESYNC" if self.resync else "REMOVE" if near < self.count else "ADD"
+            if not (kind == "RESYNC" and near == self.count):
+                out.append(self._event(at, kind, self.count, near))
+            self.count, self.resync = near, False
+        return out
+
+
+LANE_EVENTS = "at_ms long, event string, before int, after int, quantity int"
+
+
+def lane_events(samples: DataFrame, lane: str, time: str, tie: str, distance: str, refs: list[float], restock: str | None = None, **params) -> DataFrame:
+    """Count changes of each lane; samples are (lane, time, tie, distance and perhaps a restock flag)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([time, tie])
+        m = LaneCounter(tuple(refs), **params)
+        flags = pdf[restock] if restock else [False] * len(pdf)
+        out = [e for t, v, r in zip(pdf[time], pdf[distance], flags, strict=True) for e in m.step(int(t), None if pd.isna(v) else float(v), bool(r))]
+        frame = pd.DataFrame(out, columns=["at_ms", "event", "before", "after", "quantity"]).astype({"before": "Int32", "after": "Int32"})
+        frame.insert(0, lane, pdf[lane].iloc[0])
+        return frame
+
+    kind = samples.schema[lane].dataType.simpleString()
+    cols = [lane, time, tie, distance] + ([restock] if restock else [])
+    return samples.select(*cols).groupBy(lane).applyInPandas(run, f"{lane} {kind}, {LANE_EVENTS}")
+
+
+def level_calibration(samples: DataFrame, keys: list[str], time: str, distance: str, settle: int = 2500, measure: int = 5000, spread: float = 10.0) -> DataFrame:
+    """Median and 2 %/98 % bounds of the first undisturbed measuring time after settling; null where there is none."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(time)
+        t, v = pdf[time].to_numpy(), pdf[distance].to_numpy()
+        start = low = high = None
+        begin = 0
+        row = (None, None, None, 0)
+        for i in range(len(t)):
+            if start is None or max(high, v[i]) - min(low, v[i]) > spread:
+                start, low, high, begin = t[i], v[i], v[i], i
+            low, high = min(low, v[i]), max(high, v[i])
+            if t[i] - start >= settle + measure:
+                part = pd.Series(v[begin : i + 1][t[begin : i + 1] - start >= settle])
+                row = (part.median(), part.quantile(0.02), part.quantile(0.98), len(part))
+                break
+        out = pd.DataFrame([row], columns=["median", "low", "high", "samples"])
+        for k, c in enumerate(keys):
+            out.insert(k, c, pdf[c].iloc[0])
+        return out
+
+    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
+    return samples.select(*keys, time, distance).groupBy(*keys).applyInPandas(run, f"{kinds}, median double, low double, high double, samples long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["windows", "joins", "geometry", "scoring"]
+MODULES: list[str] = ["windows", "joins", "geometry", "scoring", "state"]
 
 
 def _modules():
