@@ -58,11 +58,15 @@ def operating_curve(df: DataFrame, truth: Column, score: Column, thresholds: lis
 
 
 def index_quantiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, min, max, mean, and the elements at n/4, n/2 and 3n/4 of the sorted values (not interpolated)."""
-    w, o = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(value)
-    d = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(o) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    at = lambda f: F.max(F.when(F.col("_i") == F.floor(F.col("_n") * f), F.col(value)))
-    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"), F.max(value).alias("high"), F.round(F.avg(value), 6).alias("mean"))
+    """n, min, max, mean, and the elements at n/4, n/2 and 3n/4 of the sorted values (not interpolated).
+
+    Rows are first counted by value, so a key's window holds its distinct values only.
+    """
+    g = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys)
+    g = g.withColumn("_n", F.sum("_c").over(w)).withColumn("_z", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    at = lambda f: F.min(F.when(F.col("_z") > F.floor(F.col("_n") * f), F.col(value)))
+    return g.groupBy(*keys).agg(F.max("_n").alias("n"), F.min(value).alias("low"), at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"), F.max(value).alias("high"), F.round(F.sum(F.col(value) * F.col("_c")) / F.max("_n"), 6).alias("mean"))
 
 
 def alert_metrics(df: DataFrame, keys: list[str], hit: Column, false: Column, duplicate: Column, latency: Column, hours: Column) -> DataFrame:
