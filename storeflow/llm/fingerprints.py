@@ -81,9 +81,7 @@ def in_order(docs: DataFrame, doc_id: str, text: str, buckets: int) -> DataFrame
     d = d.withColumn("b", bucket.cast("int"))
     firsts = {r.b: r.k for r in d.groupBy("b").agg(F.min("k").alias("k")).collect()}  # one row a bucket
     order = sorted(firsts)
-    if not order:
-        return d.select(F.col("b").alias("bucket"), F.lit(0).alias("rn"), "id", F.col("t").alias("text"), F.lit(False).alias("halo")).limit(0)
-    before = {firsts[b]: order[i - 1] for i, b in enumerate(order)}
+    before = {firsts[b]: order[i - 1] for i, b in enumerate(order)} or {0: 0}  # an empty table has no first rows
     pairs = F.create_map(*[F.lit(x).cast("bigint") if j == 0 else F.lit(x) for kv in before.items() for j, x in enumerate(kv)])
     halo = F.element_at(pairs, F.col("k"))
     rows = d.withColumn("place", F.explode(F.when(halo.isNotNull(), F.array(F.struct(F.col("b").alias("bucket"), F.lit(False).alias("halo")), F.struct(halo.alias("bucket"), F.lit(True).alias("halo")))).otherwise(F.array(F.struct(F.col("b").alias("bucket"), F.lit(False).alias("halo"))))))
