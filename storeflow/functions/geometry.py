@@ -53,8 +53,14 @@ def edges(poly: Column) -> Column:
 
 def contains_point(poly: Column, x: Column, y: Column) -> Column:
     """Ray casting: a side counts when it spans y half-open and crosses right of x."""
-    crossing = lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0)) + e["a"]["x"])
-    return F.size(F.filter(edges(poly), lambda e: F.coalesce(crossing(e), F.lit(False)))) % 2 == 1
+    return inside(edges(poly), x, y)
+
+
+def inside(sides: Column, x: Column, y: Column) -> Column:
+    """contains_point for a polygon whose edges() are at hand as a column."""
+    above = lambda p: p["y"] > y
+    crossing = lambda e: (above(e["a"]) != above(e["b"])) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"])
+    return F.aggregate(sides, F.lit(False), lambda odd, e: F.when(crossing(e), ~odd).otherwise(odd))
 
 
 def polygon_area(poly: Column) -> Column:
@@ -86,7 +92,10 @@ def clip_to_box(poly: Column, b: Column) -> Column:
 
 def overlap_ratio(poly: Column, b: Column) -> Column:
     """Clipped area over the box's area, 1 at most."""
-    return F.when(area(b) > 0, F.least(polygon_area(clip_to_box(poly, b)) / area(b), F.lit(1.0))).otherwise(F.lit(0.0))
+    low = lambda c: F.array_min(F.transform(poly, lambda p: p[c]))
+    high = lambda c: F.array_max(F.transform(poly, lambda p: p[c]))
+    meets = (low("x") < b["x2"]) & (high("x") > b["x1"]) & (low("y") < b["y2"]) & (high("y") > b["y1"])
+    return F.when((area(b) > 0) & meets, F.least(polygon_area(clip_to_box(poly, b)) / area(b), F.lit(1.0))).otherwise(F.lit(0.0))
 
 
 def segment_distance(e: Column, x: Column, y: Column) -> Column:

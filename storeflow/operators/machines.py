@@ -6,9 +6,12 @@ from __future__ import annotations
 from collections import deque
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .grouped import grouped
+
 
 @dataclass
 class Hysteresis:
@@ -54,18 +57,12 @@ class Hysteresis:
 def alert_intervals(scores: DataFrame, key: str, time: str, tie: str, score: str, **params) -> DataFrame:
     """Alert events of each key: start_ms, end_ms (null while open), peak, hits."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, tie])
+    def run(pdf: pd.DataFrame) -> list[tuple]:
         m = Hysteresis(**params)
-        out = [e for t, s in zip(pdf[time], pdf[score], strict=True) if (e := m.step(int(t), float(s)))]
-        if m.active:
-            out.append(m.active)
-        frame = pd.DataFrame(out, columns=["start_ms", "end_ms", "peak", "hits"]).astype({"end_ms": "Int64"})
-        frame.insert(0, key, pdf[key].iloc[0])
-        return frame
+        out = [e for t, _, s in sorted(zip(pdf[time].tolist(), pdf[tie].tolist(), pdf[score].tolist(), strict=True)) if (e := m.step(t, s))]
+        return [(e["start_ms"], e["end_ms"], e["peak"], e["hits"]) for e in (out + [m.active] if m.active else out)]
 
-    kind = scores.schema[key].dataType.simpleString()
-    return scores.select(key, time, tie, score).groupBy(key).applyInPandas(run, f"{key} {kind}, start_ms long, end_ms long, peak double, hits int")
+    return grouped(scores.select(key, time, tie, score), [key], run, "start_ms long, end_ms long, peak double, hits int")
 
 
 @dataclass
@@ -152,41 +149,31 @@ LANE_EVENTS = "at_ms long, event string, before int, after int, quantity int"
 def lane_events(samples: DataFrame, lane: str, time: str, tie: str, distance: str, refs: list[float], restock: str | None = None, **params) -> DataFrame:
     """Count changes of each lane; samples are (lane, time, tie, distance and perhaps a restock flag)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time, tie])
+    def run(pdf: pd.DataFrame) -> list[tuple]:
         m = LaneCounter(tuple(refs), **params)
-        flags = pdf[restock] if restock else [False] * len(pdf)
-        out = [e for t, v, r in zip(pdf[time], pdf[distance], flags, strict=True) for e in m.step(int(t), None if pd.isna(v) else float(v), bool(r))]
-        frame = pd.DataFrame(out, columns=["at_ms", "event", "before", "after", "quantity"]).astype({"before": "Int32", "after": "Int32"})
-        frame.insert(0, lane, pdf[lane].iloc[0])
-        return frame
+        flags = pdf[restock].tolist() if restock else [False] * len(pdf)
+        rows = sorted(zip(pdf[time].tolist(), pdf[tie].tolist(), pdf[distance].tolist(), flags, strict=True), key=lambda r: r[:2])
+        return [tuple(e.values()) for t, _, v, r in rows for e in m.step(t, v, bool(r))]
 
-    kind = samples.schema[lane].dataType.simpleString()
     cols = [lane, time, tie, distance] + ([restock] if restock else [])
-    return samples.select(*cols).groupBy(lane).applyInPandas(run, f"{lane} {kind}, {LANE_EVENTS}")
+    return grouped(samples.select(*cols), [lane], run, LANE_EVENTS)
 
 
 def level_calibration(samples: DataFrame, keys: list[str], time: str, distance: str, settle: int = 2500, measure: int = 5000, spread: float = 10.0) -> DataFrame:
     """Median and 2 %/98 % bounds of the first undisturbed measuring time after settling; null where there is none."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        t, v = pdf[time].to_numpy(), pdf[distance].to_numpy()
-        start = low = high = None
-        begin = 0
-        row = (None, None, None, 0)
-        for i in range(len(t)):
-            if start is None or max(high, v[i]) - min(low, v[i]) > spread:
-                start, low, high, begin = t[i], v[i], v[i], i
-            low, high = min(low, v[i]), max(high, v[i])
-            if t[i] - start >= settle + measure:
-                part = pd.Series(v[begin : i + 1][t[begin : i + 1] - start >= settle])
-                row = (part.median(), part.quantile(0.02), part.quantile(0.98), len(part))
-                break
-        out = pd.DataFrame([row], columns=["median", "low", "high", "samples"])
-        for k, c in enumerate(keys):
-            out.insert(k, c, pdf[c].iloc[0])
-        return out
-
-    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
-    return samples.select(*keys, time, distance).groupBy(*keys).applyInPandas(run, f"{kinds}, median double, low double, high double, samples long")
+    def run(pdf: pd.DataFrame) -> list[tuple]:
+        rows = sorted(zip(pdf[time].tolist(), pdf[distance].tolist(), strict=True))
+        start, low, high, kept = None, 0.0, 0.0, []
+        for t, v in rows:
+            if start is None or max(high, v) - min(low, v) > spread:
+                start, low, high, kept = t, v, v, []
+            low, high = min(low, v), max(high, v)
+            if t - start >= settle:
+                kept.append(v)
+            if t - start >= settle + measure:
+                a, m, b = np.quantile(kept, [0.02, 0.5, 0.98])
+                return [(float(m), float(a), float(b), len(kept))]
+        return [(None, None, None, 0)]
+
+    return grouped(samples.select(*keys, time, distance), keys, run, "median double, low double, high double, samples long")

@@ -7,44 +7,8 @@ from statistics import fmean, median, mode
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-
-
-def _grouped(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
-    """fn(frame) -> rows, for each key. Partitions are sorted by key and streamed, so that thousands of small groups
-    share a batch; a group that a batch ends in is carried into the next."""
-    out = T.StructType([df.schema[k] for k in keys] + T._parse_datatype_string(schema).fields)
-    names = out.names
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({n: pd.array(c, dtype="Int64") if f.dataType.typeName() in ("long", "integer") and None in c else list(c) for n, f, c in zip(names, out.fields, zip(*rows, strict=True), strict=True)})
-
-    def run(batches):
-        held = None
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            if pdf.empty:
-                continue
-            change = np.zeros(len(pdf), bool)
-            for k in keys:
-                v = pdf[k].to_numpy()
-                change[1:] |= v[1:] != v[:-1]
-            at = np.flatnonzero(change).tolist()
-            rows = []
-            for i, j in zip([0, *at], at, strict=False):
-                g = pdf.iloc[i:j]
-                head = tuple(g[k].iloc[0] for k in keys)
-                rows += [head + tuple(r) for r in fn(g)]
-            held = pdf.iloc[at[-1] if at else 0 :]
-            if rows:
-                yield frame(rows)
-        if held is not None and len(held):
-            head = tuple(held[k].iloc[0] for k in keys)
-            rows = [head + tuple(r) for r in fn(held)]
-            if rows:
-                yield frame(rows)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, out)
+
+from .grouped import grouped
 
 
 def match_alerts(df: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
@@ -72,7 +36,7 @@ def match_alerts(df: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
         rows += [(None, "missed", e, None) for e, u in zip(eid, used, strict=True) if not u]
         return rows
 
-    return _grouped(df, keys, fn, "alert_id long, outcome string, event_id long, latency_ms long")
+    return grouped(df, keys, fn, "alert_id long, outcome string, event_id long, latency_ms long")
 
 
 def match_candidates(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,7 +60,7 @@ def match_candidates(df: DataFrame, keys: list[str]) -> DataFrame:
         rows += [(None, "fn", i) for i, k in zip(la.id, la.kind, strict=True) if k == "TAKE" and i not in used]
         return rows
 
-    return _grouped(df, keys, fn, "candidate_id long, outcome string, label_id long")
+    return grouped(df, keys, fn, "candidate_id long, outcome string, label_id long")
 
 
 def best_pairs(a: np.ndarray, b: np.ndarray, before: float, after: float) -> list[tuple[int, int]]:
@@ -140,7 +104,7 @@ def match_labels(df: DataFrame, keys: list[str], before: float, after: float) ->
         rows += [("ghost", None, x, None) for j, x in enumerate(b.id) if j not in sb]
         return rows
 
-    return _grouped(df, keys, fn, "kind string, label_id long, sensor_id long, dt double")
+    return grouped(df, keys, fn, "kind string, label_id long, sensor_id long, dt double")
 
 
 def hungarian(score: np.ndarray) -> list[tuple[int, int]]:
@@ -185,7 +149,7 @@ def assign(scores: DataFrame, keys: list[str], left: str, right: str, score: str
         return rows
 
     kinds = ", ".join(f"{c} {scores.schema[c].dataType.simpleString()}" for c in (left, right, score))
-    return _grouped(scores.select(*keys, left, right, score), keys, fn, kinds)
+    return grouped(scores.select(*keys, left, right, score), keys, fn, kinds)
 
 
 def greedy_map(scores: DataFrame, keys: list[str], left: str, right: str, score: str, least: float) -> DataFrame:
@@ -201,7 +165,7 @@ def greedy_map(scores: DataFrame, keys: list[str], left: str, right: str, score:
         return rows
 
     kinds = ", ".join(f"{c} {scores.schema[c].dataType.simpleString()}" for c in (left, right, score))
-    return _grouped(scores.select(*keys, left, right, score), keys, fn, kinds)
+    return grouped(scores.select(*keys, left, right, score), keys, fn, kinds)
 
 
 def reading_order(boxes: DataFrame, keys: list[str], ident: str, x: str, y: str, height: str, gap: float = 0.5) -> DataFrame:
@@ -216,7 +180,7 @@ def reading_order(boxes: DataFrame, keys: list[str], ident: str, x: str, y: str,
                 rows.append([(u, v, i)])
         return [(b[2], r, k) for r, row in enumerate(rows) for k, b in enumerate(sorted(row, key=lambda b: (b[0], b[2])))]
 
-    return _grouped(boxes.select(*keys, ident, x, y, height), keys, fn, f"{ident} {boxes.schema[ident].dataType.simpleString()}, row_no int, place int")
+    return grouped(boxes.select(*keys, ident, x, y, height), keys, fn, f"{ident} {boxes.schema[ident].dataType.simpleString()}, row_no int, place int")
 
 
 def consensus(frames: DataFrame, keys: list[str], box: tuple[str, str], label: str, score: str, frame: str, presence: float, near: float) -> DataFrame:
@@ -235,4 +199,4 @@ def consensus(frames: DataFrame, keys: list[str], box: tuple[str, str], label: s
         shares = [(c, len({r[0] for r in c[0]}) / total) for c in clusters]
         return [(c[1], c[2], mode(r[3] for r in c[0]), fmean(r[4] for r in c[0]), share) for c, share in shares if share >= presence]
 
-    return _grouped(frames.select(*keys, frame, x, y, label, score), keys, fn, "x double, y double, label string, score double, presence double")
+    return grouped(frames.select(*keys, frame, x, y, label, score), keys, fn, "x double, y double, label string, score double, presence double")

@@ -35,7 +35,7 @@ def boxes(spark, d):
 
 def zone_dim(spark):
     rows = [(n, [(float(x), float(y)) for x, y in p]) for n, p in ZONES.items()]
-    return spark.createDataFrame(rows, "zone string, poly array<struct<x:double,y:double>>")
+    return spark.createDataFrame(rows, "zone string, poly array<struct<x:double,y:double>>").withColumn("sides", g.edges(F.col("poly")))
 
 
 _ZONE_SQL = "zn(zone, poly) AS (VALUES " + ", ".join(f"('{n}', [{', '.join(f'{{x: {float(x)}, y: {float(y)}}}' for x, y in p)}])" for n, p in ZONES.items()) + ")"
@@ -50,7 +50,7 @@ SELECT frame, id, zone FROM c WHERE inside""")
 def g1_foot_in_zone(spark, d):
     """Boxes joined with the zones their foot stands in; zones are a literal dimension and are broadcast."""
     b = boxes(spark, d).withColumn("px", (F.col("b.x1") + F.col("b.x2")) / 2).withColumn("py", F.col("b.y2"))
-    return b.join(F.broadcast(zone_dim(spark)), g.contains_point(F.col("poly"), F.col("px"), F.col("py"))).select("frame", "id", "zone")
+    return b.join(F.broadcast(zone_dim(spark)), g.inside(F.col("sides"), F.col("px"), F.col("py"))).select("frame", "id", "zone")
 
 
 @query(f"""WITH {_ZONE_SQL}, {_EDGE_SQL}, zz AS (SELECT zone, abs(sum(a.x * b.y - b.x * a.y)) / 2 AS area FROM ed GROUP BY zone),
