@@ -251,39 +251,66 @@ def cross_candidates(entries: DataFrame, percent: int) -> DataFrame:
     Lists within one component are gone before any grouping; a list's sets are walked in blocks by size.
     """
     mixed = entries.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
+    cols = ["h", "set_id", "n", "own", "place", "label"]
+    ordered = entries.join(mixed, "h").select(*cols).repartition("h").sortWithinPartitions("h", "n", "set_id")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "set_id"], kind="stable")
-        s, n, own, place, lab = (pdf[c].to_numpy() for c in ("set_id", "n", "own", "place", "label"))
-        last = n - np.maximum(place, 0)  # shingles from this place on
-        free = n - own  # shingles any partner may hold
-        m = len(s)
-        best_last = np.maximum.reduceat(last, np.arange(0, m, BLOCK))
-        best_free = np.maximum.reduceat(free, np.arange(0, m, BLOCK))
-        top_n, low_n = n[np.minimum(np.arange(BLOCK - 1, m + BLOCK - 1, BLOCK)[: len(best_last)], m - 1)], n[::BLOCK]
-        low_lab, high_lab = np.minimum.reduceat(lab, np.arange(0, m, BLOCK)), np.maximum.reduceat(lab, np.arange(0, m, BLOCK))
-        pa_, pb_ = [], []
-        for i in range(m - 1):
-            for k in range((i + 1) // BLOCK, len(best_last)):
-                if 100 * n[i] < percent * low_n[k]:
-                    break  # all later blocks hold larger sets
-                need = -(-percent * (n[i] + low_n[k]) // (100 + percent))
-                if min(last[i], best_last[k]) < need or min(free[i], best_free[k]) < need:
-                    continue
-                if low_lab[k] == high_lab[k] == lab[i]:
-                    continue
-                a, b = max(i + 1, k * BLOCK), min(m, (k + 1) * BLOCK)
-                want = -(-percent * (n[i] + n[a:b]) // (100 + percent))
-                ok = (lab[a:b] != lab[i]) & (np.minimum(last[i], last[a:b]) >= want) & (np.minimum(free[i], free[a:b]) >= want)
-                hit = np.flatnonzero(ok) + a
-                pa_.append(np.full(len(hit), s[i]))
-                pb_.append(s[hit])
-        if not pa_:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        a, b = np.concatenate(pa_), np.concatenate(pb_)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return entries.join(mixed, "h").groupBy("h").applyInPandas(run, "a long, b long").distinct()
+    def run(batches):
+        held = None
+        for batch in batches:
+            part = [c.to_numpy() for c in batch.columns]
+            part = part if held is None else [np.concatenate(x) for x in zip(held, part, strict=True)]
+            if not len(part[0]):
+                continue
+            last = int(np.searchsorted(part[0], part[0][-1]))  # the list that goes on in the next batch
+            held = [c[last:] for c in part]
+            yield from _pairs([c[:last] for c in part], percent)
+        if held is not None:
+            yield from _pairs(held, percent)
+
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(cols: list[np.ndarray], percent: int):
+    """Candidate pairs of whole lists, sorted by list and size: short lists all at once, long ones block by block."""
+    h, s, n, own, place, lab = cols
+    if not len(h):
+        return
+    last = n - place  # shingles from this place on
+    free = n - own  # shingles any partner may hold
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    end = np.append(start[1:], len(h))
+    found = []
+
+    def test(i: np.ndarray, j: np.ndarray) -> None:
+        want = -(-percent * (n[i] + n[j]) // (100 + percent))
+        ok = (lab[i] != lab[j]) & (np.minimum(last[i], last[j]) >= want) & (np.minimum(free[i], free[j]) >= want)
+        found.append((s[i[ok]], s[j[ok]]))
+
+    bound = np.repeat(end, end - start)
+    i, step = np.flatnonzero(bound - np.repeat(start, end - start) <= BLOCK), 1
+    while len(i):
+        i = i[(i + step < bound[i])]
+        i = i[100 * n[i] >= percent * n[i + step]]  # sizes rise along a list, so later ones fail too
+        test(i, i + step)
+        step += 1
+    for lo, hi in zip(start, end, strict=True):
+        if hi - lo <= BLOCK:
+            continue
+        cuts = np.arange(lo, hi, BLOCK)
+        top_last, top_free = np.maximum.reduceat(last[:hi], cuts), np.maximum.reduceat(free[:hi], cuts)
+        low_lab, high_lab = np.minimum.reduceat(lab[:hi], cuts), np.maximum.reduceat(lab[:hi], cuts)
+        for k in range(lo, hi - 1):
+            q = (k + 1 - lo) // BLOCK
+            need = -(-percent * (n[k] + n[cuts[q:]]) // (100 + percent))
+            on = (100 * n[k] >= percent * n[cuts[q:]]) & (np.minimum(last[k], top_last[q:]) >= need) & (np.minimum(free[k], top_free[q:]) >= need)
+            on &= (low_lab[q:] != lab[k]) | (high_lab[q:] != lab[k])
+            for c in cuts[q:][on]:
+                j = np.arange(max(k + 1, c), min(hi, c + BLOCK))
+                test(np.full(len(j), k), j)
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if len(a):
+        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
 
 def verified(pairs: DataFrame, cand: DataFrame, percent: int) -> DataFrame:
@@ -327,7 +354,7 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
     return nodes.join(label, "set_id", "left").select(*[F.col(c) for c in nodes.columns], F.coalesce("label", "set_id").alias("label"))
 
 
-def linked_sets(docs: DataFrame, *, text="text", k=5, percent=80, range_bytes=12 << 20) -> tuple[DataFrame, DataFrame]:
+def linked_sets(docs: DataFrame, *, text="text", k=5, percent=80, range_bytes=8 << 20) -> tuple[DataFrame, DataFrame]:
     """(candidate sets, links): every linked pair of different components' sets, and enough links to join the rest."""
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
     ranges = max(1, -(-total // range_bytes))
@@ -339,7 +366,7 @@ def linked_sets(docs: DataFrame, *, text="text", k=5, percent=80, range_bytes=12
     return labelled, cut(star.union(cross))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", k=5, percent=80, range_bytes=12 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", k=5, percent=80, range_bytes=8 << 20) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     rows = cut(documents_to_sets(docs, doc_id, text, k))
     cand, links = linked_sets(docs, text=text, k=k, percent=percent, range_bytes=range_bytes)

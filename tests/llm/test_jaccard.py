@@ -49,3 +49,23 @@ def test_one_per_group_keeps_columns_and_clean_rows(spark):
     got = one_per_group(df)
     assert got.columns == df.columns
     assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4]
+
+
+def test_long_lists_skip_blocks_without_losing_pairs(monkeypatch):
+    import numpy as np
+
+    from storeflow.llm import jaccard
+
+    rng = np.random.default_rng(3)
+    h = np.sort(rng.integers(0, 6, 400))
+    n = rng.integers(5, 40, 400)
+    order = np.lexsort((n, h))
+    n = n[order]
+    own = rng.integers(0, 3, 400)
+    place = own + rng.integers(0, 4, 400)
+    cols = [h, rng.permutation(400), n, own, place, rng.integers(0, 5, 400)]
+    pairs = lambda: {tuple(p) for b in jaccard._pairs(cols, 80) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    monkeypatch.setattr(jaccard, "BLOCK", 1000)
+    short = pairs()
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    assert short and pairs() == short
