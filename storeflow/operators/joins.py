@@ -14,10 +14,10 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], l_start: str,
     """
     fl = lambda c: F.floor(c / bucket)
     ls, le = F.col(l_start) - slack, F.col(l_end) + slack
-    a = left.withColumn("_lf", fl(ls)).withColumn("_b", F.explode(F.sequence(F.col("_lf"), F.greatest(F.col("_lf"), fl(le)))))
-    b = right.withColumn("_rf", fl(F.col(r_start))).withColumn("_b", F.explode(F.sequence(F.col("_rf"), F.greatest(F.col("_rf"), fl(F.col(r_end))))))
-    j = a.join(b, [*keys, "_b"])
-    return j.where((F.col("_b") == F.greatest("_lf", "_rf")) & (ls <= F.col(r_end)) & (le >= F.col(r_start))).drop("_b", "_lf", "_rf")
+    a = left.withColumn("__lf", fl(ls)).withColumn("__bucket", F.explode(F.sequence(F.col("__lf"), F.greatest(F.col("__lf"), fl(le)))))
+    b = right.withColumn("__rf", fl(F.col(r_start))).withColumn("__bucket", F.explode(F.sequence(F.col("__rf"), F.greatest(F.col("__rf"), fl(F.col(r_end))))))
+    j = a.join(b, [*keys, "__bucket"])
+    return j.where((F.col("__bucket") == F.greatest("__lf", "__rf")) & (ls <= F.col(r_end)) & (le >= F.col(r_start))).drop("__bucket", "__lf", "__rf")
 
 
 def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
