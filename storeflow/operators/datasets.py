@@ -16,14 +16,25 @@ def modal_class(rows: DataFrame, group: str, cls: str) -> DataFrame:
     return c.groupBy(group).agg(F.min_by(cls, F.struct(-F.col("_n"), F.col(cls))).alias("cls"))
 
 
+def drawn(rows: DataFrame, cls: str, ident: str, seed: int) -> DataFrame:
+    """Adds _n, the rows of the class, and _k, the place in its random order, without one task a class.
+
+    The order's first three hex digits cut a class into 4096 cells: places within a cell, plus the rows of the cells before.
+    """
+    d = rows.withColumn("_o", draw(seed, F.col(ident))).withColumn("_cell", F.substring("_o", 1, 3))
+    c = d.groupBy(cls, "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(cls)
+    c = c.select(cls, "_cell", F.sum("_c").over(w).alias("_n"), F.coalesce(F.sum("_c").over(w.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    k = F.row_number().over(Window.partitionBy(cls, "_cell").orderBy("_o", ident))
+    return d.join(c, [cls, "_cell"]).withColumn("_k", F.col("_before") + k).drop("_o", "_cell", "_before")
+
+
 def group_split(rows: DataFrame, group: str, cls: str, val: float, test: float = 0.0, seed: int = 1337) -> DataFrame:
     """Split of each group: whole groups go to one side, drawn within their modal class.
 
     Per class of n groups: with a test share, max(1, round) of them when n >= 3; then max(1, round) to val when two remain.
     """
-    g = modal_class(rows, group, cls)
-    w = Window.partitionBy("cls")
-    g = g.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_k", F.row_number().over(w.orderBy(draw(seed, F.col(group)))))
+    g = drawn(modal_class(rows, group, cls), "cls", group, seed)
     size = lambda share: F.greatest(F.lit(1), F.bround(F.col("_n") * share).cast("int"))
     n_test = F.when(F.col("_n") >= 3, size(test)).otherwise(0) if test else F.lit(0)
     n_val = F.when(F.col("_n") - n_test >= 2, size(val)).otherwise(0) if test else size(val)

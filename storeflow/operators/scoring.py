@@ -87,7 +87,7 @@ def verdict_score(df: DataFrame, case: str, person: str, time: str, verdict: str
 def calibration(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Slope, intercept, correlation, and the median absolute residual."""
     f = df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("r"))
-    e = df.join(F.broadcast(f), keys).withColumn("_e", F.abs(F.col(y) - F.col("slope") * F.col(x) - F.col("intercept")))  # as many rows as groups
+    e = df.join(f, keys).withColumn("_e", F.abs(F.col(y) - F.col("slope") * F.col(x) - F.col("intercept")))
     m = e.groupBy(*keys).agg(F.percentile("_e", F.lit(0.5)).alias("median_error"))
     return f.join(m, keys)
 

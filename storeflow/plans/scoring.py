@@ -167,7 +167,7 @@ def a28_sensor_health(spark, d):
     med = F.percentile("value", F.lit(0.5))
     base = o.join(F.broadcast(start), how="cross").where(F.col("window_ms") < F.col("t0") + 72 * HOUR).groupBy("lane").agg(med.alias("base"))  # one row
     w = o.groupBy("lane", "window_ms").agg(med.alias("median"), F.min("value").alias("low"), F.max("value").alias("high"), F.count_if(F.col("value") < 5).alias("invalid"))
-    return w.join(F.broadcast(base), "lane").withColumn("deviation", F.round(F.col("median") - F.col("base"), 6)).drop("base")  # a row a lane
+    return w.join(base, "lane").withColumn("deviation", F.round(F.col("median") - F.col("base"), 6)).drop("base")
 
 
 _TH = [x / 20 for x in range(1, 20)]
