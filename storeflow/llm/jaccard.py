@@ -5,6 +5,8 @@ The join finds every pair of sets with 100 * |A & B| >= percent * |A | B| and re
 1. Documents become sets of 64-bit shingle hashes; equal sets share a set id, so copies cost one set.
 2. Index. Shingles are dealt by hash range; each range learns in how many sets each shingle occurs and sends back only
    those that two or more sets hold. A shingle of one set cannot link anything; it merely uses up prefix places.
+   Very frequent shingles (at most a hundred thousand, by their share of all entries) are found by counts that add up
+   in each task; they are known to be shared, so their sets go straight back and never meet in a range.
 3. Prefixes. With shingles ordered by (frequency, hash), two linked sets meet within their first
    n - ceil(t n) + 1 places. Unshared shingles come first, so most sets have no place left and drop out here.
 4. Skipping in the index. A list holds (set, size, place), sorted by size in blocks; a block is skipped when its largest
@@ -91,35 +93,96 @@ def documents_to_sets(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFr
     return map_text(docs, text, {"doc": doc_id}, [("n", "bigint"), ("set_id", "bigint")], make)
 
 
-def index_entries(docs: DataFrame, text: str, k: int, ranges: int) -> DataFrame:
-    """Blobs of (shingle, set) by hash range; each slice of texts sends a set once."""
+def _slice_sets(batches, k: int):
+    """(shingle, document, set ids, sizes) of each slice of texts; a slice holds a set once."""
+    for batch in batches:
+        for i, j in slices(batch.column(0), 6 << 20):
+            part = batch.column(0).slice(i, j - i)
+            x, d = shingle_sets(part, k)
+            size, ids = set_ids(x, d, len(part))
+            _, one = np.unique(ids, return_index=True)
+            chosen = np.zeros(len(part), bool)
+            chosen[one] = True
+            on = chosen[d]
+            yield x[on], d[on], ids, size
+
+
+def frequent_shingles(docs: DataFrame, text: str, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, count), sorted, of shingles that slices with four or more of their sets hold `least` times in all.
+
+    Counts are added up in each slice first. There are at most as many as the entries over `least`, so the caller's
+    share of all entries bounds the result. What is not found here has few sets a slice and stays in its range.
+    """
     picked = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where("t is not null")
 
     def run(batches):
-        for batch in batches:
-            for i, j in slices(batch.column(0), 6 << 20):
-                part = batch.column(0).slice(i, j - i)
-                x, d = shingle_sets(part, k)
-                size, ids = set_ids(x, d, len(part))
-                _, one = np.unique(ids, return_index=True)
-                chosen = np.zeros(len(part), bool)
-                chosen[one] = True
-                on = chosen[d]
+        for x, _, _, _ in _slice_sets(batches, k):
+            h, c = np.unique(x, return_counts=True)
+            on = c >= 4
+            if on.any():
+                yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(c[on].astype(np.int64))], names=["h", "c"])
+
+    got = picked.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toPandas()
+    h, c = got["h"].to_numpy(np.int64).view(U64), got["c"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def frequent_entries(docs: DataFrame, text: str, k: int, frequent, homes: int) -> DataFrame:
+    """What shared_shingles makes, for the frequent shingles: their sets need not meet to be known as shared.
+
+    A set that many slices hold is made one row by shuffling on (shingle, set), which adds up in each task.
+    """
+    picked = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where("t is not null")
+
+    def rows(batches):
+        known, _ = frequent.value
+        for x, d, ids, size in _slice_sets(batches, k):
+            on = _among(x, known)
+            if on.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[on].view(np.int64)), pa.array(ids[d[on]]), pa.array(size[d[on]].astype(np.int64))], names=["h", "s", "n"])
+
+    def blobs(batches):
+        known, counts = frequent.value
+        for b in batches:
+            x, s, n = (c.to_numpy() for c in b.columns)
+            if len(x):
+                made = _by_home(x.view(U64), s, n, counts[np.searchsorted(known, x.view(U64))], homes)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["q", "who", "x", "df"])
+
+    once = picked.mapInArrow(rows, "h long, s long, n long").distinct()
+    return once.mapInArrow(blobs, "q long, who binary, x binary, df binary")
+
+
+def index_entries(docs: DataFrame, text: str, k: int, ranges: int, frequent=None) -> DataFrame:
+    """Blobs of (shingle, set) by hash range, without frequent shingles."""
+    picked = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where("t is not null")
+
+    def run(batches):
+        for x, d, ids, size in _slice_sets(batches, k):
+            if frequent is not None:
+                on = ~_among(x, frequent.value[0])
                 x, d = x[on], d[on]
-                p = _range(x, ranges)
-                order = np.lexsort((x, p))
-                x, d, p = x[order], d[order].astype(np.uint16), p[order]
-                bound = np.searchsorted(p, np.arange(ranges + 1))
-                some = np.flatnonzero(np.diff(bound))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(some, pa.int64()),
-                        pa.array([_planes(x[bound[r] : bound[r + 1]]) for r in some], pa.binary()),
-                        pa.array([d[bound[r] : bound[r + 1]].tobytes() for r in some], pa.binary()),
-                        pa.array([_used(d[bound[r] : bound[r + 1]], ids, size) for r in some], pa.binary()),
-                    ],
-                    names=["r", "x", "d", "s"],
-                )
+            p = _range(x, ranges)
+            order = np.lexsort((x, p))
+            x, d, p = x[order], d[order].astype(np.uint16), p[order]
+            bound = np.searchsorted(p, np.arange(ranges + 1))
+            some = np.flatnonzero(np.diff(bound))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(some, pa.int64()),
+                    pa.array([_planes(x[bound[r] : bound[r + 1]]) for r in some], pa.binary()),
+                    pa.array([d[bound[r] : bound[r + 1]].tobytes() for r in some], pa.binary()),
+                    pa.array([_used(d[bound[r] : bound[r + 1]], ids, size) for r in some], pa.binary()),
+                ],
+                names=["r", "x", "d", "s"],
+            )
 
     return picked.mapInArrow(run, "r long, x binary, d binary, s binary")
 
@@ -146,6 +209,21 @@ def _used(d: np.ndarray, ids: np.ndarray, size: np.ndarray) -> bytes:
     return ids[u].tobytes() + size[u].astype(np.int32).tobytes()
 
 
+def _by_home(x: np.ndarray, s: np.ndarray, n: np.ndarray, df: np.ndarray, homes: int) -> list[tuple]:
+    """(home, sets with their sizes and runs, shingles, frequencies) for each home."""
+    home = (mix(s.view(U64)) % U64(homes)).astype(np.int64)
+    order = np.lexsort((s, home))
+    x, s, n, df, home = x[order], s[order], n[order], df[order], home[order]
+    bound = np.searchsorted(home, np.arange(homes + 1))
+    rows = []
+    for q in np.flatnonzero(np.diff(bound)):
+        a, b = bound[q], bound[q + 1]
+        who, start = np.unique(s[a:b], return_index=True)
+        runs = np.diff(np.append(start, b - a))
+        rows.append((int(q), np.concatenate([who, n[a:b][start], runs]).tobytes(), x[a:b].tobytes(), df[a:b].astype(np.int64).tobytes()))
+    return rows
+
+
 def shared_shingles(entries: DataFrame, ranges: int, homes: int) -> DataFrame:
     """Per home (sets dealt by id) and range: shingles that two or more sets hold, with set, size and frequency."""
 
@@ -170,16 +248,7 @@ def shared_shingles(entries: DataFrame, ranges: int, homes: int) -> DataFrame:
         df = np.repeat(freq, freq)
         on = df > 1
         x, s, n, df = x[on], s[on], n[on], df[on]
-        home = (mix(s.view(U64)) % U64(homes)).astype(np.int64)
-        order = np.lexsort((s, home))
-        x, s, n, df, home = x[order], s[order], n[order], df[order], home[order]
-        bound = np.searchsorted(home, np.arange(homes + 1))
-        rows = []
-        for q in np.flatnonzero(np.diff(bound)):
-            a, b = bound[q], bound[q + 1]
-            who, start = np.unique(s[a:b], return_index=True)
-            runs = np.diff(np.append(start, b - a))
-            rows.append((int(q), np.concatenate([who, n[a:b][start], runs]).tobytes(), x[a:b].tobytes(), df[a:b].astype(np.int32).tobytes()))
+        rows = _by_home(x, s, n, df, homes)
         return pd.DataFrame(rows, columns=["q", "who", "x", "df"])
 
     return entries.groupBy("r").applyInPandas(run, "q long, who binary, x binary, df binary")
@@ -195,7 +264,7 @@ def prefix_sets(shared: DataFrame, percent: int) -> DataFrame:
             sets.append(np.repeat(w[0], w[2]))
             sizes.append(np.repeat(w[1], w[2]))
             xs.append(np.frombuffer(x, U64))
-            dfs.append(np.frombuffer(df, np.int32))
+            dfs.append(np.frombuffer(df, np.int64))
         s, n, x, df = map(np.concatenate, (sets, sizes, xs, dfs))
         # only sets with prefix places left are sorted further
         who, inverse, shared_n = np.unique(s, return_inverse=True, return_counts=True)
@@ -354,22 +423,27 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
     return nodes.join(label, "set_id", "left").select(*[F.col(c) for c in nodes.columns], F.coalesce("label", "set_id").alias("label"))
 
 
-def linked_sets(docs: DataFrame, *, text="text", k=5, percent=80, range_bytes=8 << 20) -> tuple[DataFrame, DataFrame]:
+def linked_sets(docs: DataFrame, *, text="text", k=5, percent=80, range_bytes=8 << 20, frequent_least=4096) -> tuple[DataFrame, DataFrame]:
     """(candidate sets, links): every linked pair of different components' sets, and enough links to join the rest."""
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
     ranges = max(1, -(-total // range_bytes))
-    entries = index_entries(docs, text, k, ranges)
-    cand = cut(prefix_sets(shared_shingles(entries, ranges, ranges), percent))
+    least = max(frequent_least, total // 600_000)  # a word takes six bytes or so: a hundred-thousandth of all entries
+    known = frequent_shingles(docs, text, k, least)
+    frequent = docs.sparkSession.sparkContext.broadcast(known) if len(known[0]) else None
+    shared = shared_shingles(index_entries(docs, text, k, ranges, frequent), ranges, ranges)
+    if frequent is not None:
+        shared = shared.unionByName(frequent_entries(docs, text, k, frequent, ranges))
+    cand = cut(prefix_sets(shared, percent))
     star = cut(verified(star_candidates(lists(cand)), cand, percent))
     labelled = cut(components(cand, star))
     cross = verified(cross_candidates(lists(labelled, "label"), percent), cand, percent)
     return labelled, cut(star.union(cross))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", k=5, percent=80, range_bytes=8 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", k=5, percent=80, range_bytes=8 << 20, frequent_least=4096) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     rows = cut(documents_to_sets(docs, doc_id, text, k))
-    cand, links = linked_sets(docs, text=text, k=k, percent=percent, range_bytes=range_bytes)
+    cand, links = linked_sets(docs, text=text, k=k, percent=percent, range_bytes=range_bytes, frequent_least=frequent_least)
     label = components(links.select(F.col("a").alias("set_id")).union(links.select(F.col("b").alias("set_id"))).distinct(), links)
     sets = rows.where("n > 0").groupBy("set_id").agg(F.min("doc").alias("least")).join(label, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     groups = sets.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -34,7 +34,9 @@ def test_like_brute_force(spark, seed):
     texts += [texts[0]] * 5 + ["", None, "one two", "One  TWO", "one two three", "  \n"]
     rng.shuffle(texts)
     rows = list(enumerate(texts))
-    assert found(spark, rows, range_bytes=20_000) == sorted(jaccard_components(rows))
+    want = sorted(jaccard_components(rows))
+    assert found(spark, rows, range_bytes=20_000) == want
+    assert found(spark, rows, range_bytes=20_000, frequent_least=10) == want  # with frequent shingles apart
 
 
 def test_edges(spark):
