@@ -200,3 +200,21 @@ def consensus(frames: DataFrame, keys: list[str], box: tuple[str, str], label: s
         return [(c[1], c[2], mode(r[3] for r in c[0]), fmean(r[4] for r in c[0]), share) for c, share in shares if share >= presence]
 
     return grouped(frames.select(*keys, frame, x, y, label, score), keys, fn, "x double, y double, label string, score double, presence double")
+
+
+def staged_compare(labels: DataFrame, sensors: DataFrame, pair: str, lane: str, direction: str, before: float, after: float) -> DataFrame:
+    """Labels and sensor events unit by unit: first within a lane, then across lanes, then missed and ghosts.
+
+    Rows: pair, lane, direction, id, at, qty. A quantity of n is n units.
+    """
+    from pyspark.sql import functions as F
+
+    units = lambda df, side: df.select(pair, lane, direction, F.lit(side).alias("side"), "at", F.explode(F.sequence(F.lit(0), F.greatest("qty", F.lit(1)) - 1)).alias("u"), "id").select(pair, lane, direction, "side", "at", (F.col("id") * 32 + F.col("u")).alias("id"))
+    both = units(labels, "label").unionByName(units(sensors, "sensor"))
+    first = match_labels(both, [pair, lane, direction], before, after)
+    hit = first.where("kind = 'matched'")
+    used = hit.select(F.lit("label").alias("side"), F.col("label_id").alias("id")).unionByName(hit.select(F.lit("sensor").alias("side"), F.col("sensor_id").alias("id")))
+    rest = both.join(used, ["side", "id"], "left_anti")
+    second = match_labels(rest.select(pair, direction, "side", "id", "at"), [pair, direction], before, after)
+    again = second.withColumn("kind", F.when(F.col("kind") == "matched", "other_lane").otherwise(F.col("kind")))
+    return hit.select(pair, direction, "kind", "label_id", "sensor_id", "dt").unionByName(again.select(pair, direction, "kind", "label_id", "sensor_id", "dt"))

@@ -193,3 +193,37 @@ def j15_prediction_truth(spark, d):
     same = F.max(F.when(F.col("cls") == F.col("pcls"), F.col("iou")))
     out = m.groupBy("frame", "id").agg(F.coalesce(same, F.lit(0.0)).alias("s"), F.coalesce(F.max("iou"), F.lit(0.0)).alias("v"))
     return out.select("frame", "id", F.round("s", 6).alias("best_same"), F.round("v", 6).alias("best_any"), (F.col("s") >= 0.3).alias("found"))
+
+
+@query(f"""WITH {BOX_SQL} SELECT frame, id, id >= 5 OR (x1 <= 30 AND 0.4 + id * 0.1 >= 0.6) AS candidate FROM bx""")
+def p19_link_candidates(spark, d):
+    """Objects already counted as inside, or with a confident ankle whose floor point is inside."""
+    b = boxes(spark, d)
+    return b.select("frame", "id", ((F.col("id") >= 5) | ((F.col("b.x1") <= 30) & (0.4 + F.col("id") * 0.1 >= 0.6))).alias("candidate"))
+
+
+@query(f"""WITH {BOX_SQL}, m AS (SELECT *, 0.001 * x1 - 0.02 * y1 + 1 AS w FROM bx WHERE x1 > 2), f AS (SELECT *, (1.1 * x1 + 2) / w AS u, (0.9 * y1 + 1) / w AS v FROM m WHERE w > 0.3)
+SELECT frame, id, round(u, 5) AS u, round(v, 5) AS v FROM f WHERE u BETWEEN 0 AND 60 AND v BETWEEN 0 AND 60""")
+def p21_common_view(spark, d):
+    """Rows that are whole, not beyond the horizon, and visible in the other camera."""
+    b = boxes(spark, d).where("b.x1 > 2").withColumn("p", g.apply_homography([1.1, 0, 2, 0, 0.9, 1, 0.001, -0.02, 1], F.col("b.x1"), F.col("b.y1"), 0.3))
+    return b.where("p is not null and p.x between 0 and 60 and p.y between 0 and 60").select("frame", "id", F.round("p.x", 5).alias("u"), F.round("p.y", 5).alias("v"))
+
+
+@query(f"""WITH {BOX_SQL}, {_ZONE_SQL}, {_EDGE_SQL}, wr AS (SELECT row_number() OVER () AS rid, frame, id, x1 AS px, y1 AS py FROM bx WHERE id <= 3), c AS (SELECT rid, frame, id, zone, count(*) FILTER ({_INSIDE}) % 2 = 1 AS inside FROM wr, ed GROUP BY ALL)
+SELECT rid * 0 + frame AS frame, id, count(*) FILTER (inside) AS zones, coalesce(string_agg(zone, ',' ORDER BY zone) FILTER (inside), '') AS held FROM c GROUP BY rid, frame, id""")
+def g18_hands_in_zones(spark, d):
+    """The zones that hold a wrist. Zones travel as one array of three."""
+    z = zone_dim(spark).agg(F.array_sort(F.collect_list(F.struct("zone", "sides"))).alias("zs"))
+    b = boxes(spark, d).where("id <= 3").join(F.broadcast(z), how="cross").withColumn("px", F.col("b.x1")).withColumn("py", F.col("b.y1"))  # one row
+    held = F.transform(F.filter("zs", lambda k: g.inside(k["sides"], F.col("px"), F.col("py"))), lambda k: k["zone"])
+    return b.withColumn("h", held).select("frame", "id", F.size("h").cast("bigint").alias("zones"), F.array_join("h", ",").alias("held"))
+
+
+@query("""SELECT l_partkey AS lane, l_linenumber AS n, CAST(CASE WHEN l_linenumber = 2 THEN 77 ELSE 250 - l_linenumber * (10 + l_partkey % 5) END AS DOUBLE) AS reference_mm, CAST(CASE WHEN l_linenumber = 2 THEN 4 ELSE 15 END AS DOUBLE) AS tolerance_mm FROM lineitem""")
+def g24_references(spark, d):
+    """Reference distance and tolerance of a count: the measured table wins over the thickness formula."""
+    n = F.col("l_linenumber")
+    measured = F.create_map(F.lit(2), F.struct(F.lit(77.0).alias("mm"), F.lit(4.0).alias("tol")))
+    m = F.element_at(measured, n)
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("lane"), n.alias("n"), F.coalesce(m["mm"], (250 - n * (10 + F.col("l_partkey") % 5)).cast("double")).alias("reference_mm"), F.coalesce(m["tol"], F.lit(15.0)).alias("tolerance_mm"))

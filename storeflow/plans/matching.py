@@ -42,11 +42,12 @@ def m3_match_labels(spark, d):
     return mt.match_labels(_sides(spark, d, "view", "click", ("label", "sensor")).drop("start_ms", "end_ms", "kind"), ["person_id"], 2 * 3600.0, 8 * 3600.0)
 
 
-@query(f"""WITH {OBS_SQL}, c AS (SELECT person_id, zone, count(*) AS n FROM ev GROUP BY 1, 2) SELECT count(*) AS pairs, CAST(sum(n) AS BIGINT) AS rows FROM c""")
-def m4_staged_sizes(spark, d):
-    """Rows that staged comparison starts from: units by lane and direction."""
-    c = observations(spark, d).groupBy("person_id", "zone").agg(F.count(F.lit(1)).alias("n"))
-    return c.agg(F.count(F.lit(1)).alias("pairs"), F.sum("n").alias("rows"))
+@query()
+def m4_staged_compare(spark, d):
+    """Labels and sensor events unit by unit, within a lane and then across lanes."""
+    o = observations(spark, d).select((F.col("person_id") % 40).alias("pair"), (F.col("person_id") % 3).alias("lane"), F.when(F.col("event_id") % 2 == 0, "TAKE").otherwise("RETURN").alias("direction"), F.col("event_id").alias("id"), (F.col("ms") / 1000.0).alias("at"), (1 + F.col("event_id") % 3).cast("int").alias("qty"), "zone")
+    side = lambda z: o.where(F.col("zone") == z).drop("zone")
+    return mt.staged_compare(side("click"), side("view"), "pair", "lane", "direction", 2 * 3600.0, 8 * 3600.0)
 
 
 @query()
