@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from ._text import cut, slices
 
-CACHE_WORDS = 1_000_000
+#: Lower-case letter runs (and other stretches) that one process remembers; capitals and stops are put together from them.
+CACHE_WORDS = 500_000
 FIELDS = "doc_id {k}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -65,7 +66,9 @@ class WordEncoder:
 
     def _whole(self, text: str) -> bytes:
         found = self.cache.get(text)
-        return found if found is not None else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if found is None:
+            found = self.cache[text] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return found
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -75,8 +78,7 @@ class WordEncoder:
         if None in out:
             for i, found in enumerate(out):
                 if found is None:
-                    word = words[i]
-                    out[i] = self.cache[word] = self._word(word)
+                    out[i] = self._word(words[i])
         return b"".join(out)
 
 
@@ -107,6 +109,7 @@ def pieces(docs: DataFrame, path: str, *, doc_id="doc_id", text="text", capacity
                     [part.column(0).take(pa.array(which, pa.int64())), pa.array(number.astype(np.int32)), pa.array(number * capacity), pa.array(size, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        encoder.cache = {"": b""}  # an idle process keeps no words
 
     return picked.mapInArrow(run, FIELDS.format(k=kind))
 
