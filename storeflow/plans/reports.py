@@ -127,15 +127,23 @@ def j17_finished_neighbour(spark, d):
 s AS (SELECT a.rid, a.cam, a.frame, a.x, count(DISTINCT o.frame) AS seen FROM b a LEFT JOIN b o ON o.cam = a.cam AND o.frame <> a.frame AND o.cls = a.cls AND greatest(6 - abs(o.x - a.x), 0) / (6 + abs(o.x - a.x)) > 0.3 GROUP BY 1, 2, 3, 4)
 SELECT cam, frame, x, round(CASE WHEN frames > 1 THEN seen / (frames - 1) ELSE 0 END, 6) AS stability FROM s JOIN n USING (cam)""")
 def a17_box_stability(spark, d):
-    """The share of a camera's other frames that show the same class at the same place."""
-    li = table(spark, d, "lineitem").where("l_orderkey % 20 = 0")
-    b = li.select((F.col("l_suppkey") % 50).alias("cam"), F.col("l_orderkey").alias("frame"), F.col("l_returnflag").alias("cls"), F.col("l_quantity").alias("x"))
+    """The share of a camera's other frames that show the same class at the same place.
+
+    A frame always sees its own place, so the others are one less than the frames within reach of a place: a sweep over
+    places, where each frame covers the stretches within reach of its own ones. Boxes six wide overlap by over 0.3 when
+    13 times their distance is under 42.
+    """
+    b = table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("cam"), F.col("l_orderkey").alias("frame"), F.col("l_returnflag").alias("cls"), F.col("l_quantity").alias("x"))
     per = b.groupBy("cam").agg(F.count_distinct("frame").alias("frames"))
-    places = b.groupBy("cam", "frame", "cls", "x").agg(F.count(F.lit(1)).alias("n"))
-    o = places.select("cam", "cls", F.col("frame").alias("f2"), F.col("x").alias("x2"))
-    gap = F.abs(F.col("x") - F.col("x2"))
-    near = places.join(o, ["cam", "cls"]).where((F.col("frame") != F.col("f2")) & (F.greatest(6 - gap, F.lit(0)) / (6 + gap) > 0.3)).groupBy("cam", "frame", "cls", "x").agg(F.count_distinct("f2").alias("seen"))
-    all_ = b.join(near, ["cam", "frame", "cls", "x"], "left").join(per, "cam")
+    p = b.where("frame is not null and x is not null").select("cam", "cls", "frame", "x", (13 * F.col("x").cast("double")).alias("at")).distinct()
+    prev = F.lag("at").over(Window.partitionBy("cam", "cls", "frame").orderBy("at")) + 42
+    p = p.withColumn("begin", F.greatest(F.col("at") - 42, prev))  # a frame's stretches do not overlap
+    mark = lambda c, n, x: p.select("cam", "cls", F.col(c).alias("at"), F.lit(n).alias("n"), x.alias("x"))
+    none = F.lit(None).cast(p.schema["x"].dataType)
+    marks = mark("begin", 1, none).unionByName(p.select("cam", "cls", (F.col("at") + 42).alias("at"), F.lit(-1).alias("n"), none.alias("x"))).unionByName(mark("at", 0, F.col("x")))
+    marks = marks.groupBy("cam", "cls", "at").agg(F.sum("n").alias("n"), F.max("x").alias("x"))
+    near = marks.withColumn("seen", F.sum("n").over(Window.partitionBy("cam", "cls").orderBy("at")) - 1).where("x is not null").select("cam", "cls", "x", "seen")
+    all_ = b.join(near, ["cam", "cls", "x"], "left").join(per, "cam")
     return all_.select("cam", "frame", "x", F.round(F.when(F.col("frames") > 1, F.coalesce("seen", F.lit(0)) / (F.col("frames") - 1)).otherwise(0.0), 6).alias("stability"))
 
 
