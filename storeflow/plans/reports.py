@@ -270,11 +270,11 @@ def p10_label_validation(spark, d):
 SELECT lane, len(list_filter(range(1, len(refs)), lambda i: refs[i] <= refs[i + 1])) > 0 AS not_decreasing, len(list_filter(range(1, len(refs)), lambda i: refs[i] - refs[i + 1] < 8)) > 0 AS too_close FROM l""")
 def p11_lane_consistency(spark, d):
     """Reference distances must fall, and further than the tolerances reach."""
-    li = table(spark, d, "lineitem").where("l_orderkey % 4 = 0")
-    refs = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"))), lambda s: s["l_quantity"]), 1, 4)
-    r = li.groupBy(F.col("l_suppkey").alias("lane")).agg(refs.alias("r"))
-    steps = F.zip_with(F.expr("slice(r, 1, size(r) - 1)"), F.expr("slice(r, 2, size(r))"), lambda a, b: a - b)
-    return r.where("size(r) > 0").withColumn("s", steps).select("lane", F.exists("s", lambda x: x <= 0).alias("not_decreasing"), F.exists("s", lambda x: x < 8).alias("too_close"))
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("lane"), "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("ref"))
+    w = Window.partitionBy("lane").orderBy("l_orderkey", "l_linenumber", "l_partkey", "ref")
+    s = li.select("lane", (F.col("ref") - F.lead("ref").over(w)).alias("step"))
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    return s.groupBy("lane").agg(some(F.col("step") <= 0).alias("not_decreasing"), some(F.col("step") < 8).alias("too_close"))
 
 
 @query("""WITH t AS (SELECT source, lang, doc_id % 3 = 0 AS train FROM documents), k AS (SELECT DISTINCT lang FROM t WHERE train AND lang <> 'es') SELECT source, count(*) AS kept FROM t WHERE lang IN (SELECT lang FROM k) GROUP BY source""")
