@@ -404,22 +404,35 @@ def verified(pairs: DataFrame, cand: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "an", "bn", "ax", "bx").mapInArrow(run, "a long, b long")
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(set_id, label): label is the least set_id that links reach. Min-label rounds with pointer jumping, cut by checkpoints."""
-    edges = cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    touched = edges.select(F.col("a").alias("set_id")).distinct()
-    label = cut(touched.withColumn("label", F.col("set_id")))
-    for _ in range(rounds):
-        near = edges.join(label.select(F.col("set_id").alias("b"), "label"), "b").groupBy(F.col("a").alias("set_id")).agg(F.min("label").alias("other"))
-        hooked = label.join(near, "set_id").select("set_id", F.least("label", "other").alias("next"), F.col("label").alias("was"))
-        jump = hooked.select(F.col("set_id").alias("next"), F.col("next").alias("far"))
-        moved = cut(hooked.join(jump, "next").select("set_id", F.least("next", "far").alias("label"), "was"))
-        changed = not moved.where("label <> was").isEmpty()
-        label = moved.select("set_id", "label")
-        if not changed:
-            break
-    else:
-        raise RuntimeError("components did not settle")
+def bare(df: DataFrame) -> DataFrame:
+    """cut(df) without the planner's constraints, which a checkpoint keeps and which would double with every round."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(cut(df)._jdf.toJavaRDD(), df._jdf.schema()), spark)
+
+
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(set_id, label): label is the least set_id that links reach.
+
+    Rounds over labels, cut by checkpoints, until none changes: a label that a link shows a lesser one takes it as its
+    parent (the least of all its sets' links), parents are followed to their roots by pointer jumping, and links move to
+    the roots; those within one root go. A root that neither takes nor is taken in a round is taken in the next, so roots
+    with links halve at least every two rounds.
+    """
+    edges = bare(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    label = bare(edges.select(F.col("a").alias("set_id")).union(edges.select("b")).distinct().withColumn("label", F.col("set_id")))
+    while not edges.isEmpty():
+        parent = edges.groupBy(F.col("b").alias("r")).agg(F.min("a").alias("p"))  # every p < r: no circles
+        roots = edges.select(F.col("a").alias("r")).union(edges.select(F.col("b"))).distinct()
+        to = bare(roots.join(parent, "r", "left").select("r", F.coalesce("p", "r").alias("p")))
+        while True:
+            up = to.select(F.col("r").alias("p"), F.col("p").alias("far"))
+            jumped = bare(to.join(up, "p").select("r", F.col("far").alias("p"), (F.col("far") != F.col("p")).alias("moved")))
+            to = jumped.select("r", "p")
+            if jumped.where("moved").isEmpty():
+                break
+        label = bare(label.join(to.select(F.col("r").alias("label"), "p"), "label", "left").select("set_id", F.coalesce("p", "label").alias("label")))
+        e = edges.join(to.select(F.col("r").alias("a"), F.col("p").alias("x")), "a").join(to.select(F.col("r").alias("b"), F.col("p").alias("y")), "b")
+        edges = bare(e.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     return nodes.join(label, "set_id", "left").select(*[F.col(c) for c in nodes.columns], F.coalesce("label", "set_id").alias("label"))
 
 
