@@ -3,8 +3,10 @@
 Base labels come from places where a phrase's words stand one after another. The method adds labels of its own:
 
 1. The words of all templates form a small vocabulary; one pass over all documents counts in how many each occurs.
-2. For each file the licence words with the highest IDF that it holds (`rare`, distinct) are looked up. Each place of
-   such a word, with each posting (template, position) of the word, votes for an alignment: place minus position.
+2. Of each template, the places with the highest IDF are looked up, whatever else a file holds: `rare` of them, and as
+   many more as it takes for every stretch with the likeness `least` to match three of them (of L places, n of which
+   must match, L - n + 3). Each occurrence of such a word, with each of its postings (template, position), votes for an
+   alignment: place minus position.
 3. Alignments with enough votes are compared word by word; the share of the template's words that stand at their
    places is its likeness. A template is found when the likeness reaches `least` and one of its key phrases stands
    inside the aligned stretch.
@@ -67,9 +69,9 @@ FIELDS = [("n_words", "bigint"), ("n_base", "bigint"), ("first_word", "bigint"),
 
 
 class Index:
-    """Postings of the templates' words, with the IDF of each word over the corpus."""
+    """Postings of the templates' rare places, by the IDF of each word over the corpus."""
 
-    def __init__(self, templates: dict[str, tuple[str, list[str]]], idf: dict[str, float]):
+    def __init__(self, templates: dict[str, tuple[str, list[str]]], idf: dict[str, float], rare: int, least: float):
         self.labels = list(templates)
         self.words = [hash_words(t.split(), ALNUM) for t, _ in templates.values()]
         self.keys = [[hash_words(p.split(), ALNUM) for p in keys] for _, keys in templates.values()]
@@ -77,9 +79,12 @@ class Index:
         h = hash_words(vocabulary, ALNUM)
         order = np.argsort(h)
         self.vocabulary = h[order]
-        self.idf = np.array([idf.get(vocabulary[i], 0.0) for i in order])
+        rank = np.array([-idf.get(vocabulary[i], 0.0) for i in order])
         ids = [np.searchsorted(self.vocabulary, w) for w in self.words]
-        post = sorted((int(v), k, p) for k, w in enumerate(ids) for p, v in enumerate(w))
+        need = [max(1, next((n for n in range(len(w) + 1) if n / len(w) >= least), len(w))) for w in self.words]
+        self.votes = [min(3, n) for n in need]
+        top = [np.argsort(rank[v], kind="stable")[: max(rare, len(v) - n + k)] for v, n, k in zip(ids, need, self.votes, strict=True)]
+        post = sorted((int(v[p]), k, int(p)) for k, (v, at) in enumerate(zip(ids, top, strict=True)) for p in at)
         self.post_word, self.post_template, self.post_place = (np.array(x, np.int64) for x in zip(*post, strict=True))
         self.post_at = np.searchsorted(self.post_word, np.arange(len(h) + 1))
         self.longest = max(map(len, self.words))
@@ -94,7 +99,7 @@ def places(h: np.ndarray, doc: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     return at[doc[at] == doc[at + m - 1]] if m > 1 else at
 
 
-def alignments(h: np.ndarray, doc: np.ndarray, n: int, ix: Index, rare: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def alignments(h: np.ndarray, doc: np.ndarray, ix: Index, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, template, likeness) of the templates found."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     v = np.searchsorted(ix.vocabulary, h)
@@ -102,24 +107,14 @@ def alignments(h: np.ndarray, doc: np.ndarray, n: int, ix: Index, rare: int, lea
     at = np.flatnonzero(ix.vocabulary[v] == h)
     if not len(at):
         return none
-    v, d, size = v[at], doc[at], len(ix.vocabulary)
-    pair = np.unique(d * size + v)  # each document's distinct licence words ...
-    by_idf = np.lexsort((-ix.idf[pair % size], pair // size))
-    pair = pair[by_idf]
-    first = np.searchsorted(pair // size, np.arange(n))
-    top = np.arange(len(pair)) - first[pair // size] < rare  # ... and its rarest ones
-    chosen = np.sort(pair[top])
-    own = d * size + v
-    spot = np.minimum(np.searchsorted(chosen, own), len(chosen) - 1)
-    on = chosen[spot] == own
-    at, v, d = at[on], v[on], d[on]
+    v, d = v[at], doc[at]
     count = ix.post_at[v + 1] - ix.post_at[v]
     post = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(ix.post_at[v], count)
     shift = np.repeat(at, count) - ix.post_place[post] + ix.longest
     vote, votes = np.unique(np.stack([ix.post_template[post], shift, np.repeat(d, count)]), axis=1, return_counts=True)
     found_d, found_t, found_s = [], [], []
     for t, words in enumerate(ix.words):
-        mine = (vote[0] == t) & (votes >= min(3, len(words) - 1, max(2, rare // 4)))
+        mine = (vote[0] == t) & (votes >= ix.votes[t])
         start, who = vote[1][mine] - ix.longest, vote[2][mine]
         if not len(start):
             continue
@@ -144,7 +139,7 @@ def alignments(h: np.ndarray, doc: np.ndarray, n: int, ix: Index, rare: int, lea
     return (np.concatenate(found_d), np.concatenate(found_t), np.concatenate(found_s)) if found_d else none
 
 
-def scan_texts(col: pa.Array, ix: Index, phrases: list[tuple[str, str]], rare: int, least: float):
+def scan_texts(col: pa.Array, ix: Index, phrases: list[tuple[str, str]], least: float):
     n = len(col)
     h, doc = word_table(*buffers(col), ALNUM)
     words = np.bincount(doc, minlength=n)
@@ -160,7 +155,7 @@ def scan_texts(col: pa.Array, ix: Index, phrases: list[tuple[str, str]], rare: i
             base[i].add(label)
     every = [set(x) for x in base]
     score = (total > 0).astype(float)
-    for i, t, s in zip(*alignments(h, doc, n, ix, rare, least), strict=True):
+    for i, t, s in zip(*alignments(h, doc, ix, least), strict=True):
         every[i].add(ix.labels[t])
         score[i] = max(score[i], s)
     none = total == 0
@@ -196,5 +191,5 @@ def word_idf(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[str, flo
 def scan(docs: DataFrame, *, doc_id="doc_id", text="text", phrases=PHRASES, templates=TEMPLATES, rare=12, least=0.6) -> DataFrame:
     """One row per document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
     vocabulary = sorted({w for t, _ in templates.values() for w in t.split()})
-    ix = docs.sparkSession.sparkContext.broadcast(Index(templates, word_idf(docs, text, vocabulary)))
-    return map_text(docs, text, {doc_id: doc_id}, FIELDS, lambda col: scan_texts(col, ix.value, phrases, rare, least))
+    ix = docs.sparkSession.sparkContext.broadcast(Index(templates, word_idf(docs, text, vocabulary), rare, least))
+    return map_text(docs, text, {doc_id: doc_id}, FIELDS, lambda col: scan_texts(col, ix.value, phrases, least))
