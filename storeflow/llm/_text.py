@@ -3,11 +3,13 @@
 Texts are handled as UTF-8 bytes. A word class is a 256-entry table of word bytes; bytes of 0x80 and above are
 always word bytes, so multi-byte characters never split. A-Z fold to a-z. A word's hash is 64 bits of a random
 polynomial over its bytes (fixed tables, so every task and every run agrees), computed for a whole slice of texts at
-once with cumulative sums.
+once with cumulative sums. Such polynomials modulo 2**64 collide on long self-similar words whatever their tables, so
+words over LONG bytes are hashed by BLAKE2b instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +21,8 @@ from pyspark.sql import types as T
 U64 = np.uint64
 #: Bytes of text whose word tables are built together.
 SLICE_BYTES = 2 << 20
+#: Words of more bytes than this get a cryptographic hash.
+LONG = 64
 _CHUNK = 1 << 20
 _RADIX = 0x9E3779B97F4A7C15 | 1
 _RADIX_INV = pow(_RADIX, -1, 1 << 64)
@@ -33,6 +37,10 @@ SPACED = _word_bytes(lambda b: b == 0x20 or 0x09 <= b <= 0x0D)
 #: Words are runs of digits, letters and non-ASCII characters; A-Z count as letters since they fold first.
 ALNUM = _word_bytes(lambda b: not (0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A))
 
+#: A-Z to a-z, all other bytes as they are.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[0x41:0x5B] += 0x20
+
 _VALUES = np.random.Generator(np.random.PCG64(20240117)).integers(0, 1 << 64, 256, dtype=U64, endpoint=False)
 _VALUES[0x41:0x5B] = _VALUES[0x61:0x7B]
 _POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
@@ -59,10 +67,10 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-def word_table(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, document number) of every word, in order, of the texts data[offsets[i]:offsets[i+1]]."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document number, first byte, bytes) of every word, in order, of the texts data[offsets[i]:offsets[i+1]]."""
     base, end = int(offsets[0]), int(offsets[-1])
-    hashes, at = [], []
+    hashes, at, sizes = [], [], []
     lo = base
     while lo < end:
         hi = min(end, lo + _CHUNK)
@@ -85,13 +93,22 @@ def word_table(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple
         with np.errstate(over="ignore"):
             x = _VALUES[b] * power[: hi - lo]
             c = np.cumsum(x, dtype=U64)
-            hashes.append(mix((c[e] - c[s] + x[s]) * inverse[s] + (e - s + 1).astype(U64)))
+            made = mix((c[e] - c[s] + x[s]) * inverse[s] + (e - s + 1).astype(U64))
+        for i in np.flatnonzero(e - s >= LONG):
+            made[i] = int.from_bytes(hashlib.blake2b(FOLD[b[s[i] : e[i] + 1]].tobytes(), digest_size=8).digest(), "little")
+        hashes.append(made)
         at.append(s + lo)
+        sizes.append(e - s + 1)
         lo = hi
     if not hashes:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+        return np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(3))
     starts = np.concatenate(at)
-    return np.concatenate(hashes), np.searchsorted(offsets, starts, side="right") - 1
+    return np.concatenate(hashes), np.searchsorted(offsets, starts, side="right") - 1, starts, np.concatenate(sizes)
+
+
+def word_table(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document number) of every word, in order."""
+    return word_spans(data, offsets, word)[:2]
 
 
 def hash_words(words: list[str], word: np.ndarray) -> np.ndarray:
@@ -174,7 +191,7 @@ def filter_text(df: DataFrame, text: str, keep) -> DataFrame:
 
 
 def shared_dir(spark, prefix: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; set here only where it is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a single machine may leave it unset."""
     import tempfile
     import uuid
 
@@ -182,7 +199,12 @@ def shared_dir(spark, prefix: str) -> str:
     sc = spark.sparkContext
     if root is None:
         found = sc._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if found.isDefined():
+            root = found.get()
+        elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{root.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
 

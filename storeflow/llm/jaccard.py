@@ -5,18 +5,20 @@ The join finds every pair of sets with 100 * |A & B| >= percent * |A | B| and re
 1. Documents become sets of 64-bit shingle hashes; equal sets share a set id, so copies cost one set.
 2. Index. Shingles are dealt by hash range; each range learns in how many sets each shingle occurs and sends back only
    those that two or more sets hold. A shingle of one set cannot link anything; it merely uses up prefix places.
-   Very frequent shingles (at most a hundred thousand, by their share of all entries) are found by counts that add up
-   in each task; they are known to be shared, so their sets go straight back and never meet in a range.
+   Very frequent shingles are found beforehand by counts that add up in each task (a summary of bounded size, which
+   finds every shingle above a share of all entries, however its sets are spread); they are known to be shared, so
+   their sets go straight back, one row a set, and never meet in a range. Which way a shingle takes changes no result.
 3. Prefixes. With shingles ordered by (frequency, hash), two linked sets meet within their first
    n - ceil(t n) + 1 places. Unshared shingles come first, so most sets have no place left and drop out here.
 4. Skipping in the index. A list holds (set, size, place), sorted by size in blocks; a block is skipped when its largest
    possible overlap, from sizes, places and unshared counts, is too small for the probing set.
 5. Skipping by answers. Each list first links every set to one highly connected set of it (the one with the fewest
    shingles of its own). Sets so joined need no further comparison, so what remains are pairs across components:
-   a component's answers are derived through its hub instead of from all pairs.
-6. Links are verified exactly on the shared shingles; components come from min-label rounds with pointer jumping.
+   a component's answers are derived through its hub instead of from all pairs. So not every link is written down,
+   only enough of them that components are those of all links; numbers of links per document are not made.
+6. Links are verified on all shared shingles; components come from rounds that hook roots, with pointer jumping.
 
-No step sends sets, links or components to the driver, and no list is capped.
+No step sends sets, links or components to the driver, and no list is capped. Shingles are compared by 64-bit hashes.
 
 Defined results: null texts and texts without words have 0 shingles and are linked with nothing (their component is
 their own id); with fewer than k words the whole sequence is the one shingle; rows that repeat a doc_id are rows of
@@ -34,6 +36,12 @@ from pyspark.sql import functions as F
 from ._text import SPACED, U64, buffers, cut, map_text, mix, slices, starts_of, word_table
 
 BLOCK = 64
+#: Bytes of text whose sets are made together.
+SLICE = 5 << 20
+#: Share of all (shingle, set) entries from which a shingle counts as very frequent.
+SHARE = 1e-5
+#: Shingles that a task's summary keeps.
+SUMMARY = 400_000
 _K = U64(0x9E3779B97F4A7C15)
 
 
@@ -96,7 +104,7 @@ def documents_to_sets(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFr
 def _slice_sets(batches, k: int):
     """(shingle, document, set ids, sizes) of each slice of texts; a slice holds a set once."""
     for batch in batches:
-        for i, j in slices(batch.column(0), 6 << 20):
+        for i, j in slices(batch.column(0), SLICE):
             part = batch.column(0).slice(i, j - i)
             x, d = shingle_sets(part, k)
             size, ids = set_ids(x, d, len(part))
@@ -107,22 +115,41 @@ def _slice_sets(batches, k: int):
             yield x[on], d[on], ids, size
 
 
+def summed(h: np.ndarray, c: np.ndarray, h2: np.ndarray, c2: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted count tables as one of at most `keep` entries, by Misra and Gries: what is taken off a count is at
+    most the sum of all counts over `keep`."""
+    h = np.concatenate([h, h2])
+    order = np.argsort(h, kind="stable")
+    h, c = h[order], np.concatenate([c, c2])[order]
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    h, c = h[at], np.add.reduceat(c, at) if len(at) else c[:0]
+    if len(h) > keep:
+        c = c - np.partition(c, len(c) - keep - 1)[len(c) - keep - 1]
+        h, c = h[c > 0], c[c > 0]
+    return h, c
+
+
 def frequent_shingles(docs: DataFrame, text: str, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, count), sorted, of shingles that slices with four or more of their sets hold `least` times in all.
+    """(shingle, count), sorted: every shingle in at least SHARE of all (shingle, set of a slice) entries, if in `least` at least.
 
-    Counts are added up in each slice first. There are at most as many as the entries over `least`, so the caller's
-    share of all entries bounds the result. What is not found here has few sets a slice and stays in its range.
+    A task reports what it counts in half that share of its entries (twice at least). With that and what a summary takes off, a quarter
+    of a shingle's count remains at least, so a quarter is asked for, and at most 4 / SHARE shingles come back.
     """
     picked = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where("t is not null")
 
     def run(batches):
+        h, c, total = np.zeros(0, U64), np.zeros(0, np.int64), 0
         for x, _, _, _ in _slice_sets(batches, k):
-            h, c = np.unique(x, return_counts=True)
-            on = c >= 4
-            if on.any():
-                yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(c[on].astype(np.int64))], names=["h", "c"])
-
-    got = picked.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toPandas()
+            h, c = summed(h, c, *np.unique(x, return_counts=True), SUMMARY)
+            total += len(x)
+        on = c >= max(2, SHARE * total / 2)
+        yield pa.RecordBatch.from_arrays([pa.array(h[on].view(np.int64)), pa.array(c[on].astype(np.int64)), pa.array(np.full(on.sum(), 0, np.int64))], names=["h", "c", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], names=["h", "c", "total"])
+
+    counted = picked.mapInArrow(run, "h long, c long, total long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
+    counted = cut(counted)
+    total = counted.agg(F.sum("total")).first()[0] or 0
+    got = counted.where(4 * F.col("c") >= max(least, SHARE * total)).toPandas()  # at most 4 / SHARE rows
     h, c = got["h"].to_numpy(np.int64).view(U64), got["c"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], c[order]
@@ -137,7 +164,8 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 def frequent_entries(docs: DataFrame, text: str, k: int, frequent, homes: int) -> DataFrame:
     """What shared_shingles makes, for the frequent shingles: their sets need not meet to be known as shared.
 
-    A set that many slices hold is made one row by shuffling on (shingle, set), which adds up in each task.
+    A row holds all of a set's frequent shingles; a set that many slices hold is made one row by shuffling on its id,
+    after one of each task's is chosen.
     """
     picked = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where("t is not null")
 
@@ -145,18 +173,25 @@ def frequent_entries(docs: DataFrame, text: str, k: int, frequent, homes: int) -
         known, _ = frequent.value
         for x, d, ids, size in _slice_sets(batches, k):
             on = _among(x, known)
-            if on.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[on].view(np.int64)), pa.array(ids[d[on]]), pa.array(size[d[on]].astype(np.int64))], names=["h", "s", "n"])
+            x, d = x[on], d[on]
+            at = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
+            end = np.append(at[1:], len(d))
+            who = d[at]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(size[who].astype(np.int64)), pa.array([x[a:b].tobytes() for a, b in zip(at, end, strict=True)], pa.binary())], names=["s", "n", "x"])
 
     def blobs(batches):
         known, counts = frequent.value
         for b in batches:
-            x, s, n = (c.to_numpy() for c in b.columns)
-            if len(x):
-                made = _by_home(x.view(U64), s, n, counts[np.searchsorted(known, x.view(U64))], homes)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["q", "who", "x", "df"])
-
-    once = picked.mapInArrow(rows, "h long, s long, n long").distinct()
+            if not b.num_rows:
+                continue
+            s, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            x = [np.frombuffer(v.as_buffer(), U64) for v in b.column(2)]
+            size = np.array([len(v) for v in x])
+            x = np.concatenate(x)
+            made = _by_home(x, np.repeat(s, size), np.repeat(n, size), counts[np.searchsorted(known, x)], homes)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["q", "who", "x", "df"])
+
+    once = picked.mapInArrow(rows, "s long, n long, x binary").groupBy("s").agg(F.first("n").alias("n"), F.first("x").alias("x"))
     return once.mapInArrow(blobs, "q long, who binary, x binary, df binary")
 
 
@@ -440,8 +475,7 @@ def linked_sets(docs: DataFrame, *, text="text", k=5, percent=80, range_bytes=8
     """(candidate sets, links): every linked pair of different components' sets, and enough links to join the rest."""
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
     ranges = max(1, -(-total // range_bytes))
-    least = max(frequent_least, total // 600_000)  # a word takes six bytes or so: a hundred-thousandth of all entries
-    known = frequent_shingles(docs, text, k, least)
+    known = frequent_shingles(docs, text, k, frequent_least)
     frequent = docs.sparkSession.sparkContext.broadcast(known) if len(known[0]) else None
     shared = shared_shingles(index_entries(docs, text, k, ranges, frequent), ranges, ranges)
     if frequent is not None:

@@ -9,7 +9,7 @@ Base labels come from places where a phrase's words stand one after another. The
    alignment: place minus position.
 3. Alignments with enough votes are compared word by word; the share of the template's words that stand at their
    places is its likeness. A template is found when the likeness reaches `least` and one of its key phrases stands
-   inside the aligned stretch.
+   inside the aligned stretch and the file.
 
 The vocabulary and its counts are as long as the templates, whatever the corpus. Documents are read twice and never
 shuffled; there is no cap on places or alignments.
@@ -85,8 +85,9 @@ class Index:
         self.votes = [min(3, n) for n in need]
         top = [np.argsort(rank[v], kind="stable")[: max(rare, len(v) - n + k)] for v, n, k in zip(ids, need, self.votes, strict=True)]
         post = sorted((int(v[p]), k, int(p)) for k, (v, at) in enumerate(zip(ids, top, strict=True)) for p in at)
-        self.post_word, self.post_template, self.post_place = (np.array(x, np.int64) for x in zip(*post, strict=True))
-        self.post_at = np.searchsorted(self.post_word, np.arange(len(h) + 1))
+        post_word, self.post_template, self.post_place = (np.array(x, np.int64) for x in zip(*post, strict=True))
+        posted, first = np.unique(post_word, return_index=True)  # words without a posting are never looked up
+        self.vocabulary, self.post_at = self.vocabulary[posted], np.append(first, len(post_word))
         self.longest = max(map(len, self.words))
 
 
@@ -99,8 +100,8 @@ def places(h: np.ndarray, doc: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     return at[doc[at] == doc[at + m - 1]] if m > 1 else at
 
 
-def alignments(h: np.ndarray, doc: np.ndarray, ix: Index, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, template, likeness) of the templates found."""
+def alignments(h: np.ndarray, doc: np.ndarray, begin: np.ndarray, ix: Index, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, template, likeness) of the templates found; begin holds each document's first word."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     v = np.searchsorted(ix.vocabulary, h)
     v[v == len(ix.vocabulary)] = 0
@@ -128,10 +129,11 @@ def alignments(h: np.ndarray, doc: np.ndarray, ix: Index, least: float) -> tuple
         keyed = np.zeros(len(start), bool)
         for key in ix.keys[t]:
             spots = places(h, doc, key)
-            nearest = np.searchsorted(spots, start)
-            has = nearest < len(spots)
-            where = spots[np.minimum(nearest, max(0, len(spots) - 1))] if len(spots) else np.full(len(start), -1)
-            keyed |= has & (where + len(key) <= start + len(words)) & (where >= start)
+            if not len(spots):
+                continue
+            nearest = np.searchsorted(spots, np.maximum(start, begin[who]))  # a stretch may reach past its document's ends
+            where = spots[np.minimum(nearest, len(spots) - 1)]
+            keyed |= (nearest < len(spots)) & (where + len(key) <= start + len(words)) & (doc[where] == who)
         good = keyed & (like >= least)
         found_d.append(who[good])
         found_t.append(np.full(good.sum(), t))
@@ -155,7 +157,7 @@ def scan_texts(col: pa.Array, ix: Index, phrases: list[tuple[str, str]], least:
             base[i].add(label)
     every = [set(x) for x in base]
     score = (total > 0).astype(float)
-    for i, t, s in zip(*alignments(h, doc, ix, least), strict=True):
+    for i, t, s in zip(*alignments(h, doc, begin, ix, least), strict=True):
         every[i].add(ix.labels[t])
         score[i] = max(score[i], s)
     none = total == 0

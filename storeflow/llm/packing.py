@@ -1,10 +1,11 @@
 """Best-fit packing: sum-of-squares packing of tokenised documents into sequences.
 
 A document's ids and a closing id are cut into pieces of at most `capacity`; only longer documents are cut. Pieces are
-dealt into groups of a bounded number by a hash of the document, and each group is packed by itself: a piece goes where
-the sum, over residual gaps, of the squared number of open bins with that gap becomes smallest, opening a bin only when
-that is what minimises it. Large pieces go first, so the many small ones close what gaps remain; a group ends with a
-few bins that are not full, against thousands that are.
+dealt into groups of a bounded number by a hash of the document and its place in its task, so repeated rows spread, and
+each group is packed by itself: a piece goes where the sum, over residual gaps, of the squared number of open bins with
+that gap becomes smallest. A new bin is opened only when no open one has room (any-fit), as the aim is the fewest
+sequences. Large pieces go first, so the many small ones close what gaps remain; a group ends with a few bins that are
+not full, against thousands that are.
 
 Only lengths reach the packer (about 40 bytes a piece); ids stay with the task that read the text.
 
@@ -15,6 +16,7 @@ itself; an empty table packs into nothing.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -25,60 +27,74 @@ from pyspark.sql import functions as F
 
 from ._text import cut, slices
 
-#: Lower-case letter runs (and other stretches) that one process remembers; capitals and stops are put together from them.
-CACHE_WORDS = 500_000
+#: Bytes of words and their ids that one process remembers, in two generations.
+CACHE_BYTES = 96 << 20
+_ENTRY_BYTES = 192  # a dict slot and the heads of a string and a bytes object
 FIELDS = "doc_id {k}, piece int, start long, length long, ids_crc32 long"
 
 
+def _latin1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordEncoder:
     """Ids of whole texts for a lower-casing word BPE, word by word.
 
     White space never enters a token of this vocabulary, so the text splits at blanks and line ends without changing
-    any id. Letter runs go straight to the BPE model; anything else goes through the whole tokenizer.
+    any id, and a stop or comma between a letter and a blank is a word of its own. Texts of Latin-1 are lowered whole.
+    Letter runs go straight to the BPE model; anything else goes through the whole tokenizer.
+
+    Words are remembered across tasks in two generations of CACHE_BYTES / 2 each: a full young one replaces the old
+    one, and a word found in the old one moves to the young one, so frequent words stay and rare ones leave.
     """
 
-    _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    _PLAIN = re.compile(r"[a-zà-öø-ÿ]+")
+    _MARKED = re.compile(r"([a-zà-öø-ÿ]+)([!#$%&*+,.:;?]+)")
+    _STOP = re.compile(r"([.,])(?<=[a-zà-öø-ÿ][.,])(?= |$)")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.cache: dict[str, bytes] = {"": b""}
+        self.half, self.young, self.old, self.held = cache_bytes // 2, {"": b""}, {}, 0
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in plain]
         self.shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}  # byte-level BPE's printable bytes
 
-    def _letters(self, word: str) -> bytes:
-        word = word.lower()
-        found = self.cache.get(word)
-        if found is None:
-            shown = word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode()))
-            found = self.cache[word] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-        return found
-
-    def _word(self, word: str) -> bytes:
+    def _made(self, word: str) -> bytes:
         if self._PLAIN.fullmatch(word):
-            return self._letters(word)
-        if word[-1] in ".," and self._PLAIN.fullmatch(word, 0, len(word) - 1):
-            return self._letters(word[:-1]) + self._whole(word[-1])
-        return self._whole(word)
+            ids = [t.id for t in self.model.tokenize(word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode())))]
+        elif m := self._MARKED.fullmatch(word):
+            return self._word(m[1]) + self._word(m[2])
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _whole(self, text: str) -> bytes:
-        found = self.cache.get(text)
+    def _word(self, word: str) -> bytes:
+        found = self.young.get(word)
         if found is None:
-            found = self.cache[text] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            found = self.old.get(word)
+            if found is None:
+                found = self._made(word)
+            self.held += _ENTRY_BYTES + len(word) + len(found)
+            if self.held > self.half:
+                self.young, self.old, self.held = {"": b""}, self.young, 0
+            self.young[word] = found
         return found
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {"": b""}
-        out = list(map(self.cache.get, words := text.replace("\n", " ").split(" ")))
-        if None in out:
-            for i, found in enumerate(out):
-                if found is None:
-                    out[i] = self._word(words[i])
+        text = text.replace("\n", " ")
+        if _latin1(text):
+            text = self._STOP.sub(r" \1", text.lower())
+        out = list(map(self.young.get, words := text.split(" ")))
+        for i in [i for i, found in enumerate(out) if found is None]:
+            out[i] = self._word(words[i])
         return b"".join(out)
 
 
@@ -109,7 +125,6 @@ def pieces(docs: DataFrame, path: str, *, doc_id="doc_id", text="text", capacity
                     [part.column(0).take(pa.array(which, pa.int64())), pa.array(number.astype(np.int32)), pa.array(number * capacity), pa.array(size, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
-        encoder.cache = {"": b""}  # an idle process keeps no words
 
     return picked.mapInArrow(run, FIELDS.format(k=kind))
 
@@ -117,8 +132,8 @@ def pieces(docs: DataFrame, path: str, *, doc_id="doc_id", text="text", capacity
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Bin of each piece, taken in the given order.
 
-    Moving a bin from gap g to g - s changes the sum of squares by 2 (N[g-s] - N[g]) + 2, and closing one by 1 - 2 N[g];
-    a new bin costs 2 N[capacity - s] + 1. Among equal sums the tightest gap wins.
+    Moving a bin from gap g to g - s changes the sum of squares by 2 (N[g-s] - N[g]) + 2, and closing one by 1 - 2 N[g].
+    Among equal sums the tightest gap wins; a bin is opened where none has room.
     """
     count = np.zeros(capacity + 1, np.int64)  # count[0] stays 0: full bins are closed
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -167,7 +182,7 @@ def pack(docs: DataFrame, path: str, *, doc_id="doc_id", text="text", capacity=4
     def first(key, pdf):
         return _packed(pdf.drop(columns="grp"), capacity).assign(grp=key[0])
 
-    dealt = rest.withColumn("grp", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(groups)))
+    dealt = rest.withColumn("grp", F.pmod(F.xxhash64("doc_id", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     once = dealt.groupBy("grp").applyInPandas(first, schema)
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     whole = full.select(*cols, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
