@@ -241,12 +241,44 @@ def test_decontamination(spark):
                         found.add("" if item is None else str(item))
             want.append((k, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
         assert got == sorted(want)
-    kept = decontaminate.drop_contaminated(docs, bench, window=4)
-    assert kept.columns == docs.columns and kept.count() == sum(not w[5] for w in want)
+    for size in (8 << 20, 300):
+        kept = decontaminate.drop_contaminated(docs, bench, window=4, block_bytes=size)
+        assert kept.columns == docs.columns and kept.count() == sum(not w[5] for w in want)
     assert {r.contaminated for r in contamination(docs, bench.limit(0)).collect()} == {False}
     assert contamination(docs.limit(0), bench).count() == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_long_similar_words_differ(spark):
+    """Words on which every polynomial modulo 2**64 agrees."""
+    from storeflow.llm._text import ALNUM as class_, hash_words
+    from storeflow.llm.jaccard import near_duplicates
+
+    for n in (64, 128, 1024, 4096):
+        assert len(set(hash_words([thue_morse(n), thue_morse(n, "b", "a"), thue_morse(n).upper()], class_).tolist())) == 2
+    docs = [(1, f"one {thue_morse(2048)} two"), (2, f"one {thue_morse(2048, 'b', 'a')} two"), (3, f"ONE {thue_morse(2048).upper()} two")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    found = contamination(docs, spark.createDataFrame([(1, f"one {thue_morse(2048)} two")], "item_id long, text string")).collect()
+    assert {r.doc_id: r.n_hit for r in found} == {1: 3, 2: 0, 3: 3}
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_equal_hashes_are_not_occurrences(monkeypatch):
+    import pyarrow as pa
+
+    real = decontaminate.word_spans
+    monkeypatch.setattr(decontaminate, "word_spans", lambda *a: (lambda h, *rest: (h % decontaminate.U64(3), *rest))(*real(*a)))
+    rng = random.Random(2)
+    vocab = ["a", "b", "cc", "dd", "é", "ff"]
+    texts = [" ".join(rng.choice(vocab) for _ in range(30)) for _ in range(20)]
+    items = [(str(i), " ".join(rng.choice(vocab) for _ in range(3))) for i in range(20)]
+    _, _, found, _, _ = decontaminate.search_texts(pa.array(texts), decontaminate.Block(items, 10))
+    assert found == [{i for i, t in items if f" {t} " in f" {text} "} for text in texts]
+
+
 def test_registered():
     import __spark_entry__ as e
 
