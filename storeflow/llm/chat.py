@@ -16,8 +16,8 @@ placeholder can be forged: the reader undoes this exactly. In a role a line end
 Each turn is formatted where it is; conversations are assembled by a sort within partitions and streamed turn by turn,
 so a conversation of any length needs one turn of memory.
 
-Defined results: a null text is empty; a null role is an empty role; turns with equal numbers are ordered by role, then
-text; a null conv_id is a conversation of its own; an unknown part kind is a placeholder of that kind with 0 tokens.
+Defined results: a null text is empty; a null role is an empty role; turns with equal numbers are ordered by their
+formatted form; a null conv_id is a conversation of its own; an unknown part kind is a placeholder of that kind with 0 tokens.
 """
 
 from __future__ import annotations

@@ -17,15 +17,18 @@ QUERIES = {"op3_chat": op3_chat}
 
 _ESC = r"replace(replace(replace(replace({x}, '\', '\\'), '#', '\#'), '</', '<\/'), '<|', '<\|')"
 
+_SEGMENT = f"'### ' || replace({_ESC.format(x='role')}, chr(10), '\\n') || ':' || chr(10) || {_ESC.format(x='text')} || '</turn>' || chr(10)"
+
 ORACLES = {
     "op3_chat": rf"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+s AS (SELECT *, {_SEGMENT} AS segment FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, segment)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(length('### ' || replace({_ESC.format(x="role")}, chr(10), '\n') || ':' || chr(10) || {_ESC.format(x="text")} || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
-FROM c GROUP BY conv_id
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, segment) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(segment)) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
 """
 }

@@ -1,9 +1,9 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are the hashed words, word pairs and pairs with one word between, each counted once per text.
-Training is online: one task streams a bounded sample of the labelled rows (`max_rows`), ordered by a hash, up to
-`max_epochs` times over while that shows it no more than `max_rows` examples, and keeps only per-coordinate sums (z, n), so its memory is the table of 2**bits coordinates. L1 leaves
-few weights; those that are not zero are collected (at most 2**bits) and broadcast, and every text is scored where it
+Training is online: one task streams a bounded sample of the labelled rows (about `max_rows`, twice that at most), each
+of `epochs` times in an order by a hash, whatever the number of labels, and keeps only per-coordinate sums (z, n), so
+its memory is the table of 2**bits coordinates. L1 leaves few weights; those that are not zero are collected (at most 2**bits) and broadcast, and every text is scored where it
 is read, without a shuffle.
 
 Defined results: null and empty texts have no features and score the bias; a label that is null is not learnt from;
@@ -30,8 +30,8 @@ class Settings:
     beta: float = 1.0
     l1: float = 6.0
     l2: float = 0.05
-    max_rows: int = 48_000
-    max_epochs: int = 8
+    max_rows: int = 24_000
+    epochs: int = 4
     threshold: float = 0.5
 
 
@@ -108,11 +108,10 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", l
     if not total:
         return Model(s.bits, np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, False)
     share = min(1.0, s.max_rows / total)
-    epochs = max(1, min(s.max_epochs, s.max_rows // total))
-    lab = lab.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * s.max_rows)
+    lab = lab.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * s.max_rows)  # a bound even where ids repeat
     rows = docs.select(F.col(doc_id).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(lab), "k")  # lab is bounded
     found = map_text(rows, "t", {"k": "k", "y": "y"}, [("x", "binary")], lambda col: [[v.astype(np.int32).tobytes() for v in features(col, s.bits)]])
-    turns = found.select("*", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
+    turns = found.select("*", F.explode(F.sequence(F.lit(1), F.lit(s.epochs))).alias("epoch"))
     ordered = turns.repartition(1).sortWithinPartitions("epoch", F.xxhash64("k", F.col("epoch")), "k", "y", "x").select("y", "x")
 
     def fit(batches):

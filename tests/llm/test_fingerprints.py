@@ -4,7 +4,9 @@ import re
 
 import xxhash
 
-from storeflow.llm.fingerprints import fingerprint_edits, near_pairs
+from pyspark.sql import functions as F
+
+from storeflow.llm.fingerprints import fingerprint_edits, near_pairs, placed
 
 
 def chain(values, seed=42):
@@ -29,7 +31,8 @@ def brute(rows):
         edited = text[: len(text) - n] + after[:n]
         a, e, x = simhash(text), simhash(edited), simhash(after)
         like = lambda p, q: 1 - bin(p ^ q).count("1") / 64
-        out.append((key, len(text), hashlib.sha256(edited.encode()).hexdigest(), f"{a:016x}", f"{e:016x}", like(a, e), like(a, x)))
+        near = sum(bin(a ^ simhash(t or "")).count("1") <= 3 for _, t in rows) - 1 if key is not None and key % 50 == 0 else None
+        out.append((key, len(text), hashlib.sha256(edited.encode()).hexdigest(), f"{a:016x}", f"{e:016x}", like(a, e), like(a, x), near))
     return sorted(out, key=str)
 
 
@@ -43,7 +46,15 @@ def test_like_brute_force(spark):
     rng = random.Random(3)
     words = [f"w{i}é" for i in range(60)]
     rows = [(i * 7, " ".join(rng.choice(words) for _ in range(rng.randrange(40)))) for i in range(60)]
-    check(spark, rows + [(5, None), (6, ""), (9, "ab"), (9, "ab"), (9, "zz y"), (11, "x\ty\n\nz  w"), (1000, "long text " * 20_000), (None, "n n")])
+    check(spark, rows + [(5, None), (6, ""), (9, "ab"), (9, "ab"), (9, "zz y"), (11, "x\ty\n\nz  w"), (1000, "long text " * 20_000), (None, "n n"), (2000, "ab"), (2050, ""), (2100, None), (2001, "ab ab")])
+
+
+def test_bucket_bounds(spark):
+    rng = random.Random(8)
+    for n in (0, 1, 2, 7, 50):
+        bounds = sorted(rng.sample(range(-200, 200), n))
+        got = spark.range(-220, 220).select("id", placed(F.col("id"), bounds).alias("b")).collect()
+        assert all(r.b == sum(x < r.id for x in bounds) for r in got)
 
 
 def test_edges(spark):

@@ -33,3 +33,29 @@ def test_every_notice_of_a_file(spark):
         like = {k: likeness(t.split(), *v) for k, v in licenses.TEMPLATES.items()}
         base = set(filter(None, got[i].base_labels.split(",")))
         assert set(filter(None, got[i].labels.split(","))) == base | {k for k, x in like.items() if x}
+
+
+def test_neighbours_change_nothing(spark):
+    """A notice that ends in the next row is not in this one, and no row depends on those beside it."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    vocabulary = sorted({w for t, _ in licenses.TEMPLATES.values() for w in t.split()})
+    texts = ["x released under the", "mit license is nice", "released under the", "mit license", ""]
+    for t, _ in licenses.TEMPLATES.values():
+        w = t.split()
+        k = rng.randrange(1, len(w))
+        texts += [" ".join(w[:k]), " ".join(w[k:])]
+    texts += [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(200))) for _ in range(40)]
+    ix = licenses.Index(licenses.TEMPLATES, dict.fromkeys(vocabulary, 1.0), 12, 0.6)
+    plain = lambda c: c.to_pylist() if isinstance(c, pa.Array) else np.asarray(c).tolist()
+    one = [[plain(c) for c in licenses.scan_texts(pa.array([t]), ix, licenses.PHRASES, 0.6)] for t in texts]
+    for order in (list(range(len(texts))), rng.sample(range(len(texts)), len(texts))):
+        got = licenses.scan_texts(pa.array([texts[i] for i in order]), ix, licenses.PHRASES, 0.6)
+        for c, column in enumerate(got):
+            assert [x for i in order for x in one[i][c]] == plain(column)
+    for i, t in enumerate(texts):
+        like = {k: likeness(t.split(), *v) for k, v in licenses.TEMPLATES.items()}
+        assert set(filter(None, one[i][5][0].split(","))) == {k for k, x in like.items() if x} | set(filter(None, one[i][4][0].split(",")))
+        assert abs(one[i][6][0] - max([*like.values(), float(one[i][1][0] > 0)])) < 1e-9

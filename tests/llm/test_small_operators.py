@@ -5,6 +5,8 @@ import io
 import json
 import random
 import re
+import struct
+import zlib
 
 import pytest
 
@@ -92,6 +94,29 @@ def test_counts_like_a_unigram_tokenizer(spark):
     assert sorted((r.doc_id, r.n_pieces) for r in tokencount.token_counts(df, v).collect()) == [(1, 0), (2, 0), *[(3, whole.solve("▁the▁cat")[0])] * 2]
 
 
+def test_whole_documents_like_a_unigram_tokenizer(spark):
+    """The supplied vocabulary and scores, as a unigram model of the tokenizers library, over whole given texts."""
+    import sentencepiece
+    from tokenizers import Tokenizer, models
+
+    path = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    v = tokencount.load_vocabulary(path)
+    bytes_ = [(sp.id_to_piece(i), -1e9) for i in range(sp.get_piece_size()) if sp.is_byte(i)]
+    model = Tokenizer(models.Unigram([("<unk>", 0.0), *zip(v.pieces, v.scores, strict=True), *bytes_], unk_id=0, byte_fallback=True))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = tokencount.token_counts(docs, v).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r.doc_id]
+        assert r.n_pieces == (len(model.encode("▁" + t.replace(" ", "▁")).ids) if t else 0), r.doc_id
+    odd = [(1, ""), (2, "漢字 \u0000 x"), (3, "word " * 40_000), (4, None)]
+    df = spark.createDataFrame(odd, "doc_id long, text string").selectExpr("*", "1 as n_pieces", "2 as score", "3 as t")
+    assert {r.doc_id: r.n_pieces for r in tokencount.token_counts(df, v).collect()} == {k: len(model.encode("▁" + t.replace(" ", "▁")).ids) if t else 0 for k, t in odd}
+    assert tokencount.token_counts(df.limit(0), v).count() == 0
+
+
 # --- op5
 
 
@@ -119,11 +144,18 @@ def test_normaliser_cuts_members():
 
 def test_packing(spark):
     path = P.path("word_bpe_49k.json")
-    enc = packing.WordEncoder(path)
+    enc = packing.WordEncoder(path, cache_bytes=20_000)  # so small that words leave it and come back
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    ids_of = lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
     odd = ["", "It's  we'll\tx\u00a0y", "Éa ÉÈ İstanbul ΣΑΣ straße", "<|endoftext|> a<|startoftext|>b", "e\u0301 e\u0301.", "a\u00ad b", "日本語 12 345,6", "don't.", "x,", ".", ",,", "naïve, ÿ×÷"]
     for t in odd:
         assert list(memoryview(enc.encode(t)).cast("I")) == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
     rng = random.Random(4)
+    for _ in range(5000):
+        t = "".join(rng.choice("abcXYZ éÀßµªºÿÖ.,'-|<>0123\n\t\u00a0\u3000…İKÅ中文s.t,") for _ in range(rng.randrange(30)))
+        assert list(memoryview(enc.encode(t)).cast("I")) == ids_of(t)[:-1], t
     rows = [(i, " ".join(rng.choice(["alpha", "beta.", "gamma", "Delta,"]) for _ in range(rng.choice([0, 3, 60, 300, 900])))) for i in range(300)] + [(900, None), (901, ""), (902, "word " * 9000), (5, "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as piece", "2 as grp")
     got = packing.pack(df, path, capacity=512, group_rows=100).collect()
@@ -133,11 +165,12 @@ def test_packing(spark):
     for k, t in rows:
         if k == 5:
             continue
-        ids = enc.encode(t or "") + b"\1\0\0\0"
+        ids = ids_of(t)
         mine = sorted(by_doc[k], key=lambda r: r.piece)
-        assert [r.start for r in mine] == [512 * i for i in range(len(mine))] and sum(r.length for r in mine) == len(ids) // 4
+        assert [r.start for r in mine] == [512 * i for i in range(len(mine))] and sum(r.length for r in mine) == len(ids)
+        assert [r.ids_crc32 for r in mine] == [zlib.crc32(struct.pack(f"<{len(p)}I", *p)) for p in (ids[i : i + 512] for i in range(0, len(ids), 512))]
         assert all(r.length == 512 for r in mine[:-1])
-    assert len(by_doc[5]) == 1 + -(-(len(enc.encode(rows[5][1])) // 4 + 1) // 512)
+    assert len(by_doc[5]) == 1 + -(-len(ids_of(rows[5][1])) // 512)
     bins = {}
     for r in got:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
