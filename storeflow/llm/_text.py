@@ -126,8 +126,8 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `limit` bytes of text each; one long text is a range of its own."""
-    _, offsets = buffers(col)
+    """Row ranges of about `limit` bytes of text (or of a binary column) each; one long text is a range of its own."""
+    offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False))])
     i, n = 0, len(col)
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1

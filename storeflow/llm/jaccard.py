@@ -37,7 +37,7 @@ from ._text import SPACED, U64, buffers, cut, map_text, mix, slices, starts_of,
 
 BLOCK = 64
 #: Bytes of text whose sets are made together.
-SLICE = 5 << 20
+SLICE = 4 << 20
 #: Share of all (shingle, set) entries from which a shingle counts as very frequent.
 SHARE = 1e-5
 #: Shingles that a task's summary keeps.
@@ -181,9 +181,7 @@ def frequent_entries(docs: DataFrame, text: str, k: int, frequent, homes: int) -
 
     def blobs(batches):
         known, counts = frequent.value
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (b.slice(i, j - i) for b in batches for i, j in slices(b.column(2), SLICE)):
             s, n = b.column(0).to_numpy(), b.column(1).to_numpy()
             x = [np.frombuffer(v.as_buffer(), U64) for v in b.column(2)]
             size = np.array([len(v) for v in x])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._text import cut, slices
 
 #: Bytes of words and their ids that one process remembers, in two generations.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 32 << 20
 _ENTRY_BYTES = 192  # a dict slot and the heads of a string and a bytes object
 FIELDS = "doc_id {k}, piece int, start long, length long, ids_crc32 long"
 
