@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 U64 = np.uint64
 #: Bytes of text whose word tables are built together.
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 #: Words of more bytes than this get a cryptographic hash.
 LONG = 64
 _CHUNK = 1 << 20
@@ -141,6 +143,15 @@ def starts_of(doc: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(doc, np.arange(n + 1))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering its session's bytes an Arrow batch to BATCH_BYTES: texts are long, and a batch is held by JVM and Python at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = conf.get(key)
+    if not held.rstrip("b").isdigit() or int(held.rstrip("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """`name`, with underscores added until no column of df is called so."""
     taken = {c.lower() for c in df.columns}
@@ -156,7 +167,7 @@ def map_text(df: DataFrame, text: str, carry: dict[str, str], fields: list[tuple
     """
     from pyspark.sql import functions as F
 
-    picked = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry.values())], F.col(f"`{text}`").cast("string").alias("t"))
+    picked = small_batches(df).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry.values())], F.col(f"`{text}`").cast("string").alias("t"))
     kinds = [picked.schema[i].dataType for i in range(len(carry))]
     schema = T.StructType(
         [T.StructField(n, k) for n, k in zip(carry, kinds, strict=True)]
@@ -179,7 +190,7 @@ def map_text(df: DataFrame, text: str, carry: dict[str, str], fields: list[tuple
 
 def filter_text(df: DataFrame, text: str, keep) -> DataFrame:
     """The rows of df, all columns as they are, for which keep(strings) is true."""
-    place = df.columns.index(text)
+    place = small_batches(df).columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import ALNUM, FOLD, U64, buffers, cut, filter_text, fresh, map_text, mix, slices, word_spans
+from ._text import ALNUM, FOLD, U64, buffers, cut, filter_text, fresh, map_text, mix, slices, small_batches, word_spans
 
 LANE = 192
 FIELDS = [("n_words", "bigint"), ("n_hit", "bigint"), ("n_items", "bigint"), ("items_sha256", "string"), ("contaminated", "boolean")]
@@ -191,7 +191,7 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, window: int, block_byt
 
 def found_in(docs: DataFrame, text: str, block) -> DataFrame:
     """FOUND of the texts in which the block's items occur; equal texts are one row."""
-    picked = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where("t is not null")
+    picked = small_batches(docs).select(F.col(f"`{text}`").cast("string").alias("t")).where("t is not null")
 
     def run(batches):
         for batch in batches:

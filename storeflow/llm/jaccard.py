@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import SPACED, U64, buffers, cut, map_text, mix, slices, starts_of, word_table
+from ._text import SPACED, U64, buffers, cut, map_text, mix, slices, small_batches, starts_of, word_table
 
 BLOCK = 64
 #: Bytes of text whose sets are made together.
@@ -471,7 +471,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def linked_sets(docs: DataFrame, *, text="text", k=5, percent=80, range_bytes=8 << 20, frequent_least=4096) -> tuple[DataFrame, DataFrame]:
     """(candidate sets, links): every linked pair of different components' sets, and enough links to join the rest."""
-    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    total = small_batches(docs).agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
     ranges = max(1, -(-total // range_bytes))
     known = frequent_shingles(docs, text, k, frequent_least)
     frequent = docs.sparkSession.sparkContext.broadcast(known) if len(known[0]) else None

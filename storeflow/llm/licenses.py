@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import ALNUM, buffers, hash_words, map_text, word_table
+from ._text import ALNUM, buffers, hash_words, map_text, slices, small_batches, word_table
 
 #: (phrase, label). Fixed values of the query's contract.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -237,13 +237,11 @@ def scan_texts(col: pa.Array, ix: Index, phrases: list[tuple[str, str]], least:
 
 def word_idf(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[str, float]:
     """IDF of each vocabulary word over all documents; counts are added up per task before they meet."""
-    picked = docs.select(F.col(f"`{text}`").cast("string").alias("t"))
+    picked = small_batches(docs).select(F.col(f"`{text}`").cast("string").alias("t"))
     known = np.sort(hash_words(vocabulary, ALNUM))
 
     def count(batches):
         held, n = np.zeros(len(known), np.int64), 0
-        from ._text import slices
-
         for batch in batches:
             for i, j in slices(batch.column(0)):
                 h, doc = word_table(*buffers(batch.column(0).slice(i, j - i)), ALNUM)

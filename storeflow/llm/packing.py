@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import cut, slices
+from ._text import cut, slices, small_batches
 
 #: Bytes of words and their ids that one process remembers, in two generations.
 CACHE_BYTES = 32 << 20
@@ -103,7 +103,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 def pieces(docs: DataFrame, path: str, *, doc_id="doc_id", text="text", capacity=4096, closing=1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
-    picked = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"))
+    picked = small_batches(docs).select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"))
     kind = picked.schema["doc_id"].dataType.simpleString()
     tail, width = np.array([closing], "<u4").tobytes(), 4 * capacity
 
