@@ -173,8 +173,10 @@ def frequent_entries(docs: DataFrame, text: str, k: int, frequent, homes: int) -
         known, _ = frequent.value
         for x, d, ids, size in _slice_sets(batches, k):
             on = _among(x, known)
+            if not on.any():
+                continue
             x, d = x[on], d[on]
-            at = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
+            at = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
             end = np.append(at[1:], len(d))
             who = d[at]
             yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(size[who].astype(np.int64)), pa.array([x[a:b].tobytes() for a, b in zip(at, end, strict=True)], pa.binary())], names=["s", "n", "x"])

@@ -71,3 +71,34 @@ def test_long_lists_skip_blocks_without_losing_pairs(monkeypatch):
     short = pairs()
     monkeypatch.setattr(jaccard, "BLOCK", 7)
     assert short and pairs() == short
+
+
+def test_slices_without_and_with_one_of_a_frequent_shingle(spark):
+    """A passage held once a slice, by one set of it, and slices that hold no frequent shingle."""
+    rng = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(8))
+    long = lambda n: " ".join(f"q{rng.randrange(10**6)}" for _ in range(n))
+    pad = "z" * 100_000
+    texts = [f"{passage} {long(3)}" for _ in range(40)] + [long(30) for _ in range(40)] + [f"{passage} {long(2)}"] * 9
+    rows = [(i, t if i % 3 else t + " " + pad) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    want = sorted(jaccard_components(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for least in (1, 10):
+        assert sorted(map(tuple, near_duplicates(df, range_bytes=100_000, frequent_least=least).collect())) == want
+
+
+def test_summary_keeps_every_heavy_entry():
+    import numpy as np
+
+    from storeflow.llm.jaccard import summed
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.repeat(np.arange(5), 300), rng.integers(100, 10**6, 5000)])
+    rng.shuffle(x)
+    h, c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in np.array_split(x, 20):
+        h, c = summed(h, c, *np.unique(part, return_counts=True), 40)
+    assert len(h) <= 40
+    for k in range(5):
+        assert 300 - len(x) / 40 <= c[h == k].sum() <= 300
