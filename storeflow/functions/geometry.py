@@ -135,6 +135,11 @@ def foot_pixel(b: Column, ankles: Column, least_conf: float = 0.5, pad: float =
     return let(good, pick)
 
 
+def floor_point(b: Column, ankles: Column, h: list[float], w_least: float = 0.0) -> Column:
+    """The foot pixel mapped to the floor."""
+    return let(foot_pixel(b, ankles), lambda p: apply_homography(h, p["x"], p["y"], w_least))
+
+
 def confident(keypoints: Column, least: float = 0.5) -> Column:
     """Keypoints with enough confidence that are not at the origin."""
     return F.filter(keypoints, lambda k: (k["conf"] >= least) & ~((k["x"] == 0) & (k["y"] == 0)))

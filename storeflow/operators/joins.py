@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_root
+
 
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], l_start: str, l_end: str, r_start: str, r_end: str, bucket: int, slack: int = 0) -> DataFrame:
     """Pairs whose closed intervals, the left widened by `slack`, overlap.
@@ -71,9 +73,7 @@ def resolve_aliases(nodes: DataFrame, merges: DataFrame, ident: str = "id", roun
     p = ids.join(merges.select(F.col("from").alias(ident), F.col("into").alias("root")), ident, "left").withColumn("root", F.coalesce("root", F.col(ident)))
     sc = nodes.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(nodes.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(shared_root(nodes.sparkSession))
     p = p.checkpoint()
     for _ in range(rounds):
         up = p.select(F.col(ident).alias("root"), F.col("root").alias("next"))
@@ -97,14 +97,3 @@ def with_fallback(codes: DataFrame, code: str, products: DataFrame, barcode: str
     cand = F.array_compact(F.array(c, F.when(F.length(c) == 12, F.concat(F.lit("0"), c)), F.when((F.length(c) == 13) & c.startswith("0"), F.substring(c, 2, 12))))
     e = codes.select("*", F.posexplode(cand).alias("_prio", "_code")).join(products.withColumnRenamed(barcode, "_code"), "_code")
     return top_one(e, [code], [F.col("_prio")]).drop("_prio").withColumnRenamed("_code", "matched_code")
-
-
-def payer_of(payments: DataFrame, visits: DataFrame, store: str, pay_time: str, grace: int) -> DataFrame:
-    """Each payment's payer: given, else the visitor at checkout within the grace, ranked by still standing, longest stay, last seen; with the number of candidates."""
-    j = payments.join(visits.withColumnRenamed("person_id", "visitor"), store, "left")
-    near = (F.col(pay_time) >= F.col("start_ms")) & (F.col(pay_time) <= F.col("end_ms") + grace)
-    c = j.withColumn("_ok", F.coalesce(near, F.lit(False)))
-    rank = F.struct((F.col(pay_time) <= F.col("end_ms")).cast("int"), (F.col("end_ms") - F.col("start_ms")), F.col("end_ms"), -F.col("visitor"))
-    keys = [c for c in payments.columns]
-    out = c.groupBy(*keys).agg(F.max_by(F.when(F.col("_ok"), F.col("visitor")), F.when(F.col("_ok"), rank)).alias("payer"), F.sum(F.col("_ok").cast("int")).alias("candidates"))
-    return out.withColumn("method", F.when(F.col("payer").isNull(), "unmatched").otherwise("checkout"))

@@ -65,17 +65,27 @@ def alert_intervals(scores: DataFrame, key: str, time: str, tie: str, score: str
     return grouped(scores.select(key, time, tie, score), [key], run, "start_ms long, end_ms long, peak double, hits int")
 
 
+#: Sensor states that are an error at once. Fixed values of the device's protocol.
+HARD = ("NOT_CONNECTED", "INIT_FAILED", "MUX_ERROR", "NOT_INITIALIZED")
+
+
 @dataclass
 class LaneCounter:
     """Item count of one lane from distances.
 
-    A median of the last samples is compared with the reference distance of each count; a candidate is confirmed after
-    enough stable time and samples within a spread. A gap in time restarts stability, and the count confirmed after an
-    unobserved gap is a RESYNC, never a movement. Suppressed samples (restocking) also lead to a RESYNC.
+    Samples without a break form a stretch. In a stretch the median of the last few samples is put to a count (the
+    confirmed one as long as it is within its tolerance and the hysteresis), or to `between`, `beyond` (farther than the
+    empty lane) or `over` (nearer than the full one). What holds for stable_ms and min_samples, with medians of the last
+    stable_ms within the spread, is confirmed.
+
+    A stretch ends with an invalid or late sample, a gap over max_gap and a change of restocking. Sensor errors (a hard
+    state, error_after invalid samples in a row, or error_ms of them), gaps over resync_gap and restocking leave the lane
+    unobserved: the next confirmed count is a RESYNC, changed or not, never a movement. While restocking nothing is
+    reported. A stable distance outside the lane is reported once until a count is confirmed again.
     """
 
     refs: tuple[float, ...]
-    tolerance: float = 15.0
+    tolerance: float | tuple[float, ...] = 15.0
     hysteresis: float = 10.0
     stable_ms: int = 1200
     min_samples: int = 5
@@ -83,80 +93,125 @@ class LaneCounter:
     max_gap: int = 600
     resync_gap: int = 5000
     error_after: int = 5
+    error_ms: int = 1500
     median: int = 5
     low: float = 0.0
     high: float = 1e9
     last: deque = field(default_factory=deque)
+    window: list = field(default_factory=list)
     count: int | None = None
-    candidate: int | None = None
+    candidate: int | str | None = None
     since: int = 0
-    seen: list = field(default_factory=list)
+    samples: int = 0
     at: int | None = None
     bad: int = 0
-    failed: bool = False
-    resync: bool = False
-
-    def _event(self, at, kind, before, after):
-        return {"at_ms": at, "event": kind, "before": before, "after": after, "quantity": abs(after - before) if None not in (before, after) else 0}
-
-    def step(self, at: int, mm: float | None, restock: bool = False) -> list[dict]:
-        out = []
-        if mm is None or mm != mm or not self.low <= mm <= self.high:
-            self.bad += 1
-            self.candidate = None
-            if self.bad >= self.error_after and not self.failed:
-                self.failed = True
-                out.append(self._event(at, "SENSOR_ERROR", self.count, self.count))
-            return out
-        if self.failed:
-            self.failed, self.resync = False, True
-            out.append(self._event(at, "RECOVERED", self.count, self.count))
-        self.bad = 0
-        if self.at is not None and at - self.at > self.max_gap:
-            self.candidate = None
-            self.last.clear()
-            if at - self.at > self.resync_gap:
-                self.resync = True
+    bad_since: int = 0
+    failed: str | None = None
+    unseen: str | None = None
+    outside: bool = False
+    restocking: bool = False
+
+    def _event(self, at: int, kind: str, after: int | None, reason: str | None = None) -> dict:
+        moved = abs(after - self.count) if kind in ("ADD", "REMOVE") else None
+        return {"at_ms": at, "event": kind, "before": self.count, "after": after, "quantity": moved, "reason": reason}
+
+    def _break(self, reason: str | None = None) -> None:
+        """Ends the stretch; with a reason, what follows was not observed either."""
+        self.last.clear()
+        self.candidate, self.window = None, []
+        if reason and self.count is not None:
+            self.unseen = self.unseen or reason
+
+    def _room(self, n: int) -> float:
+        return self.tolerance[n] if isinstance(self.tolerance, (tuple, list)) else self.tolerance
+
+    def _placed(self, mm: float) -> int | str:
+        off = [abs(mm - r) for r in self.refs]
+        if self.count is not None and off[self.count] <= self._room(self.count) + self.hysteresis:
+            return self.count
+        fits = [n for n in range(len(off)) if off[n] <= self._room(n)]
+        if fits:
+            return fits[0]
+        return "beyond" if mm > self.refs[0] else "over" if mm < self.refs[-1] else "between"
+
+    def step(self, at: int, mm: float | None, restock: bool = False, status: str | None = None, late: bool = False) -> list[dict]:
+        if late:
+            self._break()
+            return []
+        if restock != self.restocking:
+            self.restocking = restock
+            self._break("RESTOCK")
+        if mm is None or mm != mm or status in HARD or not self.low <= mm <= self.high:
+            return self._invalid(at, status if status in HARD else "INVALID")
+        out = [self._event(at, "RECOVERED", self.count, self.failed)] if self.failed else []
+        self.failed, self.bad = None, 0
+        gap = 0 if self.at is None else at - self.at
+        if gap > self.max_gap:
+            self._break("DATA_GAP" if gap > self.resync_gap else None)
         self.at = at
-        if restock:
-            self.candidate, self.resync = None, True
-            return out
         self.last.append(mm)
         while len(self.last) > self.median:
             self.last.popleft()
-        value = sorted(self.last)[len(self.last) // 2]
-        near = min(range(len(self.refs)), key=lambda k: (abs(self.refs[k] - value), k))
-        room = self.tolerance + (self.hysteresis if near == self.count else 0)
-        if abs(self.refs[near] - value) > room:
-            self.candidate = None
-            return out
-        if near != self.candidate:
-            self.candidate, self.since, self.seen = near, at, []
-        self.seen.append(value)
-        if max(self.seen) - min(self.seen) > self.spread:
-            self.since, self.seen = at, [value]
-        if at - self.since >= self.stable_ms and len(self.seen) >= self.min_samples and (near != self.count or self.resync):
-            kind = "INIT" if self.count is None else "RESYNC" if self.resync else "REMOVE" if near < self.count else "ADD"
-            if not (kind == "RESYNC" and near == self.count):
-                out.append(self._event(at, kind, self.count, near))
-            self.count, self.resync = near, False
+        if len(self.last) >= min(3, self.median):
+            out += self._judged(at, float(np.median(self.last)))
         return out
 
-
-LANE_EVENTS = "at_ms long, event string, before int, after int, quantity int"
-
-
-def lane_events(samples: DataFrame, lane: str, time: str, tie: str, distance: str, refs: list[float], restock: str | None = None, **params) -> DataFrame:
-    """Count changes of each lane; samples are (lane, time, tie, distance and perhaps a restock flag)."""
+    def _invalid(self, at: int, kind: str) -> list[dict]:
+        self._break()
+        self.bad_since = at if self.bad == 0 else self.bad_since
+        self.bad += 1
+        if self.failed or not (kind in HARD or self.bad >= self.error_after or at - self.bad_since >= self.error_ms):
+            return []
+        self.failed = kind
+        self._break("SENSOR_ERROR")
+        return [self._event(at, "SENSOR_ERROR", self.count, kind)]
+
+    def _judged(self, at: int, mm: float) -> list[dict]:
+        place = self._placed(mm)
+        recent = [w for w in self.window if at - w[0] <= self.stable_ms] if place == self.candidate else []
+        values = [w[1] for w in recent] + [mm]
+        if place != self.candidate or max(values) - min(values) > self.spread:
+            self.candidate, self.since, self.samples, recent = place, at, 0, []
+        self.window = [*recent, [at, mm]]
+        self.samples += 1
+        if at - self.since < self.stable_ms or self.samples < self.min_samples or place == "between":
+            return []
+        if isinstance(place, str):
+            said, self.outside = self.outside, True
+            return [] if said or self.restocking else [self._event(at, "OUT_OF_RANGE", self.count, place)]
+        self.outside = False
+        if self.restocking or (place == self.count and not self.unseen):
+            return []
+        kind = "INIT" if self.count is None else "RESYNC" if self.unseen else "ADD" if place > self.count else "REMOVE"
+        event = self._event(at, kind, place, self.unseen)
+        self.count, self.unseen = place, None
+        return [event]
+
+
+LANE_EVENTS = "at_ms long, event string, before int, after int, quantity int, reason string"
+
+
+def lane_samples(time: str, tie: str, distance: str, **flags: str | None):
+    """frame -> (time, distance, named flags) in order of time and tie."""
+    named = {k: c for k, c in flags.items() if c}
+
+    def rows(pdf: pd.DataFrame):
+        pdf = pdf.sort_values([time, tie], kind="stable")
+        for r in pdf[[time, distance, *named.values()]].itertuples(index=False, name=None):
+            yield r[0], r[1], {k: v if isinstance(v, str) else bool(v) for k, v in zip(named, r[2:], strict=True) if v is not None}
+
+    return rows, list(named.values())
+
+
+def lane_events(samples: DataFrame, lane: str, time: str, tie: str, distance: str, refs: list[float], restock: str | None = None, status: str | None = None, late: str | None = None, **params) -> DataFrame:
+    """Count changes of each lane; samples are (lane, time, tie, distance and perhaps restock and late flags and a sensor state)."""
+    rows, more = lane_samples(time, tie, distance, restock=restock, status=status, late=late)
 
     def run(pdf: pd.DataFrame) -> list[tuple]:
         m = LaneCounter(tuple(refs), **params)
-        flags = pdf[restock].tolist() if restock else [False] * len(pdf)
-        rows = sorted(zip(pdf[time].tolist(), pdf[tie].tolist(), pdf[distance].tolist(), flags, strict=True), key=lambda r: r[:2])
-        return [tuple(e.values()) for t, _, v, r in rows for e in m.step(t, v, bool(r))]
+        return [tuple(e.values()) for t, v, flags in rows(pdf) for e in m.step(t, v, **flags)]
 
-    cols = [lane, time, tie, distance] + ([restock] if restock else [])
-    return grouped(samples.select(*cols), [lane], run, LANE_EVENTS)
+    return grouped(samples.select(lane, time, tie, distance, *more), [lane], run, LANE_EVENTS)
 
 
 def level_calibration(samples: DataFrame, keys: list[str], time: str, distance: str, settle: int = 2500, measure: int = 5000, spread: float = 10.0) -> DataFrame:

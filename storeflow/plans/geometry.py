@@ -104,14 +104,30 @@ def g9_apply_homography(spark, d):
     return p.select("frame", "id", F.round("p.x", 6).alias("fx"), F.round("p.y", 6).alias("fy"))
 
 
-@query(f"""WITH {BOX_SQL}, k AS (SELECT *, CASE WHEN id % 2 = 0 THEN 0.9 ELSE 0.3 END AS c1, 0.7 AS c2, x1 + 1 AS ax, y2 - 1 AS ay, x2 + 9 AS bx_, y2 AS by_ FROM bx),
-f AS (SELECT *, c1 >= 0.5 AND ax BETWEEN x1 - 0.05 * (x2 - x1) AND x2 + 0.05 * (x2 - x1) AS ok1 FROM k)
-SELECT frame, id, round(CASE WHEN ok1 THEN ax ELSE (x1 + x2) / 2 END, 6) AS fx, round(CASE WHEN ok1 THEN ay ELSE y2 END, 6) AS fy FROM f""")
-def g8_foot_pixel(spark, d):
+_ANKLES_SQL = """k AS (SELECT *, CASE WHEN id % 2 = 0 THEN 0.9 ELSE 0.3 END AS c1, 0.7 AS c2, x1 + 1 AS ax, y2 - 1 AS ay, x2 + 9 AS bx_, y2 AS by_ FROM bx),
+f AS (SELECT *, c1 >= 0.5 AND ax BETWEEN x1 - 0.05 * (x2 - x1) AND x2 + 0.05 * (x2 - x1) AS ok1 FROM k)"""
+
+
+def _ankles():
     """Ankle 1 is confident for even ids; ankle 2 stands outside the padded box."""
     b = F.col("b")
-    kp = F.array(F.struct((b["x1"] + 1).alias("x"), (b["y2"] - 1).alias("y"), F.when(F.col("id") % 2 == 0, 0.9).otherwise(0.3).alias("conf")), F.struct((b["x2"] + 9).alias("x"), b["y2"].alias("y"), F.lit(0.7).alias("conf")))
-    p = boxes(spark, d).withColumn("k", kp).withColumn("p", g.foot_pixel(b, F.col("k")))
+    return F.array(F.struct((b["x1"] + 1).alias("x"), (b["y2"] - 1).alias("y"), F.when(F.col("id") % 2 == 0, 0.9).otherwise(0.3).alias("conf")), F.struct((b["x2"] + 9).alias("x"), b["y2"].alias("y"), F.lit(0.7).alias("conf")))
+
+
+@query(f"""WITH {BOX_SQL}, {_ANKLES_SQL}
+SELECT frame, id, round(CASE WHEN ok1 THEN ax ELSE (x1 + x2) / 2 END, 6) AS fx, round(CASE WHEN ok1 THEN ay ELSE y2 END, 6) AS fy FROM f""")
+def g8_foot_pixel(spark, d):
+    p = boxes(spark, d).withColumn("k", _ankles()).withColumn("p", g.foot_pixel(F.col("b"), F.col("k")))
+    return p.select("frame", "id", F.round("p.x", 6).alias("fx"), F.round("p.y", 6).alias("fy"))
+
+
+@query(f"""WITH {BOX_SQL}, {_ANKLES_SQL}, q AS (SELECT frame, id, CASE WHEN ok1 THEN ax ELSE (x1 + x2) / 2 END AS x, CASE WHEN ok1 THEN ay ELSE y2 END AS y FROM f),
+p AS (SELECT frame, id, 0.0008 * x + 0.0005 * y + 0.95 AS w, 1.2 * x + 0.1 * y + 3 AS u, -0.05 * x + 0.9 * y + 7 AS v FROM q)
+SELECT frame, id, CASE WHEN w > 0.96 THEN round(u / w, 6) END AS fx, CASE WHEN w > 0.96 THEN round(v / w, 6) END AS fy FROM p""")
+def g14_floor_point(spark, d):
+    """Where a person stands on the floor, from the ankles or the box's foot."""
+    h = [1.2, 0.1, 3, -0.05, 0.9, 7, 0.0008, 0.0005, 0.95]
+    p = boxes(spark, d).withColumn("k", _ankles()).withColumn("p", g.floor_point(F.col("b"), F.col("k"), h, 0.96))
     return p.select("frame", "id", F.round("p.x", 6).alias("fx"), F.round("p.y", 6).alias("fy"))
 
 
@@ -157,12 +173,12 @@ def g23_continuous_count(spark, d):
     return table(spark, d, "events").select("event_id", F.round(g.interpolate(60.0 + F.col("value"), [250.0, 200.0, 140.0, 100.0, 70.0]), 6).alias("count"))
 
 
-@query(f"""WITH {BOX_SQL}, o AS (SELECT frame, id, x1, y1 FROM bx WHERE id <= 4), p AS (SELECT a.frame, a.id AS i, b.id AS j, least(sqrt((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2), 15.0) AS dist FROM o a JOIN o b ON a.frame = b.frame AND a.id % 2 = 0 AND b.id % 2 = 1),
+@query(f"""WITH {BOX_SQL}, o AS (SELECT frame, id, x1, y1 FROM bx), p AS (SELECT a.frame, a.id AS i, b.id AS j, least(sqrt((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2), 15.0) AS dist FROM o a JOIN o b ON a.frame = b.frame AND a.id % 2 = 0 AND b.id % 2 = 1),
 u AS (SELECT frame, avg(m) AS f FROM (SELECT frame, i, min(dist) AS m FROM p GROUP BY 1, 2) GROUP BY 1), v AS (SELECT frame, avg(m) AS f FROM (SELECT frame, j, min(dist) AS m FROM p GROUP BY 1, 2) GROUP BY 1)
 SELECT frame, round((u.f + v.f) / 2, 6) AS chamfer FROM u JOIN v USING (frame)""")
 def g22_chamfer(spark, d):
     """Capped two-way mean nearest distance between even and odd objects of a frame."""
-    o = boxes(spark, d).where("id <= 4").select("frame", "id", F.col("b.x1").alias("x"), F.col("b.y1").alias("y"))
+    o = boxes(spark, d).select("frame", "id", F.col("b.x1").alias("x"), F.col("b.y1").alias("y"))
     a, b = o.where("id % 2 = 0").toDF("frame", "i", "ax", "ay"), o.where("id % 2 = 1").toDF("frame", "j", "bx", "by")
     p = a.join(b, "frame").withColumn("dist", F.least(F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2)), F.lit(15.0)))
     side = lambda k, n: p.groupBy("frame", k).agg(F.min("dist").alias("m")).groupBy("frame").agg(F.avg("m").alias(n))
@@ -210,12 +226,12 @@ def p21_common_view(spark, d):
     return b.where("p is not null and p.x between 0 and 60 and p.y between 0 and 60").select("frame", "id", F.round("p.x", 5).alias("u"), F.round("p.y", 5).alias("v"))
 
 
-@query(f"""WITH {BOX_SQL}, {_ZONE_SQL}, {_EDGE_SQL}, wr AS (SELECT row_number() OVER () AS rid, frame, id, x1 AS px, y1 AS py FROM bx WHERE id <= 3), c AS (SELECT rid, frame, id, zone, count(*) FILTER ({_INSIDE}) % 2 = 1 AS inside FROM wr, ed GROUP BY ALL)
+@query(f"""WITH {BOX_SQL}, {_ZONE_SQL}, {_EDGE_SQL}, wr AS (SELECT row_number() OVER () AS rid, frame, id, x1 AS px, y1 AS py FROM bx), c AS (SELECT rid, frame, id, zone, count(*) FILTER ({_INSIDE}) % 2 = 1 AS inside FROM wr, ed GROUP BY ALL)
 SELECT rid * 0 + frame AS frame, id, count(*) FILTER (inside) AS zones, coalesce(string_agg(zone, ',' ORDER BY zone) FILTER (inside), '') AS held FROM c GROUP BY rid, frame, id""")
 def g18_hands_in_zones(spark, d):
     """The zones that hold a wrist. Zones travel as one array of three."""
     z = zone_dim(spark).agg(F.array_sort(F.collect_list(F.struct("zone", "sides"))).alias("zs"))
-    b = boxes(spark, d).where("id <= 3").join(F.broadcast(z), how="cross").withColumn("px", F.col("b.x1")).withColumn("py", F.col("b.y1"))  # one row
+    b = boxes(spark, d).join(F.broadcast(z), how="cross").withColumn("px", F.col("b.x1")).withColumn("py", F.col("b.y1"))  # one row
     held = F.transform(F.filter("zs", lambda k: g.inside(k["sides"], F.col("px"), F.col("py"))), lambda k: k["zone"])
     return b.withColumn("h", held).select("frame", "id", F.size("h").cast("bigint").alias("zones"), F.array_join("h", ",").alias("held"))
 

@@ -174,7 +174,7 @@ def j19_uncovered(spark, d):
     return t.join(hit, "event_id", "left_anti").select("event_id", F.lit(True).alias("uncovered"))
 
 
-@query(f"""WITH {OBS_SQL}, e AS (SELECT event_id, ms FROM ev WHERE zone = 'error'), s AS (SELECT o_orderkey AS span, epoch_ms(o_orderdate) % 2592000000 + 1704067200000 AS t0, 36000000 + o_orderkey % 5 * 3600000 AS len FROM orders WHERE o_orderkey % 40 = 0)
+@query(f"""WITH {OBS_SQL}, e AS (SELECT event_id, ms FROM ev WHERE zone = 'error'), s AS (SELECT o_orderkey AS span, epoch_ms(o_orderdate) % 2592000000 + 1704067200000 AS t0, 36000000 + o_orderkey % 5 * 3600000 AS len FROM orders)
 SELECT event_id, span, ms - t0 AS rel_ms, ms BETWEEN t0 AND t0 + len AS in_video FROM e JOIN s ON ms BETWEEN t0 - 3200 AND t0 + len + 9200""")
 def j18_event_spans(spark, d):
     """Events to the recordings whose span, widened at both ends, holds them."""

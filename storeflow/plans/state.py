@@ -95,10 +95,14 @@ f AS (SELECT person_id, 0 AS k, -1 AS level, 'none' AS state, 0 AS notified, 0 A
 c AS (SELECT person_id, ['CLEAR', 'WARNING', 'REVIEW', 'HIGH_RISK'][level + 1] AS level, state, notified, reopened FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY k DESC) AS z FROM f) WHERE z = 1 AND level >= 0)"""
 
 
-def cases(spark, d):
+def levels(o):
+    """Alarm levels and resolutions of observations."""
     z = F.col("zone")
-    o = observations(spark, d).withColumn("level", F.when(z == "view", "CLEAR").when(z == "click", "WARNING").when(z == "signup", "REVIEW").when(z == "error", "HIGH_RISK")).withColumn("resolution", F.when(z == "purchase", "ok"))
-    return lg.case_fold(o, ["person_id"], ["ms", "event_id"], "level", "resolution")
+    return o.withColumn("level", F.when(z == "view", "CLEAR").when(z == "click", "WARNING").when(z == "signup", "REVIEW").when(z == "error", "HIGH_RISK")).withColumn("resolution", F.when(z == "purchase", "ok"))
+
+
+def cases(spark, d):
+    return lg.case_fold(levels(observations(spark, d)), ["person_id"], ["ms", "event_id"], "level", "resolution")
 
 
 @query(_CASE + " SELECT * FROM c")
@@ -168,8 +172,9 @@ REFS = [160.0, 120.0, 80.0, 40.0, 0.0]
 @query()
 def st1_lane_events(spark, d):
     """ST1 and ST17: counts of each lane from noisy distances, restocking suppressed. Recursive: no SQL form."""
-    o = observations(spark, d).withColumn("mm", F.when(F.col("event_id") % 50 != 0, F.col("value") % 160)).withColumn("restock", F.col("event_id") % 40 < 2)
-    return mc.lane_events(o, "person_id", "ms", "event_id", "mm", REFS, restock="restock", tolerance=60.0, hysteresis=5.0, stable_ms=6 * HOUR, min_samples=2, spread=60.0, max_gap=48 * HOUR, resync_gap=72 * HOUR, error_after=2, high=155.0)
+    k = F.col("event_id")
+    o = observations(spark, d).withColumn("mm", F.when(k % 50 != 0, F.col("value") % 200)).withColumn("restock", k % 40 < 2).withColumn("status", F.when(k % 300 == 7, "MUX_ERROR")).withColumn("late", k % 90 == 5)
+    return mc.lane_events(o, "person_id", "ms", "event_id", "mm", REFS, restock="restock", status="status", late="late", tolerance=(15.0, 60.0, 60.0, 60.0, 60.0), hysteresis=5.0, stable_ms=6 * HOUR, min_samples=2, spread=60.0, median=2, max_gap=48 * HOUR, resync_gap=72 * HOUR, error_after=2, error_ms=96 * HOUR, high=190.0)
 
 
 @query()

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..sources import logs
-from ..sources.tables import HOUR, OBS_SQL, observations, table
+from ..sources.tables import HOUR, OBS_SQL, observations, shared_root, table
 from ..streaming import twins
 from .state import ORACLES as STATE_ORACLES
+from .state import levels
 
 QUERIES, ORACLES = {}, {}
 
@@ -26,8 +26,7 @@ def query(sql: str | None = None):
 
 
 def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def event_stream(spark, d):
@@ -74,16 +73,85 @@ def stream_sessions(spark, d):
     return s.select("person_id", F.unix_millis("s.start").alias("start_ms"), F.unix_millis("s.end").alias("end_ms"), "n")
 
 
-@query("""WITH e AS (SELECT event_id, event_id % 24 AS h, event_id % 60 AS m, CAST(floor(value) AS INT) % 1000 AS f FROM events WHERE event_id % 9 <> 0)
-SELECT event_id, ((h * 60 + m) * 60 + 7) * 1000 + f AS at_ms, 'L' || event_id % 4 AS lane, 'ADD' AS event, CAST(event_id % 5 AS INTEGER) AS before, CAST(event_id % 5 + 1 AS INTEGER) AS after FROM e""")
+@query("""WITH e AS (SELECT event_id, event_id % 24 AS h, event_id % 60 AS m, CAST(floor(value) AS INT) % 60 AS s FROM events WHERE event_id % 9 <> 0)
+SELECT event_id, (h * 60 + m) * 60 + s AS at_sec, CAST(event_id % 4 AS VARCHAR) AS lane, 'ADD' AS event, CAST(event_id % 5 AS INTEGER) AS before, CAST(event_id % 5 + 1 AS INTEGER) AS after, CASE WHEN event_id % 7 > 0 THEN event_id % 400 + 0.5 END AS distance_mm, 'item ' || event_id % 3 || ' +1' AS product FROM e""")
 def s8_event_lines(spark, d):
     """Log lines built from events and parsed again; every ninth is damaged and skipped."""
     k = F.col("event_id")
-    line = F.format_string("%02d:%02d:07.%03d  L%d  ADD  %d -> %d", k % 24, k % 60, F.floor("value").cast("int") % 1000, k % 4, k % 5, k % 5 + 1)
-    lines = table(spark, d, "events").select("event_id", F.when(k % 9 == 0, F.lit("### damaged")).otherwise(line).alias("value"))
+    far = F.when(k % 7 > 0, F.concat((k % 400).cast("string"), F.lit(".5"))).otherwise("-")
+    line = F.format_string("%02d:%02d:%02d  L%d  ADD        %d→%d   %s  item %d +1", k % 24, k % 60, F.floor("value").cast("int") % 60, k % 4, k % 5, k % 5 + 1, far, k % 3)
+    lines = table(spark, d, "events").select("event_id", F.when(k % 9 == 0, F.lit("09:00:0x  L1  ADD  1→2  -  broken")).otherwise(line).alias("value"))
     return logs.parse_event_lines(lines)
 
 
+def _label_csv(spark, rows):
+    """Rows of strings as CSV files with a header, in the shared folder."""
+    path = f"{_folder(spark)}/labels"
+    rows.write.option("header", True).option("nullValue", "").csv(path)
+    return path
+
+
+@query("""WITH l AS (SELECT l_suppkey AS pair, l_linenumber AS seq, l_quantity AS q, l_partkey AS p, l_orderkey AS o FROM lineitem)
+SELECT 'takes' AS kind, count(*) AS n, CAST(sum(seq) AS DOUBLE) AS total FROM l WHERE o % 6 > 0 AND p % 3 < 2
+UNION ALL SELECT 'payments', count(*), CAST(sum(CASE WHEN o % 5 = 0 THEN 0 ELSE p % 4 END) AS DOUBLE) FROM l
+UNION ALL SELECT 'untimed payments', count(*), NULL FROM l WHERE o % 6 = 0
+UNION ALL SELECT 'truth', count(*), CAST(sum(seq) AS DOUBLE) FROM l
+UNION ALL SELECT 'sensor kinds', count(*), NULL FROM (SELECT DISTINCT pair, p % 3, seq, q FROM l WHERE o % 4 > 0)""")
+def s14_label_tables(spark, d):
+    """Take, payment, truth and sensor-check labels written as CSV with blanks, and read with their types."""
+    li = table(spark, d, "lineitem")
+    text = lambda c: c.cast("string")
+    o, p, pair = F.col("l_orderkey"), F.col("l_partkey"), F.concat(F.lit("N"), text(F.col("l_suppkey")))
+    time = F.when(o % 6 > 0, text(F.col("l_quantity"))).otherwise(" ")
+    seq = text(F.col("l_linenumber"))
+    take = F.when(p % 3 == 0, "take").when(p % 3 == 1, "return").otherwise("none")
+    takes = logs.read_take_labels(spark, _label_csv(spark, li.select(pair.alias("pair"), seq.alias("seq"), time.alias("time_sec"), F.lit("L1").alias("lane"), take.alias("action"), F.lit("1").alias("qty"), F.lit("x").alias("checked_by"), F.lit("a, b").alias("note"))))
+    paid = logs.read_payment_labels(spark, _label_csv(spark, li.select(pair.alias("pair"), F.lit("").alias("attempt"), time.alias("time_sec"), F.when(o % 5 > 0, text(p % 4)).otherwise("").alias("items"), F.lit(" paid ").alias("result"), F.lit("").alias("checked_by"), F.lit("").alias("note"))))
+    truth = logs.read_truth(spark, _label_csv(spark, li.select(pair.alias("pair"), F.lit("CLEAR").alias("expected"), seq.alias("people"), F.lit("normal").alias("set"))))
+    check = logs.read_sensor_check(spark, _label_csv(spark, _check_rows(li)))
+    count = lambda df, kind, total: df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), total.cast("double").alias("total"))
+    out = count(takes, "takes", F.sum("seq"))
+    for part in (count(paid.where("result = 'paid'"), "payments", F.sum("items")), count(paid.where("time_sec is null"), "untimed payments", F.lit(None)), count(truth, "truth", F.sum("people")), count(logs.sensor_kinds(check), "sensor kinds", F.lit(None))):
+        out = out.unionByName(part)
+    return out
+
+
+def _check_rows(li):
+    text = lambda c: c.cast("string")
+    o, p = F.col("l_orderkey"), F.col("l_partkey")
+    kind = F.when(p % 5 == 0, "missed").when(p % 5 == 1, "extra").otherwise("ok")
+    return li.select(
+        F.concat(F.lit("N"), text(F.col("l_suppkey"))).alias("pair"), kind.alias("kind"), text(p % 3).alias("lane"), text(F.col("l_linenumber")).alias("direction"),
+        F.when(o % 4 > 0, text(F.col("l_quantity"))).otherwise("").alias("label_sec"), F.lit("1").alias("sensor_lane"), F.when(o % 3 > 0, text(o)).otherwise("").alias("sensor_sec"), F.lit("").alias("dt"),
+    )
+
+
+@query("""SELECT 'N' || l_suppkey AS pair, CASE WHEN l_partkey % 5 = 0 THEN 'missed' ELSE 'extra' END AS kind, CAST(CASE WHEN l_orderkey % 4 > 0 THEN l_quantity WHEN l_orderkey % 3 > 0 THEN l_orderkey ELSE 0 END AS DOUBLE) AS at FROM lineitem WHERE l_partkey % 5 < 2""")
+def p20_problem_rows(spark, d):
+    """Problem rows of the sensor check with the time to jump to, in natural order of pairs."""
+    check = logs.read_sensor_check(spark, _label_csv(spark, _check_rows(table(spark, d, "lineitem"))))
+    return logs.problem_rows(check, ["missed", "extra"]).select("pair", "kind", "at")
+
+
+@query(STATE_ORACLES["st3_case_fold"])
+def s18_case_store(spark, d):
+    """Alarms and resolutions streamed into the three tables of a case store; the newest row of each case."""
+    f = _folder(spark)
+    twins.pour(levels(event_stream(spark, d).drop("at")), twins.case_store(f"{f}/store", ["person_id"], ["ms", "event_id"], "level", "resolution"), f"{f}/state")
+    return twins.latest_cases(spark, f"{f}/store", ["person_id"]).select("person_id", "level", "state", "notified", "reopened")
+
+
+@query("""SELECT 'events' AS file, coalesce(CASE WHEN event_type = 'error' THEN 'DEVICE_LOG' END, '') AS message_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type <> 'view' GROUP BY 1, 2
+UNION ALL SELECT 'status', '', count(*), round(sum(value), 4) FROM events WHERE event_type = 'view'""")
+def s19_lane_files(spark, d):
+    """Lane events and device logs to one folder of JSON lines, status rows to another, read back."""
+    f = _folder(spark)
+    kind = F.when(F.col("zone") == "view", "STATUS").when(F.col("zone") == "error", "DEVICE_LOG").otherwise("EVENT")
+    twins.pour(event_stream(spark, d).select("event_id", "person_id", "value", kind.alias("kind")), twins.lane_sink(f"{f}/lanes"), f"{f}/state")
+    read = lambda name: spark.read.schema("event_id long, person_id long, value double, message_type string").json(f"{f}/lanes/{name}").select(F.lit(name).alias("file"), F.coalesce("message_type", F.lit("")).alias("message_type"), "value")
+    return read("events").unionByName(read("status")).groupBy("file", "message_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query("""SELECT CASE WHEN event_id % 10 = 0 THEN 'not JSON of this shape' WHEN event_id % 10 = 1 THEN 'a required field is missing' WHEN event_id % 10 = 2 THEN 'valid without a distance' ELSE 'good' END AS kind, count(*) AS n FROM events GROUP BY 1""")
 def s9_measurement_lines(spark, d):
     """Device messages built from events; bad ones are counted by reason, not fatal."""

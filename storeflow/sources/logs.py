@@ -49,15 +49,62 @@ def lane_sensor_rows(df: DataFrame, offset_ms: int, lanes: list[str]) -> DataFra
     return df.where((F.col("in_video") == 1) & F.col("event").isin("REMOVE", "ADD") & F.col("lane").isin(*lanes)).withColumn("time_ms", F.col("time_ms") + offset_ms)
 
 
-#: hh:mm:ss.mmm  LANE  EVENT  before -> after
-EVENT_LINE = r"^(\d\d):(\d\d):(\d\d)\.(\d{3})\s+(\S+)\s+([A-Z_]+)\s+(\d+) -> (\d+)\s*$"
+#: hh:mm:ss  L<lane>  EVENT  before→after  distance or -  product. The fixed format of the event log.
+EVENT_LINE = r"^(\d{2}):(\d{2}):(\d{2})\s+L(\d+)\s+([A-Z_]+)\s+(\d+)→(\d+)\s+([\d.]+|-)\s+(.*)$"
 
 
 def parse_event_lines(lines: DataFrame, text: str = "value") -> DataFrame:
-    """at_ms, lane, event, before, after from fixed-width log lines; lines that don't match are skipped."""
+    """at_sec (of the day), lane, event, before, after, distance_mm (null for -), product from log lines; lines that don't match are skipped."""
     part = lambda i: F.regexp_extract(text, EVENT_LINE, i)
-    at = ((part(1).cast("long") * 60 + part(2).cast("long")) * 60 + part(3).cast("long")) * 1000 + part(4).cast("long")
-    return lines.where(F.col(text).rlike(EVENT_LINE)).select(*[c for c in lines.columns if c != text], at.alias("at_ms"), part(5).alias("lane"), part(6).alias("event"), part(7).cast("int").alias("before"), part(8).cast("int").alias("after"))
+    at = (part(1).cast("long") * 60 + part(2).cast("long")) * 60 + part(3).cast("long")
+    rest = [c for c in lines.columns if c != text]
+    return lines.where(F.col(text).rlike(EVENT_LINE)).select(
+        *rest, at.alias("at_sec"), part(4).alias("lane"), part(5).alias("event"), part(6).cast("int").alias("before"), part(7).cast("int").alias("after"),
+        F.when(part(8) != "-", part(8)).try_cast("double").alias("distance_mm"), F.trim(part(9)).alias("product"),
+    )
+
+
+def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A label table: columns by the header's names, blanks as null."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    df = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("enforceSchema", False).csv(path, schema=", ".join(f"{n} string" for n in names))
+    clean = lambda n: F.when(F.trim(n) != "", F.trim(n))
+    return df.select(*[clean(n).try_cast(k).alias(n) for n, k in (c.split() for c in schema.split(", "))])
+
+
+def read_take_labels(spark: SparkSession, path: str) -> DataFrame:
+    """pair, seq, time_sec, lane, action, qty, checked_by, note of takes and returns that have a time."""
+    return _csv(spark, path, "pair string, seq int, time_sec double, lane string, action string, qty int, checked_by string, note string").where(F.col("time_sec").isNotNull() & F.col("action").isin("take", "return"))
+
+
+def read_payment_labels(spark: SparkSession, path: str) -> DataFrame:
+    """pair, attempt, time_sec (null where blank), items, result, checked_by, note; blank numbers count 0."""
+    return _csv(spark, path, "pair string, attempt int, time_sec double, items int, result string, checked_by string, note string").fillna(0, ["attempt", "items"]).fillna("", ["checked_by", "note"])
+
+
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
+    """pair, expected verdict, people, set."""
+    return _csv(spark, path, "pair string, expected string, people int, set string")
+
+
+def read_sensor_check(spark: SparkSession, path: str) -> DataFrame:
+    """pair, kind, lane, direction, label_sec, sensor_lane, sensor_sec, dt."""
+    return _csv(spark, path, "pair string, kind string, lane string, direction string, label_sec double, sensor_lane string, sensor_sec double, dt double")
+
+
+def sensor_kinds(check: DataFrame) -> DataFrame:
+    """The kind of each label that has a time, by pair, lane, direction and rounded ms; the last row of a key holds (largest sensor time, then kind)."""
+    keyed = check.where("label_sec is not null").select("pair", "lane", "direction", F.bround(F.col("label_sec") * 1000).cast("long").alias("label_ms"), "kind", "sensor_sec")
+    return keyed.groupBy("pair", "lane", "direction", "label_ms").agg(F.max_by("kind", F.struct("sensor_sec", "kind")).alias("kind"))
+
+
+def problem_rows(check: DataFrame, kinds: list[str], pairs: list[str] | None = None) -> DataFrame:
+    """The rows of problem kinds with `at` (the label's time, else the sensor's, else 0), by pair in natural order and time."""
+    d = check.where(F.col("kind").isin(kinds))
+    if pairs:
+        d = d.where(F.col("pair").isin(pairs))
+    number = F.regexp_extract("pair", r"(\d+)", 1).try_cast("long")
+    return d.withColumn("at", F.coalesce("label_sec", "sensor_sec", F.lit(0.0))).orderBy(F.regexp_extract("pair", r"^(\D*)", 1), number, "pair", "at")
 
 
 def parse_measurements(lines: DataFrame, text: str = "value") -> tuple[DataFrame, DataFrame]:

@@ -29,3 +29,16 @@ def order_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 ORDERS_SQL = "iv AS (SELECT o_orderkey AS id, o_custkey AS key, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS s, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) + 3 + o_orderkey % 7 AS e, o_totalprice AS price FROM orders)"
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a single machine may leave it unset."""
+    import tempfile
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return root.rstrip("/")

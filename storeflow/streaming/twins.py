@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.machines import LANE_EVENTS, Hysteresis, LaneCounter
+from ..operators.ledger import case_fold
+from ..operators.machines import LANE_EVENTS, Hysteresis, LaneCounter, lane_samples
 
 
 def sensor_windows(stream: DataFrame, key: str, time: str, value: str, width: str, late: str) -> DataFrame:
@@ -63,15 +64,15 @@ def alert_stream(stream: DataFrame, key: str, time: str, tie: str, score: str, *
     return _stateful(stream.select(key, time, tie, score), key, "start_ms long, end_ms long, peak double, hits int", step)
 
 
-def lane_stream(stream: DataFrame, lane: str, time: str, tie: str, distance: str, refs: list[float], **params) -> DataFrame:
+def lane_stream(stream: DataFrame, lane: str, time: str, tie: str, distance: str, refs: list[float], restock: str | None = None, status: str | None = None, late: str | None = None, **params) -> DataFrame:
     params = {"refs": tuple(refs), **params}
+    samples, more = lane_samples(time, tie, distance, restock=restock, status=status, late=late)
 
     def step(pdf, saved):
         m = _restore(LaneCounter, saved, params)
-        rows = sorted(zip(pdf[time].tolist(), pdf[tie].tolist(), pdf[distance].tolist(), strict=True), key=lambda r: r[:2])
-        return [tuple(e.values()) for t, _, v in rows for e in m.step(t, v)], _saved(m, tuple(params))
+        return [tuple(e.values()) for t, v, flags in samples(pdf) for e in m.step(t, v, **flags)], _saved(m, tuple(params))
 
-    return _stateful(stream.select(lane, time, tie, distance), lane, LANE_EVENTS, step)
+    return _stateful(stream.select(lane, time, tie, distance, *more), lane, LANE_EVENTS, step)
 
 
 def scan_gate_stream(stream: DataFrame, key: str, time: str, tie: str, code: str, quiet: int) -> DataFrame:
@@ -104,6 +105,46 @@ def latest_of(spark, path: str, keys: list[str], version: str) -> DataFrame:
     return latest(spark.read.parquet(path).drop("batch"), keys, [version, "_batch"]).drop("_batch")
 
 
+def case_store(path: str, keys: list[str], order: list[str], level: str, resolution: str):
+    """foreachBatch writer of three tables: events, resolutions, and the folded row of every case that the batch touches.
+
+    A folder a batch, replaced if the batch runs again. Cases are folded from the stored history of the touched keys, as
+    `case_fold` does, so `latest_cases` gives what a fold over everything would.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, at = batch.sparkSession, f"batch={batch_id:010d}"
+        batch = batch.where(F.col(level).isNotNull() | F.col(resolution).isNotNull())
+        batch.where(F.col(resolution).isNull()).write.mode("overwrite").parquet(f"{path}/events/{at}")
+        batch.where(F.col(resolution).isNotNull()).write.mode("overwrite").parquet(f"{path}/resolutions/{at}")
+        every = spark.read.schema(batch.schema).parquet(f"{path}/events").unionByName(spark.read.schema(batch.schema).parquet(f"{path}/resolutions")).select(*batch.columns)
+        touched = every.join(batch.select(*keys).distinct(), keys, "left_semi")
+        case_fold(touched, keys, order, level, resolution).withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/cases/{at}")
+
+    return write
+
+
+def latest_cases(spark, path: str, keys: list[str]) -> DataFrame:
+    """The newest row of each case of a case_store."""
+    return latest_of(spark, f"{path}/cases", keys, "_batch")
+
+
+def lane_sink(path: str, kind: str = "kind"):
+    """foreachBatch writer of JSON lines: confirmed events (and device logs) to one folder, periodic status to another."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        at, plain = f"batch={batch_id:010d}", [c for c in batch.columns if c != kind]
+        batch.where(F.col(kind) != "STATUS").withColumn("message_type", F.when(F.col(kind) == "DEVICE_LOG", F.col(kind))).select(*plain, "message_type").write.mode("overwrite").json(f"{path}/events/{at}")
+        batch.where(F.col(kind) == "STATUS").select(*plain).write.mode("overwrite").json(f"{path}/status/{at}")
+
+    return write
+
+
+def pour(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Runs a stream over all that is there now into a foreachBatch writer."""
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over all that is there now into Parquet."""
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()

@@ -40,8 +40,31 @@ def test_lane_counter():
     assert run_lane(steady(0, 80)) == [("INIT", None, 2)]
     assert run_lane(steady(0, 80) + steady(1200, 120) + steady(2400, 40)) == [("INIT", None, 2), ("REMOVE", 2, 1), ("ADD", 1, 3)]
     assert run_lane(steady(0, 80) + steady(9000, 120)) == [("INIT", None, 2), ("RESYNC", 2, 1)]  # never a movement after a gap
-    assert run_lane(steady(0, 80) + [(1200 + 100 * i, None) for i in range(4)] + steady(1600, 80)) == [("INIT", None, 2), ("SENSOR_ERROR", 2, 2), ("RECOVERED", 2, 2)]
+    assert run_lane(steady(0, 80) + [(1200 + 100 * i, None) for i in range(4)] + steady(1600, 80)) == [("INIT", None, 2), ("SENSOR_ERROR", 2, 2), ("RECOVERED", 2, 2), ("RESYNC", 2, 2)]
     assert run_lane(steady(0, 100)) == []  # between two references
+    assert run_lane(steady(0, 80) + [(1150, None)] + steady(1200, 80)) == [("INIT", None, 2)]  # one bad sample is no error
+
+
+def test_lane_counter_special_samples():
+    lane = lambda **kw: machines.LaneCounter((160.0, 120.0, 80.0, 40.0), **{"tolerance": 15, "stable_ms": 400, "min_samples": 3, "error_after": 3, **kw})
+    said = lambda m, samples: [(e["event"], e["before"], e["after"], e["reason"]) for s in samples for e in m.step(*s)]
+    start = [("INIT", None, 2, None)]
+    hard = said(lane(), [*steady(0, 80), (1200, None, False, "MUX_ERROR"), *steady(1300, 120)])
+    assert hard == start + [("SENSOR_ERROR", 2, 2, "MUX_ERROR"), ("RECOVERED", 2, 2, "MUX_ERROR"), ("RESYNC", 2, 1, "SENSOR_ERROR")]
+    slow = said(lane(error_ms=1500), [*steady(0, 80), (2000, None), (3500, None)])
+    assert slow == start + [("SENSOR_ERROR", 2, 2, "INVALID")]  # two only, but long enough apart
+    late = [(t, mm, False, None, True) for t, mm in steady(1200, 120)]
+    assert said(lane(), [*steady(0, 80), *late, *steady(2400, 80)]) == start  # late samples show nothing
+    assert said(lane(), [*steady(0, 80), *steady(9000, 80)]) == start + [("RESYNC", 2, 2, "DATA_GAP")]
+    assert said(lane(), [*steady(0, 80), *steady(1200, 300), *steady(2400, 80), *steady(3600, 5)]) == start + [("OUT_OF_RANGE", 2, 2, "beyond"), ("OUT_OF_RANGE", 2, 2, "over")]
+    stock = said(lane(), [*steady(0, 80), *[(t, mm, True) for t, mm in steady(1200, 40)], *steady(2400, 40)])
+    assert stock == start + [("RESYNC", 2, 3, "RESTOCK")]
+    assert said(lane(tolerance=(15, 4, 15, 15), hysteresis=0), [*steady(0, 80), *steady(1200, 112)]) == start
+    assert said(lane(tolerance=(15, 9, 15, 15), hysteresis=0), [*steady(0, 80), *steady(1200, 112)]) == start + [("REMOVE", 2, 1, None)]
+    assert said(lane(), [*steady(0, 80), *steady(1200, 104)]) == start  # within the confirmed count's hysteresis
+    shaken = [(1200 + 100 * i, 120 + 12 * (i % 2)) for i in range(8)] + [(2000 + 100 * i, 121) for i in range(8)]
+    assert said(lane(median=1), [*steady(0, 80), *shaken]) == start + [("REMOVE", 2, 1, None)]
+    assert [e["at_ms"] for m in [lane(median=1)] for s in [*steady(0, 80), *shaken] for e in m.step(*s)][-1] >= 2300  # after the shaking left the window
 
 
 def test_best_pairs_beats_greedy():
