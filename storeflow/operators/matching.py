@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from statistics import fmean, median, mode
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from .grouped import grouped
 
@@ -23,9 +25,11 @@ def match_alerts(df: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
         ev = pdf[pdf.side == "event"].sort_values(["start_ms", "id"])
         al = pdf[pdf.side == "alert"].sort_values(["start_ms", "id"])
         eid, es, ee = ev.id.tolist(), ev.start_ms.tolist(), ev.end_ms.tolist()
+        reach = np.maximum.accumulate(ev.end_ms.to_numpy(np.int64)) if len(ev) else np.zeros(0, np.int64)  # rises, so both ends are found by bisection
         used, rows = [False] * len(ev), []
         for i, t in zip(al.id, al.start_ms, strict=True):
-            near = [k for k in range(len(es)) if es[k] - tolerance <= t <= ee[k] + tolerance]
+            lo, hi = int(np.searchsorted(reach, t - tolerance)), bisect_right(es, t + tolerance)
+            near = [k for k in range(lo, hi) if t <= ee[k] + tolerance]
             free = [k for k in near if not used[k]]
             if free:
                 k = min(free, key=lambda k: (abs(es[k] - t), k))
@@ -93,7 +97,10 @@ def best_pairs(a: np.ndarray, b: np.ndarray, before: float, after: float) -> lis
 
 
 def match_labels(df: DataFrame, keys: list[str], before: float, after: float) -> DataFrame:
-    """Labels with sensor events of one lane and direction by best_pairs. Rows: side (label or sensor), id, at."""
+    """Labels with sensor events of one lane and direction by best_pairs. Rows: side (label or sensor), id, at.
+
+    No pair reaches across a pause longer than both windows, so each stretch between such pauses is a group of its own.
+    """
 
     def fn(pdf: pd.DataFrame) -> list[tuple]:
         a, b = (pdf[pdf.side == s].sort_values(["at", "id"]) for s in ("label", "sensor"))
@@ -104,7 +111,10 @@ def match_labels(df: DataFrame, keys: list[str], before: float, after: float) ->
         rows += [("ghost", None, x, None) for j, x in enumerate(b.id) if j not in sb]
         return rows
 
-    return grouped(df, keys, fn, "kind string, label_id long, sensor_id long, dt double")
+    w = Window.partitionBy(*keys).orderBy("at")
+    pause = F.coalesce(F.col("at") - F.lag("at").over(w) > max(before, after), F.lit(False)).cast("long")
+    cut = df.withColumn("_new", pause).withColumn("_cut", F.sum("_new").over(w)).drop("_new")
+    return grouped(cut, [*keys, "_cut"], fn, "kind string, label_id long, sensor_id long, dt double").drop("_cut")
 
 
 def hungarian(score: np.ndarray) -> list[tuple[int, int]]:
