@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import numbered
+
 
 def draw(seed: int, ident: Column) -> Column:
     """A reproducible random order, the same in every engine."""
@@ -44,8 +46,8 @@ def group_split(rows: DataFrame, group: str, cls: str, val: float, test: float =
 
 def ordinal_split(rows: DataFrame, kind: str, order: str) -> DataFrame:
     """By position within its kind: every fifth from the third is test, from the fifth val."""
-    i = F.row_number().over(Window.partitionBy(kind).orderBy(order)) - 1
-    return rows.withColumn("split", F.when(i % 5 == 2, "test").when(i % 5 == 4, "val").otherwise("train"))
+    i = F.col("_i") - 1
+    return numbered(rows, [kind], [order], "_i").withColumn("split", F.when(i % 5 == 2, "test").when(i % 5 == 4, "val").otherwise("train")).drop("_i")
 
 
 def drop_leaks(rows: DataFrame, group: str, split: str) -> DataFrame:
@@ -63,6 +65,7 @@ def quota(rows: DataFrame, cls: str, store: str, take: str, cap: int) -> DataFra
     """Whole takes per class, stores in turn, until the cap is reached (the take that reaches it stays)."""
     t = rows.groupBy(cls, store, take).agg(F.count(F.lit(1)).alias("clips"))
     t = t.withColumn("_turn", F.row_number().over(Window.partitionBy(cls, store).orderBy(draw(1337, F.col(take)))))
+    t = t.where(F.col("_turn") <= cap)  # as many clips of its own store come before
     w = Window.partitionBy(cls).orderBy("_turn", store, take).rowsBetween(Window.unboundedPreceding, -1)
     return t.withColumn("before", F.coalesce(F.sum("clips").over(w), F.lit(0))).where(F.col("before") < cap).drop("_turn")
 

@@ -1,9 +1,7 @@
-"""Identities over time: registry, late merges, swap repair, ledger merges, homographies."""
+"""Identities over time (`people.py` holds the registry): late merges, swap repair, ledger merges, homographies."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,68 +9,6 @@ from pyspark.sql import functions as F
 from .grouped import grouped
 
 
-@dataclass
-class Registry:
-    """Track-to-person continuity in one camera run.
-
-    A known track keeps its person. A new track takes the best person whose templates are like it, who is not held by
-    another live track and was seen within `retire`; someone seen close by a moment ago needs less likeness. Otherwise
-    a new person begins. Templates are kept at most `templates` a person, one every `every`.
-    """
-
-    match: float = 0.65
-    stitch: float = 0.45
-    stitch_ms: int = 3000
-    retire_ms: int = 30_000
-    live_ms: int = 1000
-    templates: int = 5
-    every: int = 500
-    people: dict = field(default_factory=dict)
-    tracks: dict = field(default_factory=dict)
-
-    def step(self, at: int, track: int, vec: np.ndarray) -> tuple[int, bool, float | None]:
-        """(person, is new, likeness that decided)."""
-        p, like, new = self.tracks.get(track), None, False
-        if p is None:
-            busy = {q for q in self.tracks.values() if at - self.people[q]["seen"] <= self.live_ms}
-            best = None
-            for q, d in self.people.items():
-                gone = at - d["seen"]
-                if q in busy or gone > self.retire_ms:
-                    continue
-                s = max(float(np.dot(t, vec)) for t in d["vecs"])
-                if s >= (self.stitch if gone <= self.stitch_ms else self.match) and (best is None or s > best[0]):
-                    best = (s, q)
-            if best:
-                like, p = best
-            else:
-                p, new = len(self.people) + 1, True
-                self.people[p] = {"seen": at, "vecs": [], "kept": None}
-            self.tracks[track] = p
-        d = self.people[p]
-        if d["kept"] is None or at - d["kept"] >= self.every:
-            d["vecs"] = [*d["vecs"], vec][-self.templates :]
-            d["kept"] = at
-        d["seen"] = at
-        return p, new, like
-
-
-def register(tracks: DataFrame, keys: list[str], time: str, track: str, vector: str, **params) -> DataFrame:
-    """person_id of every track sample; a key is one camera run."""
-
-    def run(pdf):
-        m = Registry(**params)
-        rows = sorted(zip(pdf[time].tolist(), pdf[track].tolist(), pdf[vector], strict=True), key=lambda r: r[:2])
-        out = []
-        for t, k, v in rows:
-            v = np.asarray(v, float)
-            n = np.linalg.norm(v)
-            out.append((t, k, *m.step(t, k, v / n if n else v)))
-        return out
-
-    return grouped(tracks.select(*keys, time, track, vector), keys, run, f"{time} long, {track} long, person_id int, is_new boolean, similarity double")
-
-
 def late_merges(people: DataFrame, keys: list[str], vector: str, least: float, retire: int) -> DataFrame:
     """from -> into: each person with the most similar one who vanished before they appeared, within the retire time.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_root
+from ..sources.tables import shared_checkpoint
 
 
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], l_start: str, l_end: str, r_start: str, r_end: str, bucket: int, slack: int = 0) -> DataFrame:
@@ -71,13 +71,11 @@ def resolve_aliases(nodes: DataFrame, merges: DataFrame, ident: str = "id", roun
     """Root of each id along from -> into edges (each `from` once), by pointer jumping: as many joins as the log of the longest chain."""
     ids = nodes.select(F.col(ident)).union(merges.select("into")).union(merges.select(F.col("from"))).distinct()
     p = ids.join(merges.select(F.col("from").alias(ident), F.col("into").alias("root")), ident, "left").withColumn("root", F.coalesce("root", F.col(ident)))
-    sc = nodes.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_root(nodes.sparkSession))
-    p = p.checkpoint()
+    p = shared_checkpoint(p)
     for _ in range(rounds):
         up = p.select(F.col(ident).alias("root"), F.col("root").alias("next"))
-        q = p.join(up, "root").select(ident, F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")).checkpoint()
+        q = p.join(up, "root").select(ident, F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+        q = shared_checkpoint(q)
         p = q.select(ident, "root")
         if q.where("moved").isEmpty():
             break

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_checkpoint
+
 
 def _by(keys, *order):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -144,9 +146,25 @@ def even_thinning(rows: DataFrame, keys: list[str], order: list[str], keep: int)
     return d.where((F.col("_n") <= keep) | ((F.floor(step * F.col("_n") / keep) == F.col("_i")) & (step < keep))).drop("_i", "_n")
 
 
-def round_robin(rows: DataFrame, cls: str, order: list[str]) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """Row number within each key along `order`, however many rows one key has.
+
+    Rows are dealt by ranges of keys and order, sorted and written to the shared folder with their places; a key's
+    numbers go on from the ranges before. The only table of its own has one row a key and range.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = shared_checkpoint(rows.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id()))
+    d = d.withColumn("_range", F.shiftright("_at", 33))
+    c = d.groupBy(*keys, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(_by(keys, "_range").rowsBetween(Window.unboundedPreceding, -1))
+    c = c.select(*[F.col(k).alias(f"_of_{k}") for k in [*keys, "_range"]], (F.coalesce(earlier, F.lit(0)) + 1 - F.col("_first")).alias("_add"))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*keys, "_range"]]
+    return d.join(c, same).select(*rows.columns, (F.col("_at") + F.col("_add")).alias(name))
+
+
+def round_robin(rows: DataFrame, cls: str, order: list) -> DataFrame:
     """Rank within the class, which read across classes interleaves them."""
-    return rows.withColumn("turn", F.row_number().over(_by([cls], *order)))
+    return numbered(rows, [cls], order, "turn")
 
 
 def scan_gate(scans: DataFrame, keys: list[str], time: str, tie: str, code: str, quiet: int) -> DataFrame:

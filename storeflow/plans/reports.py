@@ -9,6 +9,7 @@ from ..functions import geometry as g
 from ..operators import identity as idn
 from ..operators import joins as j
 from ..operators import ledger as lg
+from ..operators import people
 from ..operators import windows as w
 from ..sources.tables import HOUR, OBS_SQL, ORDERS_SQL, observations, order_intervals, table
 
@@ -27,10 +28,14 @@ def query(sql: str | None = None):
 
 @query()
 def st9_identity_registry(spark, d):
-    """Tracks of twenty samples a camera run to persons; recursive: no SQL form."""
+    """Three boxes a frame, twenty frames a camera run, with every rule of the registry on; recursive: no SQL form."""
     e = table(spark, d, "embeddings")
-    t = e.select(F.expr("vec_id div 20").alias("run"), (F.col("vec_id") % 20 * 700).alias("ms"), F.concat(F.col("label"), F.col("vec_id") % 3).cast("long").alias("track_id"), "embedding")
-    return idn.register(t, ["run"], "ms", "track_id", "embedding", match=0.3, stitch=0.2)
+    place, tall = F.col("label") * 40 + F.col("vec_id") * 37 % 25, 60 + F.col("vec_id") * 7 % 60
+    x, y = place.cast("double"), (F.col("vec_id") * 13 % 40).cast("double")
+    box = g.box(x, y, x + 40, y + tall)
+    t = e.select(F.expr("vec_id div 60").alias("run"), F.expr("vec_id % 60 div 3 * 700").alias("ms"), F.concat(F.col("label"), F.col("vec_id") % 3).cast("long").alias("track_id"), box.alias("box"), "embedding", (F.col("vec_id") * 29 % 100 / 100).alias("score"), (tall >= 65).alias("tall"), (x < 10).alias("cut"), (y < 35).alias("inside"))
+    rules = {"recheck_ms": 2500, "jump_recheck": True, "one_box": True, "tentative_ms": 1400, "least_score": 0.1, "hold_overlap": 0.5}
+    return people.register(t, ["run"], "ms", "track_id", "box", "embedding", "score", "tall", "cut", "inside", match=0.3, stitch=0.2, **rules)
 
 
 @query()

@@ -38,20 +38,36 @@ def _saved(m, skip: tuple[str, ...]) -> str:
     return json.dumps({k: list(v) if isinstance(v, deque) else v for k, v in asdict(m).items() if k not in skip})
 
 
-def _stateful(stream: DataFrame, key: str, out: str, step: Callable[[pd.DataFrame, str | None], tuple[list[tuple], str]]) -> DataFrame:
-    """A keyed machine whose state is text; rows of a batch are taken in the order that step sorts them."""
+def _stateful(stream: DataFrame, key: str, time: str, out: str, step: Callable[[pd.DataFrame, str | None], tuple[list[tuple], str]], expire: int | None) -> DataFrame:
+    """A keyed machine whose state is text; rows of a batch are taken in the order that step sorts them.
+
+    With `expire` (ms of event time) a key is forgotten, its open alert or count with it, when the watermark, which
+    trails the newest row by `expire`, has passed its own newest row by as much; its next row begins anew, and rows later
+    than the watermark are dropped. So state grows with the keys of the last two `expire`, not with all keys ever seen.
+    """
     kind = stream.schema[key].dataType.simpleString()
     names = [key] + [f.split()[0] for f in out.split(", ")]
+    if expire is not None:
+        stream = stream.withColumn("_event", F.timestamp_millis(time)).withWatermark("_event", f"{expire} milliseconds")
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows, saved = step(pd.concat(list(batches), ignore_index=True), state.get[0] if state.exists else None)
-        state.update((saved,))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        saved, newest = state.get if state.exists else (None, None)
+        pdf = pd.concat(list(batches), ignore_index=True)
+        rows, saved = step(pdf, saved)
+        newest = max(int(pdf[time].max()), newest or 0)
+        state.update((saved, newest))
+        if expire is not None:
+            state.setTimeoutTimestamp(newest + expire)
         yield pd.DataFrame([(k[0], *r) for r in rows], columns=names).astype({n: "Int64" for n, t in (f.split() for f in out.split(", ")) if t in ("long", "int")})
 
-    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {out}", "saved string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if expire is None else GroupStateTimeout.EventTimeTimeout
+    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {out}", "saved string, newest long", "append", timeout)
 
 
-def alert_stream(stream: DataFrame, key: str, time: str, tie: str, score: str, **params) -> DataFrame:
+def alert_stream(stream: DataFrame, key: str, time: str, tie: str, score: str, expire: int | None = None, **params) -> DataFrame:
     """Ended alerts of each key (the batch form's rows that have an end)."""
     skip = tuple(params)
 
@@ -61,10 +77,10 @@ def alert_stream(stream: DataFrame, key: str, time: str, tie: str, score: str, *
         ended = [e for t, _, s in rows if (e := m.step(t, s))]
         return [(e["start_ms"], e["end_ms"], e["peak"], e["hits"]) for e in ended], _saved(m, skip)
 
-    return _stateful(stream.select(key, time, tie, score), key, "start_ms long, end_ms long, peak double, hits int", step)
+    return _stateful(stream.select(key, time, tie, score), key, time, "start_ms long, end_ms long, peak double, hits int", step, expire)
 
 
-def lane_stream(stream: DataFrame, lane: str, time: str, tie: str, distance: str, refs: list[float], restock: str | None = None, status: str | None = None, late: str | None = None, **params) -> DataFrame:
+def lane_stream(stream: DataFrame, lane: str, time: str, tie: str, distance: str, refs: list[float], restock: str | None = None, status: str | None = None, late: str | None = None, expire: int | None = None, **params) -> DataFrame:
     params = {"refs": tuple(refs), **params}
     samples, more = lane_samples(time, tie, distance, restock=restock, status=status, late=late)
 
@@ -72,10 +88,10 @@ def lane_stream(stream: DataFrame, lane: str, time: str, tie: str, distance: str
         m = _restore(LaneCounter, saved, params)
         return [tuple(e.values()) for t, v, flags in samples(pdf) for e in m.step(t, v, **flags)], _saved(m, tuple(params))
 
-    return _stateful(stream.select(lane, time, tie, distance, *more), lane, LANE_EVENTS, step)
+    return _stateful(stream.select(lane, time, tie, distance, *more), lane, time, LANE_EVENTS, step, expire)
 
 
-def scan_gate_stream(stream: DataFrame, key: str, time: str, tie: str, code: str, quiet: int) -> DataFrame:
+def scan_gate_stream(stream: DataFrame, key: str, time: str, tie: str, code: str, quiet: int, expire: int | None = None) -> DataFrame:
     """Scans that are not a quick repeat of the one before."""
 
     def step(pdf, saved):
@@ -87,7 +103,7 @@ def scan_gate_stream(stream: DataFrame, key: str, time: str, tie: str, code: str
             last = [t, c]
         return out, json.dumps(last)
 
-    return _stateful(stream.select(key, time, tie, code), key, f"{time} long, {tie} long, {code} string", step)
+    return _stateful(stream.select(key, time, tie, code), key, time, f"{time} long, {tie} long, {code} string", step, expire)
 
 
 def upsert_sink(path: str, keys: list[str], version: str):

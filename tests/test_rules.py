@@ -203,3 +203,31 @@ def test_streams_equal_batches(spark, tmp_path):
     assert drained(twins.lane_stream(src(), "k", "ms", "id", "mm", [120.0, 80.0, 40.0], **q), "lanes") == sorted(map(tuple, lanes.collect()))
     gate = windows.scan_gate(whole, ["k"], "ms", "id", "code", 5000).select("k", "ms", "id", "code")
     assert drained(twins.scan_gate_stream(src(), "k", "ms", "id", "code", 5000), "gate") == sorted(map(tuple, gate.collect()))
+
+
+def test_streams_forget_silent_keys(spark, tmp_path):
+    """Key 1 is silent for 100 s while key 2 goes on: with an expiry it begins anew, without one it resyncs."""
+    batches = [[(1, t, t, 80.0) for t in range(0, 5000, 1000)], *[[(2, t, t, 80.0) for t in range(s, s + 20_000, 1000)] for s in (5000, 25_000, 45_000, 65_000, 85_000)], [(1, t, t, 120.0) for t in range(105_000, 110_000, 1000)]]
+    schema = "k long, ms long, id long, mm double"
+    for n, b in enumerate(batches):
+        rows = [(k, 1_000_000 + t, i, v) for k, t, i, v in b]  # a watermark begins at 0 and drops a row of that time
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    q = {"stable_ms": 2000, "min_samples": 2, "max_gap": 9000}
+    for expire, want in ((10_000, ["INIT", "INIT"]), (None, ["INIT", "RESYNC"])):
+        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        stream = twins.lane_stream(src, "k", "ms", "id", "mm", [120.0, 80.0, 40.0], expire=expire, **q)
+        twins.drain(stream, f"{tmp_path}/o{expire}", f"{tmp_path}/o{expire}-ck")
+        got = spark.read.schema(stream.schema).parquet(f"{tmp_path}/o{expire}").where("k = 1").orderBy("at_ms")
+        assert [r.event for r in got.collect()] == want
+
+
+def test_numbers_of_one_huge_key(spark):
+    rng = random.Random(6)
+    rows = [(None if i % 50 == 0 else "b" if i % 9 == 0 else "a", rng.randrange(40), i) for i in range(3000)]
+    d = spark.createDataFrame(rows, "k string, v int, id long").repartition(7)
+    got = {r.id: r.turn for r in windows.numbered(d, ["k"], [F.desc("v"), "id"], "turn").collect()}
+    want = {}
+    for k in (None, "a", "b"):
+        want |= {i: n for n, (_, i) in enumerate(sorted((-v, i) for c, v, i in rows if c == k), 1)}
+    assert got == want
+    assert windows.numbered(d.limit(0), ["k"], ["v"], "turn").count() == 0
