@@ -10,15 +10,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_checkpoint
 from .grouped import grouped
 
 
+def stretches(df: DataFrame, keys: list[str], start: str, end: str, slack: float) -> DataFrame:
+    """Adds _cut, which numbers the stretches of a key between pauses over `slack`: no rows of two stretches can match."""
+    w = Window.partitionBy(*keys).orderBy(start)
+    reach = F.max(F.greatest(start, end)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = df.withColumn("_new", F.coalesce(F.col(start) - reach > slack, F.lit(False)).cast("long"))
+    return d.withColumn("_cut", F.sum("_new").over(w)).drop("_new")
+
+
 def match_alerts(df: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
     """Alerts against true events of one file and class, in time order.
 
-    Rows: side (alert or event), id, start_ms, end_ms. The nearest unmatched event whose widened span holds the alert
-    is a hit with a latency; if all such are taken the alert is a duplicate; if there is none it is false. Events left
-    over are missed.
+    Rows: side (alert or event), id, start_ms, end_ms, decided one stretch between pauses at a time. The nearest
+    unmatched event whose widened span holds the alert is a hit with a latency; if all such are taken the alert is a
+    duplicate; if there is none it is false. Events left over are missed.
     """
 
     def fn(pdf: pd.DataFrame) -> list[tuple]:
@@ -40,14 +49,16 @@ def match_alerts(df: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
         rows += [(None, "missed", e, None) for e, u in zip(eid, used, strict=True) if not u]
         return rows
 
-    return grouped(df, keys, fn, "alert_id long, outcome string, event_id long, latency_ms long")
+    cut = stretches(df, keys, "start_ms", "end_ms", tolerance)
+    return grouped(cut, [*keys, "_cut"], fn, "alert_id long, outcome string, event_id long, latency_ms long").drop("_cut")
 
 
 def match_candidates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Candidate intervals against labelled ones by overlap, in order of start.
 
-    Rows: side (candidate or label), kind (TAKE or BROWSE for labels), id, start_ms, end_ms. The first unmatched
-    overlapping TAKE is a hit; otherwise an overlapping BROWSE or nothing says what kind of false alarm it is.
+    Rows: side (candidate or label), kind (TAKE or BROWSE for labels), id, start_ms, end_ms, decided one stretch between
+    pauses at a time. The first unmatched overlapping TAKE is a hit; otherwise an overlapping BROWSE or nothing says what
+    kind of false alarm it is.
     """
 
     def fn(pdf: pd.DataFrame) -> list[tuple]:
@@ -64,7 +75,8 @@ def match_candidates(df: DataFrame, keys: list[str]) -> DataFrame:
         rows += [(None, "fn", i) for i, k in zip(la.id, la.kind, strict=True) if k == "TAKE" and i not in used]
         return rows
 
-    return grouped(df, keys, fn, "candidate_id long, outcome string, label_id long")
+    cut = stretches(df, keys, "start_ms", "end_ms", 0)
+    return grouped(cut, [*keys, "_cut"], fn, "candidate_id long, outcome string, label_id long").drop("_cut")
 
 
 def best_pairs(a: np.ndarray, b: np.ndarray, before: float, after: float) -> list[tuple[int, int]]:
@@ -111,9 +123,7 @@ def match_labels(df: DataFrame, keys: list[str], before: float, after: float) ->
         rows += [("ghost", None, x, None) for j, x in enumerate(b.id) if j not in sb]
         return rows
 
-    w = Window.partitionBy(*keys).orderBy("at")
-    pause = F.coalesce(F.col("at") - F.lag("at").over(w) > max(before, after), F.lit(False)).cast("long")
-    cut = df.withColumn("_new", pause).withColumn("_cut", F.sum("_new").over(w)).drop("_new")
+    cut = stretches(df, keys, "at", "at", max(before, after))
     return grouped(cut, [*keys, "_cut"], fn, "kind string, label_id long, sensor_id long, dt double").drop("_cut")
 
 
@@ -163,19 +173,24 @@ def assign(scores: DataFrame, keys: list[str], left: str, right: str, score: str
 
 
 def greedy_map(scores: DataFrame, keys: list[str], left: str, right: str, score: str, least: float) -> DataFrame:
-    """One-to-one by falling score; ties by left, then right."""
-
-    def fn(pdf: pd.DataFrame) -> list[tuple]:
-        used_a, used_b, rows = set(), set(), []
-        for a, b, s in pdf[pdf[score] >= least].sort_values([score, left, right], ascending=[False, True, True])[[left, right, score]].itertuples(index=False):
-            if a not in used_a and b not in used_b:
-                used_a.add(a)
-                used_b.add(b)
-                rows.append((a, b, s))
-        return rows
+    """One-to-one by falling score; ties by left, then right.
 
-    kinds = ", ".join(f"{c} {scores.schema[c].dataType.simpleString()}" for c in (left, right, score))
-    return grouped(scores.select(*keys, left, right, score), keys, fn, kinds)
+    In rounds: a pair that is the best of both its sides is one that the falling order takes, and all other pairs of its
+    sides go. Each round takes at least the best pair of every group, however large; no group meets in one task.
+    """
+    rank = F.struct((-F.col(score)).alias("_s"), F.col(left).alias("_l"), F.col(right).alias("_r"))
+    best = lambda df, side: df.groupBy(*keys, side).agg(F.min(rank).alias("_m"))
+    rest = shared_checkpoint(scores.select(*keys, left, right, score).where(F.col(score) >= least))
+    out = rest.limit(0)
+    while not rest.isEmpty():
+        a = best(rest, left).select(*keys, left, F.col("_m._r").alias(right), (-F.col("_m._s")).alias(score))
+        b = best(rest, right).select(*keys, F.col("_m._l").alias(left), right)
+        taken = shared_checkpoint(a.join(b, [*keys, left, right]).select(*rest.columns))
+        out = out.unionByName(taken)
+        for side in (left, right):
+            rest = rest.join(taken.select(*keys, side), [*keys, side], "left_anti").select(*out.columns)
+        rest = shared_checkpoint(rest)
+    return out
 
 
 def reading_order(boxes: DataFrame, keys: list[str], ident: str, x: str, y: str, height: str, gap: float = 0.5) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import shared_checkpoint
+from .joins import range_join
 
 
 def _by(keys, *order):
@@ -255,7 +256,7 @@ def clip_windows(anchors: DataFrame, events: DataFrame, keys: list[str], length:
     """Label of each window [anchor - length, anchor]: the event that overlaps it most, where the overlap is at least
     `cover` of the window or `cover_event` of the event; otherwise background."""
     a = anchors.withColumn("w_start", F.col("anchor") - length)
-    j = a.join(events, keys).where((F.col("e_start") <= F.col("anchor")) & (F.col("e_end") >= F.col("w_start")))
+    j = range_join(a, events, keys, "w_start", "anchor", "e_start", "e_end", length)
     shared = F.least("anchor", "e_end") - F.greatest("w_start", "e_start")
     j = j.withColumn("shared", shared).where((F.col("shared") >= cover * length) | (F.col("shared") >= cover_event * (F.col("e_end") - F.col("e_start"))))
     best = j.groupBy(*keys, "anchor").agg(F.max_by("label", F.struct(F.col("shared"), -F.col("e_start"), F.col("label"))).alias("label"))

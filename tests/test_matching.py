@@ -29,6 +29,39 @@ def test_alerts_like_a_scan_of_all_events(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_candidates_like_a_scan_of_all_labels(spark):
+    rng = random.Random(7)
+    rows = [(rng.randrange(3), rng.choice(["candidate", "label"]), rng.choice(["TAKE", "BROWSE"]), i, (t := rng.randrange(600)), t + rng.randrange(0, 12)) for i in range(300)]
+    got = matching.match_candidates(spark.createDataFrame(rows, "k int, side string, kind string, id long, start_ms long, end_ms long"), ["k"])
+    assert got.count() > 0
+    want = []
+    for k in range(3):
+        labels = sorted((s, i, e, kind) for q, side, kind, i, s, e in rows if q == k and side == "label")
+        used = set()
+        for s, i, e in sorted((s, i, e) for q, side, _, i, s, e in rows if q == k and side == "candidate"):
+            over = [x for x in labels if x[0] <= e and x[2] >= s]
+            free = [x[1] for x in over if x[3] == "TAKE" and x[1] not in used]
+            used |= set(free[:1])
+            want.append((k, i, "tp" if free else "fp_browse" if any(x[3] == "BROWSE" for x in over) else "fp_other", free[0] if free else None))
+        want += [(k, None, "fn", x[1]) for x in labels if x[3] == "TAKE" and x[1] not in used]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_rounds_take_what_the_falling_order_takes(spark):
+    rng = random.Random(8)
+    pairs = {(rng.randrange(2), rng.randrange(30), f"n{rng.randrange(30)}"): float(rng.randrange(6)) for _ in range(700)}
+    rows = [(*k, s) for k, s in pairs.items()]
+    rows += [(2, i, f"n{i + j}", 100.0 - 2 * i - j) for i in range(6) for j in (0, 1)]  # each pair waits for the one before
+    d = spark.createDataFrame(rows, "k int, a long, b string, s double")
+    want, used = [], set()
+    for s, k, a, b in sorted((-s, k, a, b) for k, a, b, s in rows):
+        if -s >= 1 and not {(k, "a", a), (k, "b", b)} & used:
+            used |= {(k, "a", a), (k, "b", b)}
+            want.append((k, a, b, -s))
+    assert sorted(map(tuple, matching.greedy_map(d, ["k"], "a", "b", "s", 1.0).collect())) == sorted(want)
+    assert matching.greedy_map(d.limit(0), ["k"], "a", "b", "s", 1.0).count() == 0
+
+
 def test_labels_are_cut_only_where_no_pair_can_reach(spark):
     import numpy as np
 
