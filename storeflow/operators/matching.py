@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from statistics import fmean, median, mode
 
 import numpy as np
@@ -10,22 +10,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_checkpoint
 from .grouped import grouped
 
 
-def stretches(df: DataFrame, keys: list[str], start: str, end: str, slack: float) -> DataFrame:
-    """Adds _cut, which numbers the stretches of a key between pauses over `slack`: no rows of two stretches can match."""
+def stretches(df: DataFrame, keys: list[str], start: str, end: str, slack: float, rows: int) -> DataFrame:
+    """Adds _cut, which deals a key's rows, in order, to groups that end at pauses over `slack`.
+
+    No rows of two groups can match. A group has about `rows` rows, or as many as come without a pause.
+    """
     w = Window.partitionBy(*keys).orderBy(start)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reach = F.max(F.greatest(start, end)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = df.withColumn("_new", F.coalesce(F.col(start) - reach > slack, F.lit(False)).cast("long"))
-    return d.withColumn("_cut", F.sum("_new").over(w)).drop("_new")
+    d = df.withColumn("_first", F.when(F.col(start) - reach > slack, F.row_number().over(w)))
+    return d.withColumn("_cut", F.floor(F.coalesce(F.max("_first").over(so_far), F.lit(0)) / rows)).drop("_first")
 
 
 def match_alerts(df: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
     """Alerts against true events of one file and class, in time order.
 
-    Rows: side (alert or event), id, start_ms, end_ms, decided one stretch between pauses at a time. The nearest
+    Rows: side (alert or event), id, start_ms, end_ms, decided in stretches that pauses part. The nearest
     unmatched event whose widened span holds the alert is a hit with a latency; if all such are taken the alert is a
     duplicate; if there is none it is false. Events left over are missed.
     """
@@ -49,69 +52,72 @@ def match_alerts(df: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
         rows += [(None, "missed", e, None) for e, u in zip(eid, used, strict=True) if not u]
         return rows
 
-    cut = stretches(df, keys, "start_ms", "end_ms", tolerance)
+    cut = stretches(df, keys, "start_ms", "end_ms", tolerance, 1000)
     return grouped(cut, [*keys, "_cut"], fn, "alert_id long, outcome string, event_id long, latency_ms long").drop("_cut")
 
 
 def match_candidates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Candidate intervals against labelled ones by overlap, in order of start.
 
-    Rows: side (candidate or label), kind (TAKE or BROWSE for labels), id, start_ms, end_ms, decided one stretch between
-    pauses at a time. The first unmatched overlapping TAKE is a hit; otherwise an overlapping BROWSE or nothing says what
+    Rows: side (candidate or label), kind (TAKE or BROWSE for labels), id, start_ms, end_ms, decided in stretches
+    that pauses part. The first unmatched overlapping TAKE is a hit; otherwise an overlapping BROWSE or nothing says what
     kind of false alarm it is.
     """
 
     def fn(pdf: pd.DataFrame) -> list[tuple]:
-        la = pdf[pdf.side == "label"].sort_values(["start_ms", "id"])
+        la, ca = (pdf[pdf.side == s].sort_values(["start_ms", "id"]) for s in ("label", "candidate"))
+        ids, take, ls, le = la.id.tolist(), (la.kind == "TAKE").tolist(), la.start_ms.tolist(), la.end_ms.tolist()
+        reach = np.maximum.accumulate(la.end_ms.to_numpy(np.int64)) if len(la) else np.zeros(0, np.int64)
         used, rows = set(), []
-        for c in pdf[pdf.side == "candidate"].sort_values(["start_ms", "id"]).itertuples():
-            over = la[(la.start_ms <= c.end_ms) & (la.end_ms >= c.start_ms)]
-            free = [i for i, k in zip(over.id, over.kind, strict=True) if k == "TAKE" and i not in used]
-            if free:
-                used.add(free[0])
-                rows.append((c.id, "tp", free[0]))
+        for i, s, e in zip(ca.id.tolist(), ca.start_ms.tolist(), ca.end_ms.tolist(), strict=True):
+            over = [k for k in range(int(np.searchsorted(reach, s)), bisect_right(ls, e)) if le[k] >= s]
+            free = next((k for k in over if take[k] and k not in used), None)
+            if free is not None:
+                used.add(free)
+                rows.append((i, "tp", ids[free]))
             else:
-                rows.append((c.id, "fp_browse" if (over.kind == "BROWSE").any() else "fp_other", None))
-        rows += [(None, "fn", i) for i, k in zip(la.id, la.kind, strict=True) if k == "TAKE" and i not in used]
+                rows.append((i, "fp_other" if all(take[k] for k in over) else "fp_browse", None))
+        rows += [(None, "fn", i) for k, i in enumerate(ids) if take[k] and k not in used]
         return rows
 
-    cut = stretches(df, keys, "start_ms", "end_ms", 0)
+    cut = stretches(df, keys, "start_ms", "end_ms", 0, 1000)
     return grouped(cut, [*keys, "_cut"], fn, "candidate_id long, outcome string, label_id long").drop("_cut")
 
 
 def best_pairs(a: np.ndarray, b: np.ndarray, before: float, after: float) -> list[tuple[int, int]]:
     """Most pairs of two sorted time lists with b - a in [-before, after]; among those the least total |b - a|.
 
-    An order-preserving optimum exists for equal windows, so a table over prefixes finds it.
+    An order-preserving optimum exists for equal windows, so a table over prefixes finds it. Row i holds (pairs, -cost) of
+    the first i of a with the first j of b, for j from just before the window of a[i - 1] to its end: past the end nothing
+    changes, and before the start it is row i - 1.
     """
-    n, m = len(a), len(b)
-    count, cost = np.zeros((n + 1, m + 1), int), np.zeros((n + 1, m + 1))
-    step = np.zeros((n + 1, m + 1), np.int8)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            best = (count[i - 1, j], -cost[i - 1, j], 1)
-            best = max(best, (count[i, j - 1], -cost[i, j - 1], 0), key=lambda x: x[:2])
-            d = b[j - 1] - a[i - 1]
-            if -before <= d <= after:
-                pair = (count[i - 1, j - 1] + 1, -(cost[i - 1, j - 1] + abs(d)), 2)
-                best = max(best, pair, key=lambda x: x[:2])
-            count[i, j], cost[i, j], step[i, j] = best[0], -best[1], best[2]
-    out, i, j = [], n, m
+    a, b = list(map(float, a)), list(map(float, b))
+    rows, low, high = [[(0, 0.0)]], [0], [0]
+    at = lambda i, j: rows[i][min(j, high[i]) - low[i]]
+    for i, x in enumerate(a, 1):
+        low.append(bisect_left(b, -before, key=lambda v: v - x))
+        high.append(bisect_right(b, after, key=lambda v: v - x))
+        row = [at(i - 1, low[i])]
+        for j in range(low[i] + 1, high[i] + 1):
+            n, c = at(i - 1, j - 1)
+            row.append(max(at(i - 1, j), row[-1], (n + 1, c - abs(b[j - 1] - x))))
+        rows.append(row)
+    out, i, j = [], len(a), len(b)
     while i and j:
-        if step[i, j] == 2:
-            out.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif step[i, j] == 1:
+        if j <= low[i] or at(i, j) == at(i - 1, j):
             i -= 1
-        else:
+        elif at(i, j) == at(i, j - 1):
             j -= 1
+        else:
+            out.append((i - 1, j - 1))
+            i, j = i - 1, j - 1
     return out[::-1]
 
 
 def match_labels(df: DataFrame, keys: list[str], before: float, after: float) -> DataFrame:
     """Labels with sensor events of one lane and direction by best_pairs. Rows: side (label or sensor), id, at.
 
-    No pair reaches across a pause longer than both windows, so each stretch between such pauses is a group of its own.
+    No pair reaches across a pause longer than both windows, so groups end at such pauses.
     """
 
     def fn(pdf: pd.DataFrame) -> list[tuple]:
@@ -123,7 +129,7 @@ def match_labels(df: DataFrame, keys: list[str], before: float, after: float) ->
         rows += [("ghost", None, x, None) for j, x in enumerate(b.id) if j not in sb]
         return rows
 
-    cut = stretches(df, keys, "at", "at", max(before, after))
+    cut = stretches(df, keys, "at", "at", max(before, after), 1000)
     return grouped(cut, [*keys, "_cut"], fn, "kind string, label_id long, sensor_id long, dt double").drop("_cut")
 
 
@@ -173,24 +179,19 @@ def assign(scores: DataFrame, keys: list[str], left: str, right: str, score: str
 
 
 def greedy_map(scores: DataFrame, keys: list[str], left: str, right: str, score: str, least: float) -> DataFrame:
-    """One-to-one by falling score; ties by left, then right.
+    """One-to-one by falling score; ties by left, then right. A group is one run, with as many ids as a recording has."""
 
-    In rounds: a pair that is the best of both its sides is one that the falling order takes, and all other pairs of its
-    sides go. Each round takes at least the best pair of every group, however large; no group meets in one task.
-    """
-    rank = F.struct((-F.col(score)).alias("_s"), F.col(left).alias("_l"), F.col(right).alias("_r"))
-    best = lambda df, side: df.groupBy(*keys, side).agg(F.min(rank).alias("_m"))
-    rest = shared_checkpoint(scores.select(*keys, left, right, score).where(F.col(score) >= least))
-    out = rest.limit(0)
-    while not rest.isEmpty():
-        a = best(rest, left).select(*keys, left, F.col("_m._r").alias(right), (-F.col("_m._s")).alias(score))
-        b = best(rest, right).select(*keys, F.col("_m._l").alias(left), right)
-        taken = shared_checkpoint(a.join(b, [*keys, left, right]).select(*rest.columns))
-        out = out.unionByName(taken)
-        for side in (left, right):
-            rest = rest.join(taken.select(*keys, side), [*keys, side], "left_anti").select(*out.columns)
-        rest = shared_checkpoint(rest)
-    return out
+    def fn(pdf: pd.DataFrame) -> list[tuple]:
+        used_a, used_b, rows = set(), set(), []
+        for a, b, s in pdf[pdf[score] >= least].sort_values([score, left, right], ascending=[False, True, True])[[left, right, score]].itertuples(index=False):
+            if a not in used_a and b not in used_b:
+                used_a.add(a)
+                used_b.add(b)
+                rows.append((a, b, s))
+        return rows
+
+    kinds = ", ".join(f"{c} {scores.schema[c].dataType.simpleString()}" for c in (left, right, score))
+    return grouped(scores.select(*keys, left, right, score), keys, fn, kinds)
 
 
 def reading_order(boxes: DataFrame, keys: list[str], ident: str, x: str, y: str, height: str, gap: float = 0.5) -> DataFrame:

@@ -63,8 +63,8 @@ def m5_cross_view_assignment(spark, d):
 
 @query()
 def m7_identity_remap(spark, d):
-    """Ids of two runs mapped one to one by shared frames."""
-    o = observations(spark, d).withColumn("slot", F.floor(F.col("ms") / (6 * HOUR))).withColumn("run", F.col("person_id") % 5)
+    """Ids of two runs over a recording of fifty persons mapped one to one by shared frames."""
+    o = observations(spark, d).withColumn("slot", F.floor(F.col("ms") / (6 * HOUR))).withColumn("run", F.expr("person_id div 50"))
     side = lambda odd, n, c: o.where(F.col("event_id") % 2 == odd).groupBy("run", "slot", F.col("person_id").alias(n)).agg(F.count(F.lit(1)).alias(c))  # noqa: E731  one row a person and slot
     s = side(0, "old_id", "a").join(side(1, "new_id", "b"), ["run", "slot"]).groupBy("run", "old_id", "new_id").agg(F.sum(F.col("a") * F.col("b")).cast("double").alias("score"))
     return mt.greedy_map(s, ["run"], "old_id", "new_id", "score", 1.0)

@@ -47,7 +47,7 @@ def test_candidates_like_a_scan_of_all_labels(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
-def test_rounds_take_what_the_falling_order_takes(spark):
+def test_maps_take_the_falling_order(spark):
     rng = random.Random(8)
     pairs = {(rng.randrange(2), rng.randrange(30), f"n{rng.randrange(30)}"): float(rng.randrange(6)) for _ in range(700)}
     rows = [(*k, s) for k, s in pairs.items()]
