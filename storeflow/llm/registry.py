@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_decontaminate", "q_toxicity", "q_jaccard", "q_licenses", "q_packing", "q_urlfilter", "q_chat", "q_tokencount", "q_warc", "q_fingerprints", "q_katz"]
+MODULES = ["q_decontaminate", "q_toxicity", "q_jaccard", "q_licenses", "q_packing", "q_urlfilter", "q_chat", "q_tokencount", "q_warc", "q_fingerprints", "q_katz", "q_hardneg", "q_repair"]
 
 
 def _modules():
