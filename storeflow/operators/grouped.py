@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -25,8 +28,8 @@ def grouped(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
                 continue
             change = np.zeros(len(pdf), bool)
             for k in keys:
-                v = pdf[k].to_numpy()
-                change[1:] |= v[1:] != v[:-1]
+                v, null = pdf[k].to_numpy(), pdf[k].isna().to_numpy()
+                change[1:] |= np.where(null[1:] | null[:-1], null[1:] != null[:-1], v[1:] != v[:-1])
             at = np.flatnonzero(change).tolist()
             rows = []
             for i, j in zip([0, *at], at, strict=False):
@@ -43,3 +46,35 @@ def grouped(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
                 yield frame(rows)
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, out)
+
+
+def stepped(df: DataFrame, keys: list[str], order: list[str], make: Callable, step: Callable, close: Callable, schema: str) -> DataFrame:
+    """Machines over each key's rows in order: make() one, step(machine, *other columns) a row, close(machine) at the end.
+
+    Each call gives rows of `schema`, which get the key. Of a key only its machine is held, however many rows it has.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = T.StructType([df.schema[k] for k in keys] + T._parse_datatype_string(schema).fields)
+    arrow, n = to_arrow_schema(out), len(keys)
+
+    def run(batches):
+        key, machine = None, None
+        for batch in batches:
+            made = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if machine is None or row[:n] != key:
+                    if machine is not None:
+                        made += [key + tuple(r) for r in close(machine)]
+                    key, machine = row[:n], make()
+                made += [key + tuple(r) for r in step(machine, *row[n:])]
+            yield _batch(made, arrow)
+        if machine is not None:
+            yield _batch([key + tuple(r) for r in close(machine)], arrow)
+
+    return df.select(*keys, *[c for c in df.columns if c not in keys]).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
