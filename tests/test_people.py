@@ -90,16 +90,16 @@ def test_tentative_people_are_no_candidates():
     assert play(m, (0, [Seen(1, HERE, A)]), (500, [Seen(2, HERE, A)]))[-1] == [(2, None)]
     m = Registry(tentative_ms=1000)
     play(m, *[(t, [Seen(1, HERE, A, inside=t != 500)]) for t in (0, 500, 600, 1500)])
-    assert m.people[1].tentative  # the time begins again after 500
+    assert m.crowd.tentative[0]  # the time begins again after 500
     play(m, (1600, [Seen(1, HERE, A)]))
-    assert not m.people[1].tentative and play(m, (2000, [Seen(2, HERE, A)])) == [[(1, None)]]
+    assert not m.crowd.tentative[0] and play(m, (2000, [Seen(2, HERE, A)])) == [[(1, None)]]
 
 
 def test_looks_of_several_heights_stay():
     m = Registry(templates=2, every=500)
     tall = lambda h: (0.0, 0.0, 40.0, h)
     play(m, (0, [Seen(1, tall(100.0), A)]), (500, [Seen(1, tall(300.0), B)]), (700, [Seen(1, tall(290.0), C)]), (1000, [Seen(1, tall(280.0), C)]))
-    assert [h for h, _ in m.people[1].looks] == [100.0, 280.0]
+    assert m.crowd.heights[0].tolist() == [100.0, 280.0]
 
 
 def test_rows_are_frames(spark):
@@ -116,3 +116,89 @@ def test_the_query_gives_a_person_one_box_a_frame(spark):
     assert got.where("person_id > 0").groupBy("run", "ms", "person_id").count().where("count > 1").isEmpty()
     assert got.where((F.col("person_id") < 0) != F.col("held").isNotNull()).isEmpty()
     assert {r.held for r in got.select("held").distinct().collect()} >= {None, "small", "score"}
+
+
+FAR = (900.0, 0.0, 940.0, 100.0)
+
+
+def photos(who, n, seed, signal=0.6, d=64):
+    """Unit vectors of one person: any two are about signal ** 2 alike, their means much more."""
+    base = np.random.default_rng(100 + who).normal(size=d)
+    base /= np.linalg.norm(base)
+    rng = np.random.default_rng(seed)
+    noise = rng.normal(size=(n, d))
+    noise -= (noise @ base)[:, None] * base
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    return signal * base + np.sqrt(1 - signal**2) * noise
+
+
+def show(m, start, *tracks, every=100):
+    """Tracks (number, box, photos) shown together from `start`; the last decisions."""
+    for i in range(len(tracks[0][2])):
+        said = m.frame(start + every * i, [Seen(k, b, vecs[i]) for k, b, vecs in tracks])
+    return [d.person for d in said]
+
+
+def merging(**params):
+    return Registry(**{"match": 0.65, "stitch": 0.65, "retire_ms": 60_000, "every": 100, "merge_at": (10,), "merge": 0.75, **params})
+
+
+def test_late_merge():
+    m = merging()
+    first = show(m, 0, (1, HERE, photos(0, 10, 1)))
+    assert m.frame(20_000, [Seen(2, FAR, photos(0, 10, 2)[0])])[0].person == 2
+    m = merging()
+    show(m, 0, (1, HERE, photos(0, 10, 1)))
+    assert show(m, 20_000, (2, FAR, photos(0, 10, 2))) == first == [1]
+    assert [(a, b) for _, a, b, _ in m.merges] == [(2, 1)] and m.crowd.samples[0] == 20
+    assert show(m, 21_000, (2, FAR, photos(0, 3, 3))) == [1]
+
+
+def test_what_is_not_merged():
+    m = merging()
+    show(m, 0, (1, HERE, photos(0, 10, 1)))
+    assert show(m, 20_000, (2, FAR, photos(1, 10, 2))) == [2] and not m.merges
+    m = merging(retire_ms=10_000)
+    show(m, 0, (1, HERE, photos(0, 10, 1)))
+    assert show(m, 30_000, (2, FAR, photos(0, 10, 2))) == [2] and not m.merges
+    m = merging()
+    show(m, 0, (1, HERE, photos(0, 10, 1)), (2, FAR, photos(0, 10, 2)))
+    show(m, 1000, (1, HERE, photos(0, 10, 3)))
+    assert not m.merges, "seen together"
+    m = merging(tentative_ms=5000)
+    show(m, 0, (1, HERE, photos(0, 10, 1)))
+    assert show(m, 20_000, (2, FAR, photos(0, 10, 2))) == [2] and not m.merges, "tentative persons neither merge nor are merged into"
+
+
+def test_short_overlap():
+    for overlap, merged in ((0, False), (600, True)):
+        m = merging(merge_overlap=overlap)
+        show(m, 0, (1, HERE, photos(0, 10, 1)))
+        show(m, 1000, (1, HERE, photos(0, 2, 4)), (2, FAR, photos(0, 2, 5)))
+        show(m, 1200, (2, FAR, photos(0, 8, 6)))
+        assert bool(m.merges) == merged
+
+
+def test_merges_cascade():
+    """A merge changes the mean that the next person is compared with, and chains lead to one root."""
+    m = merging(merge_at=(10, 20))
+    for k in range(4):
+        show(m, 15_000 * k, (k, (300.0 * k, 0.0, 300.0 * k + 40, 100.0), photos(0, 10, 10 + k)))
+    assert [(a, b) for _, a, b, _ in m.merges] == [(2, 1), (3, 1), (4, 1)]
+    similar = [s for *_, s in m.merges]
+    assert similar[1] > similar[0] and similar[2] > similar[0], "a merged mean is closer to the next one"
+    alone = merging(merge_at=(10, 20))
+    show(alone, 0, (0, HERE, photos(0, 10, 10)))
+    show(alone, 15_000, (3, FAR, photos(0, 10, 13)))
+    assert alone.merges[0][3] < similar[-1]
+
+
+def test_merge_rows_like_the_machine(spark):
+    rows, m = [], merging()
+    for k in range(3):
+        for i, v in enumerate(photos(k % 2, 10, 20 + k)):
+            rows.append(("r", 15_000 * k + 100 * i, k, (300.0 * k, 0.0, 300.0 * k + 40, 100.0), [float(x) for x in v]))
+            m.frame(15_000 * k + 100 * i, [Seen(k, rows[-1][3], v)])
+    d = spark.createDataFrame(rows, "run string, ms long, track long, box struct<x1:double,y1:double,x2:double,y2:double>, vec array<double>")
+    got = people.merged_people(d, ["run"], "ms", "track", "box", "vec", merge_at=(10,), match=0.65, stitch=0.65, retire_ms=60_000, every=100)
+    assert [(r.ms, r.from_id, r.into_id) for r in got.collect()] == [x[:3] for x in m.merges] == [(30_900, 3, 1)]
