@@ -35,15 +35,16 @@ from pyspark.sql import types as T
 from ._text import SPACED, U64, buffers, mix, shared_dir, slices, small_batches, word_table
 
 K = 5
-TOKENS = 3_000_000
+TOKENS = 1_500_000
 #: Words or bigrams, as sent by chunks, that meet in one part.
-ENTRIES = 1_500_000
+ENTRIES = 750_000
 SPLIT = 1 << 20
 END, UNKNOWN = 0, -1
 
 
 def pack(a: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(a).tobytes()
+    """Bytes of an array: all lowest bytes first, then the next ones, and so on, as small numbers have many zeros there."""
+    raw = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True) if raw else b""
 
 
@@ -51,7 +52,8 @@ def unpack(blob, kind) -> np.ndarray:
     blob = blob.as_buffer().to_pybytes() if isinstance(blob, pa.Scalar) else blob
     if not blob:
         return np.zeros(0, kind)
-    return np.frombuffer(pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True), kind)
+    raw = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
 def ratios(n: list[int]) -> np.ndarray:
@@ -91,6 +93,11 @@ def salted(v: np.ndarray, salt: np.ndarray, parts: int) -> np.ndarray:
         return (mix(mix(v.astype(U64) + U64(1)) + salt.astype(U64)) % U64(parts)).astype(np.int64)
 
 
+def word_part(h: np.ndarray, parts: int) -> np.ndarray:
+    """Parts of words: ranges of the upper half of the hash, so that sorted words are sorted by part."""
+    return ((h >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
+
+
 def _by_part(part: np.ndarray):
     """(part, places in it, ascending) for each part that occurs."""
     if not len(part):
@@ -140,7 +147,7 @@ def _ask_words(parts: int):
         for b in batches:
             for chunk, vocab, counts in zip(*(b.column(i) for i in range(3)), strict=True):
                 h, c = unpack(vocab, U64), unpack(counts, np.int64)
-                got = [(p, pack(h[at]), pack(c[at])) for p, at in _by_part((mix(h) % U64(parts)).astype(np.int64))]
+                got = [(p, pack(h[at]), pack(c[at])) for p, at in _by_part(word_part(h, parts))]
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, *_ in got], pa.int64()), pa.array([chunk.as_py()] * len(got), pa.int64()), pa.array([x for _, x, _ in got], pa.binary()), pa.array([x for *_, x in got], pa.binary())], names=["part", "chunk", "h", "c"])
 
     return run
@@ -168,28 +175,26 @@ def _number_words(parts: int):
 _ASK = ["part", "chunk", "v", "w", "cv", "cw", "n", "times", "doc", "mult", "docs", "facts"]
 
 
-def _ask_bigrams(word_parts: int, parts: int, split: int, n_docs: int, total: int, types: int, one: Unigrams, doc_kind):
+def _ask_bigrams(parts: int, split: int, n_docs: int, total: int, types: int, one: Unigrams, doc_kind):
     """Of one chunk and its replies: one row for every part that gets bigrams, and one with what is known of its documents."""
     import pyarrow.compute as pc
 
     def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         col = {n: chunk.column(n)[0] for n in chunk.column_names}
         key, sizes, teach = col["chunk"].as_py(), unpack(col["sizes"], np.int32).astype(np.int64), unpack(col["teach"], bool)
-        local, h = unpack(col["words"], np.int32).astype(np.int64), unpack(col["vocab"], U64)
-        n = len(h)
-        ids, counts = np.full(n + 2, UNKNOWN, np.int64), np.zeros(n + 2, np.int64)  # then the end, and all unknown words
-        at = dict(_by_part((mix(h) % U64(word_parts)).astype(np.int64)))
-        for p, i, c in zip(*(replies.column(x) for x in ("part", "ids", "c")), strict=True):
-            ids[at[p.as_py()]], counts[at[p.as_py()]] = unpack(i, np.int64), unpack(c, np.int64)
-        ids[n], counts[n] = END, n_docs
-        where = np.where(ids[:n] == UNKNOWN, n + 1, np.arange(n))
-
-        doc = np.repeat(np.arange(len(sizes)), sizes + 1)
-        token = np.full(len(doc), n, np.int64)
+        local = unpack(col["words"], np.int32)
+        order = np.argsort(replies.column("part").to_numpy())  # words are sorted by part, and so are their numbers
+        found = [np.concatenate([*[unpack(replies.column(x)[int(i)], np.int64) for i in order], [y, z]]) for x, y, z in (("ids", END, UNKNOWN), ("c", n_docs, 0))]
+        ids, counts = found  # of the chunk's words, then of the end and of all unknown words
+        n = len(ids) - 2
+        where = np.where(ids[:n] == UNKNOWN, n + 1, np.arange(n)).astype(np.int32)
+
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
+        token = np.full(len(doc), n, np.int32)
         inner = np.ones(len(doc), bool)
         inner[np.cumsum(sizes + 1) - 1] = False
         token[inner] = where[local]
-        before = np.concatenate([[n], token[:-1]])  # the end of one document begins the next
+        before = np.concatenate([token[:0] if not len(token) else np.array([n], np.int32), token[:-1]])  # the end of one document begins the next
         m = len(sizes)
         base = np.log10((counts + 0.5) / (total + 0.5 * (types + 1)))
         alone = counts[before] == 0
@@ -197,7 +202,7 @@ def _ask_bigrams(word_parts: int, parts: int, split: int, n_docs: int, total: in
         facts = [sizes + 1, np.bincount(doc[counts[token] > 0], minlength=m), np.bincount(doc, weights=base[token], minlength=m), own, teach]
 
         ask = ~alone
-        pair, entry = np.unique(before[ask] * (n + 2) + token[ask], return_inverse=True)
+        pair, entry = np.unique(before[ask].astype(np.int64) * (n + 2) + token[ask], return_inverse=True)
         seen = np.bincount(entry[np.repeat(teach, sizes + 1)[ask]], minlength=len(pair))
         places, mult = np.unique(entry * m + doc[ask], return_counts=True)
         times = np.bincount(places // m, minlength=len(pair))
@@ -334,8 +339,8 @@ def score(docs: DataFrame, teach: Column, *, doc_id="doc_id", text="text", token
         n1[n_docs] += 1
     one = Unigrams(total, n1)
 
-    ask = _ask_bigrams(word_parts, parts, split, n_docs, total, types, one, arrow_list)
-    by_chunk = chunks.select("chunk", "docs", "sizes", "teach", "words", "vocab").groupBy("chunk").cogroup(replies.where("chunk is not null").select("chunk", "part", "ids", "c").groupBy("chunk"))
+    ask = _ask_bigrams(parts, split, n_docs, total, types, one, arrow_list)
+    by_chunk = chunks.select("chunk", "docs", "sizes", "teach", "words").groupBy("chunk").cogroup(replies.where("chunk is not null").select("chunk", "part", "ids", "c").groupBy("chunk"))
     asked_pairs = by_chunk.applyInArrow(ask, schema(_ASK, {"part": long, "chunk": long, "docs": doc_list}))
     merged_kinds = {"part": long, "n": T.ArrayType(long), "chunk": T.ArrayType(long), "docs": doc_list} | {n: T.ArrayType(blob) for n in ("entry", "times", "doc", "mult")}
     asked_pairs.groupBy("part").applyInArrow(_merge(arrow_list), schema(_MERGED, merged_kinds)).write.parquet(f"{root}/bigrams")
