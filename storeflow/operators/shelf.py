@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from .grouped import grouped
 
 
-def match_slots(before: list[tuple], after: list[tuple], gate: float, penalty: float = 0.5) -> list[tuple]:
-    """Cheapest pairs first of slots (id, x, y, size, label): distance over size, plus a penalty for another label."""
+def match_slots(before: list[tuple], after: list[tuple], gate: float, penalty: float = 0.3) -> list[tuple]:
+    """Cheapest pairs first of slots (id, x, y, size, label): distance over the mean size, plus a penalty for another label."""
     costs = []
     for a in before:
         for b in after:
-            c = ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5 / max(a[3], 1e-9) + penalty * (a[4] != b[4])
+            c = ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5 / max((a[3] + b[3]) / 2, 1e-9) + penalty * (a[4] != b[4])
             if c <= gate:
                 costs.append((c, a[0], b[0]))
     used_a, used_b, out = set(), set(), []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import shelf as sh
+from ..operators import shelfwatch as sw
 from ..sources.tables import HOUR, OBS_SQL, observations, table
 
 QUERIES, ORACLES = {}, {}
@@ -35,6 +36,31 @@ def st10_shelf_monitor(spark, d):
     return sh.shelf_visits(o, ["person_id"], "ms", "event_id", 6 * HOUR)
 
 
+@query()
+def st10_item_monitor(spark, d):
+    """Visits to each user's shelf of six items, which are there or not for five days at a time; recursive: no SQL form."""
+    o = observations(spark, d)
+    stretch = F.floor(F.col("ms") / (120 * HOUR))
+    x, jitter = F.col("k") * 60.0, F.pmod(F.col("event_id") * 7 + F.col("k"), F.lit(5)).cast("double")
+    item = F.struct(F.when(F.col("event_id") % 9 == 0, "jar").otherwise("tin").alias("label"), (x + jitter).alias("x1"), jitter.alias("y1"), (x + jitter + 40).alias("x2"), (jitter + 40).alias("y2"), (F.pmod(F.col("event_id") * 13 + F.col("k") * 5, F.lit(10)) / 10).alias("score"))
+    there = F.pmod(F.col("person_id") + stretch * (F.col("k") + 1), F.lit(3)) != 0
+    f = o.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5)))).groupBy("person_id", "ms", "event_id", "zone").agg(F.sort_array(F.collect_list(F.when(there, item))).alias("items"))
+    f = f.withColumn("blockers", F.when(F.col("zone") == "error", F.array(F.col("event_id") % 5)))
+    return sw.watch_shelves(f, ["person_id"], "ms", "event_id", stable=12 * HOUR, window=4, presence=0.5, floor=0.2)
+
+
+@query("""WITH b AS (SELECT o_custkey AS shelf, o_orderkey AS frame, l_orderkey * 8 + l_linenumber AS slot, CAST(l_quantity AS DOUBLE) AS x1, CAST(l_quantity AS DOUBLE) + 20 AS x2, CAST(l_discount AS DOUBLE) * 100 AS y1, CAST(l_discount AS DOUBLE) * 100 + 20 AS y2, CAST(l_tax AS DOUBLE) AS score FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+n AS (SELECT shelf, count(DISTINCT frame) AS frames FROM b GROUP BY 1),
+h AS (SELECT a.shelf, a.slot, count(DISTINCT b.frame) AS hits FROM b a JOIN b ON a.shelf = b.shelf AND greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) / (800 - greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0)) >= 0.5 AND b.score >= 0.5 * a.score GROUP BY 1, 2)
+SELECT b.shelf, b.slot, n.frames, coalesce(h.hits, 0) AS hits, coalesce(h.hits, 0) >= 0.3 * n.frames AS present FROM b JOIN n USING (shelf) LEFT JOIN h ON h.shelf = b.shelf AND h.slot = b.slot""")
+def a16_weak_presence(spark, d):
+    """Whether a line's box shows, at least faintly, in three of ten of its customer's orders."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    x, y = F.col("l_quantity").cast("double"), F.col("l_discount").cast("double") * 100
+    b = li.join(o, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("shelf"), F.col("o_orderkey").alias("frame"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("slot"), x.alias("x1"), (x + 20).alias("x2"), y.alias("y1"), (y + 20).alias("y2"), F.col("l_tax").cast("double").alias("score"))
+    return sw.weak_presence(b, b, ["shelf"], "slot", "frame")
+
+
 @query(f"""WITH {OBS_SQL}, m AS (SELECT person_id, event_id, ms FROM ev WHERE zone = 'click'), x AS (SELECT person_id, kind, prio, ms + sh AS at FROM m, (VALUES ('take', 0, 0), ('scan', {3 * HOUR}, 1), ('carry', {9 * HOUR}, 2)) v(kind, sh, prio)),
 f AS (SELECT person_id, event_id AS frame, ms FROM ev WHERE zone = 'view'), n AS (SELECT x.person_id, x.kind, x.prio, x.at, (SELECT arg_min(f.frame, (abs(f.ms - x.at), f.ms, f.frame)) FROM f WHERE f.person_id = x.person_id AND abs(f.ms - x.at) <= {5 * HOUR}) AS frame FROM x)
 SELECT person_id, frame, arg_min(kind, prio) AS kind, min(prio) AS priority FROM n WHERE frame IS NOT NULL GROUP BY 1, 2""")
