@@ -64,6 +64,20 @@ def st25_relabel_history(spark, d):
     return idn.relabel_since(o, s, "person_id", "ms").select("event_id", "was", "person_id")
 
 
+@query(f"""WITH RECURSIVE {OBS_SQL}, b AS (SELECT min(ms) AS t0 FROM ev),
+s AS (SELECT p AS a, p + 1 AS b, t0 + (p % 5 * 37 + 24) * {HOUR} AS since, p // 5 AS block, row_number() OVER (PARTITION BY p // 5 ORDER BY p % 5 * 37, p) AS k FROM (SELECT DISTINCT person_id AS p FROM ev WHERE person_id % 5 < 4), b),
+r AS (SELECT event_id, person_id AS was, person_id AS v, ms, person_id // 5 AS block, 0 AS k FROM ev
+ UNION ALL SELECT r.event_id, r.was, CASE WHEN s.since <= r.ms AND r.v = s.a THEN s.b WHEN s.since <= r.ms AND r.v = s.b THEN s.a ELSE r.v END, r.ms, r.block, r.k + 1 FROM r JOIN s ON s.block = r.block AND s.k = r.k + 1)
+SELECT event_id, was, v AS person_id FROM r QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY k DESC) = 1""")
+def st13_swap_chains(spark, d):
+    """ST13 and ST25: swaps that follow each other through neighbouring ids, as one product."""
+    o = observations(spark, d)
+    first = o.agg(F.min("ms").alias("t0"))
+    s = o.where("person_id % 5 < 4").select(F.col("person_id").alias("a")).distinct().join(F.broadcast(first), how="cross")  # one row
+    s = s.select("a", (F.col("a") + 1).alias("b"), (F.col("t0") + (F.col("a") % 5 * 37 + 24) * HOUR).alias("since"))
+    return idn.relabel_since(o, s, "person_id", "ms").select("event_id", "was", "person_id")
+
+
 @query(f"""WITH {OBS_SQL}, l AS (SELECT person_id, count(*) FILTER (zone = 'click') AS taken, count(*) FILTER (zone = 'purchase') AS paid, min(ms) AS f, max(ms) AS t, arg_max(zone, (ms, event_id)) AS state, min(CASE WHEN zone = 'error' THEN ms END) AS hold FROM ev GROUP BY 1)
 SELECT person_id // 4 * 4 AS root, CAST(sum(taken) AS BIGINT) AS taken, CAST(sum(paid) AS BIGINT) AS paid, min(f) AS first_ms, arg_max(state, (t, person_id)) AS state, min(hold) AS hold_ms, count(*) AS members FROM l GROUP BY 1""")
 def st26_merge_ledgers(spark, d):
