@@ -120,17 +120,24 @@ def match_labels(df: DataFrame, keys: list[str], before: float, after: float) ->
     No pair reaches across a pause longer than both windows, so groups end at such pauses.
     """
 
+    numbered = "unit" in df.columns
+    by = ["id", "unit"] if numbered else ["id"]
+    none = (None,) * len(by)
+
     def fn(pdf: pd.DataFrame) -> list[tuple]:
-        a, b = (pdf[pdf.side == s].sort_values(["at", "id"]) for s in ("label", "sensor"))
-        pairs = best_pairs(a["at"].to_numpy(float), b["at"].to_numpy(float), before, after)
+        a, b = (pdf[pdf.side == s].sort_values(["at", *by]) for s in ("label", "sensor"))
+        at, bt = a["at"].to_numpy(float), b["at"].to_numpy(float)
+        pairs = best_pairs(at, bt, before, after)
         la, sb = {i for i, _ in pairs}, {j for _, j in pairs}
-        rows = [("matched", a.id.iloc[i], b.id.iloc[j], b["at"].iloc[j] - a["at"].iloc[i]) for i, j in pairs]
-        rows += [("missed", x, None, None) for i, x in enumerate(a.id) if i not in la]
-        rows += [("ghost", None, x, None) for j, x in enumerate(b.id) if j not in sb]
+        a, b = (list(x[by].itertuples(index=False, name=None)) for x in (a, b))
+        rows = [("matched", *a[i], *b[j], bt[j] - at[i]) for i, j in pairs]
+        rows += [("missed", *x, *none, None) for i, x in enumerate(a) if i not in la]
+        rows += [("ghost", *none, *x, None) for j, x in enumerate(b) if j not in sb]
         return rows
 
     cut = stretches(df, keys, "at", "at", max(before, after), 1000)
-    return grouped(cut, [*keys, "_cut"], fn, "kind string, label_id long, sensor_id long, dt double").drop("_cut")
+    ids = ", ".join(f"{side}_{c} long" for side in ("label", "sensor") for c in by)
+    return grouped(cut, [*keys, "_cut"], fn, f"kind string, {ids}, dt double").drop("_cut")
 
 
 def hungarian(score: np.ndarray) -> list[tuple[int, int]]:
@@ -231,16 +238,18 @@ def consensus(frames: DataFrame, keys: list[str], box: tuple[str, str], label: s
 def staged_compare(labels: DataFrame, sensors: DataFrame, pair: str, lane: str, direction: str, before: float, after: float) -> DataFrame:
     """Labels and sensor events unit by unit: first within a lane, then across lanes, then missed and ghosts.
 
-    Rows: pair, lane, direction, id, at, qty. A quantity of n is n units.
+    Rows: pair, lane, direction, id, at, qty. A quantity of n is n units, told apart by label_unit and sensor_unit (from 0).
     """
     from pyspark.sql import functions as F
 
-    units = lambda df, side: df.select(pair, lane, direction, F.lit(side).alias("side"), "at", F.explode(F.sequence(F.lit(0), F.greatest("qty", F.lit(1)) - 1)).alias("u"), "id").select(pair, lane, direction, "side", "at", (F.col("id") * 32 + F.col("u")).alias("id"))
+    of = [pair, lane, direction]
+    units = lambda df, side: df.select(*of, F.lit(side).alias("side"), "at", "id", F.explode(F.sequence(F.lit(0).cast("long"), (F.greatest("qty", F.lit(1)) - 1).cast("long"))).alias("unit"))
     both = units(labels, "label").unionByName(units(sensors, "sensor"))
-    first = match_labels(both, [pair, lane, direction], before, after)
+    first = match_labels(both, of, before, after)
     hit = first.where("kind = 'matched'")
-    used = hit.select(F.lit("label").alias("side"), F.col("label_id").alias("id")).unionByName(hit.select(F.lit("sensor").alias("side"), F.col("sensor_id").alias("id")))
-    rest = both.join(used, ["side", "id"], "left_anti")
-    second = match_labels(rest.select(pair, direction, "side", "id", "at"), [pair, direction], before, after)
+    used = lambda side: hit.select(F.lit(side).alias("side"), F.col(f"{side}_id").alias("id"), F.col(f"{side}_unit").alias("unit"))
+    rest = both.join(used("label").unionByName(used("sensor")), ["side", "id", "unit"], "left_anti")
+    second = match_labels(rest.select(pair, direction, "side", "id", "unit", "at"), [pair, direction], before, after)
     again = second.withColumn("kind", F.when(F.col("kind") == "matched", "other_lane").otherwise(F.col("kind")))
-    return hit.select(pair, direction, "kind", "label_id", "sensor_id", "dt").unionByName(again.select(pair, direction, "kind", "label_id", "sensor_id", "dt"))
+    out = [pair, direction, "kind", "label_id", "label_unit", "sensor_id", "sensor_unit", "dt"]
+    return hit.select(out).unionByName(again.select(out))

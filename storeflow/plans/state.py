@@ -179,9 +179,9 @@ def st1_lane_events(spark, d):
 
 @query()
 def st18_level_calibration(spark, d):
-    """Median level of the first undisturbed stretch of each lane and zone. Recursive: no SQL form."""
+    """Median level of the first undisturbed stretch of each user's lane. Recursive: no SQL form."""
     o = observations(spark, d).withColumn("mm", F.col("value") % 50)
-    return mc.level_calibration(o, ["person_id", "zone"], "ms", "mm", settle=24 * HOUR, measure=72 * HOUR, spread=40.0)
+    return mc.level_calibration(o, ["person_id"], "ms", "mm", "event_id", settle=120 * HOUR, measure=200 * HOUR, gap=200 * HOUR, spread=30.0)
 
 
 @query("""WITH a AS (SELECT l_orderkey AS visit, l_linenumber AS n, CASE WHEN l_returnflag = 'A' THEN CAST(l_quantity AS INT) % 3 ELSE 0 END AS removed, CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS INT) % 3 ELSE 0 END AS added, CASE l_linenumber WHEN 1 THEN 'DECREASED' WHEN 2 THEN 'INCREASED' WHEN 3 THEN 'CHANGED' END AS dir, l_linestatus = 'F' AS covered, l_quantity * 3 AS delta, l_linenumber % 3 * 10 AS unit FROM lineitem)

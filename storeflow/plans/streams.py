@@ -74,13 +74,13 @@ def stream_sessions(spark, d):
 
 
 @query("""WITH e AS (SELECT event_id, event_id % 24 AS h, event_id % 60 AS m, CAST(floor(value) AS INT) % 60 AS s FROM events WHERE event_id % 9 <> 0)
-SELECT event_id, (h * 60 + m) * 60 + s AS at_sec, CAST(event_id % 4 AS VARCHAR) AS lane, 'ADD' AS event, CAST(event_id % 5 AS INTEGER) AS before, CAST(event_id % 5 + 1 AS INTEGER) AS after, CASE WHEN event_id % 7 > 0 THEN event_id % 400 + 0.5 END AS distance_mm, 'item ' || event_id % 3 || ' +1' AS product FROM e""")
+SELECT event_id, (h * 60 + m) * 60 + s AS at_sec, 'L' || event_id % 4 AS lane, 'ADD' AS event, CAST(event_id % 5 AS INTEGER) AS before, CAST(event_id % 5 + 1 AS INTEGER) AS after, CASE WHEN event_id % 7 > 0 THEN event_id % 400 + 0.5 END AS distance_mm, CASE WHEN event_id % 11 = 0 THEN '' ELSE 'item ' || event_id % 3 END AS product FROM e""")
 def s8_event_lines(spark, d):
     """Log lines built from events and parsed again; every ninth is damaged and skipped."""
     k = F.col("event_id")
     far = F.when(k % 7 > 0, F.concat((k % 400).cast("string"), F.lit(".5"))).otherwise("-")
-    line = F.format_string("%02d:%02d:%02d  L%d  ADD        %d→%d   %s  item %d +1", k % 24, k % 60, F.floor("value").cast("int") % 60, k % 4, k % 5, k % 5 + 1, far, k % 3)
-    lines = table(spark, d, "events").select("event_id", F.when(k % 9 == 0, F.lit("09:00:0x  L1  ADD  1→2  -  broken")).otherwise(line).alias("value"))
+    line = F.format_string("%02d:%02d:%02d  L%d  ADD        %d→%d   %s  %s", k % 24, k % 60, F.floor("value").cast("int") % 60, k % 4, k % 5, k % 5 + 1, far, F.when(k % 11 == 0, "loose").otherwise(F.concat(F.lit("lane 1 / item "), (k % 3).cast("string"), F.lit(" / +1"))))
+    lines = table(spark, d, "events").select("event_id", F.when(k % 9 == 0, F.lit("09:00:0x  L1  ADD  1→2  -  broken")).when(k % 5 == 0, F.concat(F.lit("  "), line, F.lit(" "))).otherwise(line).alias("value"))
     return logs.parse_event_lines(lines)
 
 

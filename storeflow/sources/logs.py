@@ -49,18 +49,26 @@ def lane_sensor_rows(df: DataFrame, offset_ms: int, lanes: list[str]) -> DataFra
     return df.where((F.col("in_video") == 1) & F.col("event").isin("REMOVE", "ADD") & F.col("lane").isin(*lanes)).withColumn("time_ms", F.col("time_ms") + offset_ms)
 
 
-#: hh:mm:ss  L<lane>  EVENT  before→after  distance or -  product. The fixed format of the event log.
-EVENT_LINE = r"^(\d{2}):(\d{2}):(\d{2})\s+L(\d+)\s+([A-Z_]+)\s+(\d+)→(\d+)\s+([\d.]+|-)\s+(.*)$"
+#: What the six fields of a line of the event log look like. Fixed formats.
+EVENT_FIELDS = {"time": r"[0-9]{2}:[0-9]{2}:[0-9]{2}", "lane": r"L[0-9]+", "event": r"[A-Z_]+", "change": r"[0-9]+→[0-9]+", "distance": r"[0-9.]+|-", "text": r"(?s).*"}
 
 
 def parse_event_lines(lines: DataFrame, text: str = "value") -> DataFrame:
-    """at_sec (of the day), lane, event, before, after, distance_mm (null for -), product from log lines; lines that don't match are skipped."""
-    part = lambda i: F.regexp_extract(text, EVENT_LINE, i)
-    at = (part(1).cast("long") * 60 + part(2).cast("long")) * 60 + part(3).cast("long")
-    rest = [c for c in lines.columns if c != text]
-    return lines.where(F.col(text).rlike(EVENT_LINE)).select(
-        *rest, at.alias("at_sec"), part(4).alias("lane"), part(5).alias("event"), part(6).cast("int").alias("before"), part(7).cast("int").alias("after"),
-        F.when(part(8) != "-", part(8)).try_cast("double").alias("distance_mm"), F.trim(part(9)).alias("product"),
+    """at_sec (of the day), lane, event, before, after, distance_mm (null for -), product from log lines; other lines are skipped.
+
+    A line is split on blanks into time, lane, event, change, distance and text; the product is the second part of a text
+    that is cut at slashes, else empty.
+    """
+    rest = [F.col(c) for c in lines.columns if c != text]
+    cut = F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+", 6)
+    f = lines.select(*rest, *[F.get(cut, F.lit(i)).alias(f"_{n}") for i, n in enumerate(EVENT_FIELDS)])
+    for name, form in EVENT_FIELDS.items():
+        f = f.where(F.col(f"_{name}").rlike(f"^(?:{form})$"))
+    clock, change = F.split("_time", ":"), F.split("_change", "→")
+    at = (clock[0].cast("long") * 60 + clock[1].cast("long")) * 60 + clock[2].cast("long")
+    return f.select(
+        *rest, at.alias("at_sec"), F.col("_lane").alias("lane"), F.col("_event").alias("event"), change[0].try_cast("int").alias("before"), change[1].try_cast("int").alias("after"),
+        F.col("_distance").try_cast("double").alias("distance_mm"), F.coalesce(F.trim(F.get(F.split("_text", "/"), F.lit(1))), F.lit("")).alias("product"),
     )
 
 

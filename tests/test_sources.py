@@ -26,9 +26,9 @@ def test_sensor_tables(spark, tmp_path):
 
 
 def test_event_lines(spark):
-    lines = ["09:00:05  L1  REMOVE  3→2  128.5  cup noodle", "23:59:59  L12  SENSOR_ERROR  2→2  -  tea", "9:00:05  L1  ADD  1→2  -  x", "09:00:05.100  L1  ADD  1 -> 2", ""]
+    lines = ["09:00:05  L1  REMOVE  3→2  128.5  lane 1 / cup noodle / -1", "  23:59:59  L12  SENSOR_ERROR  2→2  -  tea  ", "09:00:05  L1  ADD  1→2  -", "9:00:05  L1  ADD  1→2  -  x", "09:00:05.100  L1  ADD  1 -> 2", ""]
     got = [tuple(r) for r in logs.parse_event_lines(spark.createDataFrame([(x,) for x in lines], "value string")).collect()]
-    assert got == [(32405, "1", "REMOVE", 3, 2, 128.5, "cup noodle"), (86399, "12", "SENSOR_ERROR", 2, 2, None, "tea")]
+    assert got == [(32405, "L1", "REMOVE", 3, 2, 128.5, "cup noodle"), (86399, "L12", "SENSOR_ERROR", 2, 2, None, "")]
 
 
 def test_label_tables(spark, tmp_path):
