@@ -219,6 +219,12 @@ def shared_dir(spark, prefix: str) -> str:
     return f"{root.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark, path: str) -> None:
+    """Deletes a folder of shared_dir."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext

@@ -14,7 +14,7 @@ unknown word, p(w | v) is p(w).
 
 Tables, each stored in a shared folder: chunks (about TOKENS tokens each, as numbers of the chunk's own word list),
 replies (numbers and counts of these words, by hash of the word), bigrams (merged counts and where they occur, by hash of
-the first word). A chunk sends each of its words and bigrams once. A context of more than SPLIT tokens is split by the
+the first word). The first two are deleted when the third is written. A chunk sends each of its words and bigrams once. A context of more than SPLIT tokens is split by the
 second word; its two sums are then added over its parts, broadcast if they are at most `hot_rows`, joined by part else.
 Nothing is pruned: counts cover every document that teaches, and grow with it.
 
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._text import SPACED, U64, buffers, mix, shared_dir, slices, small_batches, word_table
+from ._text import SPACED, U64, buffers, drop_folder, mix, shared_dir, slices, small_batches, word_table
 
 K = 5
 TOKENS = 1_500_000
@@ -56,6 +56,26 @@ def unpack(blob, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
+def steps(a: np.ndarray) -> np.ndarray:
+    """Differences; `np.cumsum` undoes them."""
+    return np.diff(a, prepend=a.dtype.type(0))
+
+
+def steps_within(a: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Differences that begin anew with every run of `group`."""
+    out = steps(a)
+    heads = np.flatnonzero(steps(group)) if len(a) else []
+    out[heads] = a[heads]
+    out[:1] = a[:1]
+    return out
+
+
+def undo_within(x: np.ndarray, group: np.ndarray) -> np.ndarray:
+    heads = np.unique(np.concatenate([[0], np.flatnonzero(steps(group))])).astype(int)
+    total = np.cumsum(x)
+    return total - np.repeat(total[heads] - x[heads], np.diff(heads, append=len(x))) if len(x) else x
+
+
 def ratios(n: list[int]) -> np.ndarray:
     """Discount ratios by count, 0 to K, then 1 for all above; n[r] is the number of things seen r times, r up to K + 1."""
     d = np.ones(K + 2)
@@ -120,10 +140,15 @@ def _chunk_rows(tokens: int):
             docs = pa.concat_arrays([x[3] for x in held])
             vocab, local = np.unique(h, return_inverse=True)
             counts = np.bincount(local[np.repeat(teach, sizes)], minlength=len(vocab))
-            row = [task + made, pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pack(sizes.astype(np.int32)), pack(teach), pack(local.astype(np.int32)), pack(vocab), pack(counts)]
+            row = [task + made, pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pack(sizes.astype(np.int32)), pack(teach), pack(local.astype(np.int32))]
             row += [len(vocab), int(teach.sum()), int(counts.sum()) + int(teach.sum()), len(h) + len(docs)]
+            words = [pack(vocab), pack(counts)]
             held.clear()
-            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int64()) for x in row], names=_CHUNK)
+            kinds = [pa.int64(), row[1].type, *[pa.binary()] * 3, *[pa.int64()] * 4]
+            both = [x if isinstance(x, pa.Array) else pa.array([x], t) for x, t in zip(row, kinds, strict=True)]
+            both = [pa.concat_arrays([x, x if n == "chunk" else pa.nulls(1, x.type)]) for n, x in zip(_CHUNK, both, strict=False)]
+            both += [pa.array([None, x], pa.binary()) for x in words]
+            return pa.RecordBatch.from_arrays([*both, pa.array(["text", "words"])], names=_CHUNK)
 
         for b in batches:
             for i, j in slices(b.column(2)):
@@ -139,7 +164,8 @@ def _chunk_rows(tokens: int):
     return run
 
 
-_CHUNK = ["chunk", "docs", "sizes", "teach", "words", "vocab", "counts", "n_types", "n_docs", "n_teach", "n_tokens"]
+#: Of each chunk two rows are stored apart: its text, and its list of words, which only the replies need.
+_CHUNK = ["chunk", "docs", "sizes", "teach", "words", "n_types", "n_docs", "n_teach", "n_tokens", "vocab", "counts", "kind"]
 
 
 def _ask_words(parts: int):
@@ -153,7 +179,7 @@ def _ask_words(parts: int):
     return run
 
 
-def _number_words(parts: int):
+def _number_words():
     """Numbers and counts for a part's words, and, in a row without a chunk, its counts of counts."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -161,7 +187,7 @@ def _number_words(parts: int):
         hs, cs = [unpack(x, U64) for x in table.column("h")], [unpack(x, np.int64) for x in table.column("c")]
         words, at = np.unique(np.concatenate(hs), return_inverse=True)
         c = np.bincount(at, weights=np.concatenate(cs), minlength=len(words)).astype(np.int64)
-        ids = np.where(c > 0, np.arange(len(words)) * parts + part + 1, UNKNOWN)
+        ids = np.where(c > 0, np.arange(len(words)) + (part << 32) + 1, UNKNOWN)  # in the order of the hashes
         ends = np.cumsum([len(h) for h in hs])[:-1]
         rows = [(k, part, pack(ids[i]), pack(c[i]), None) for k, i in zip(table.column("chunk").to_pylist(), np.split(at, ends), strict=True)]
         n = np.bincount(np.minimum(c, K + 2), minlength=K + 3).tolist()
@@ -213,7 +239,8 @@ def _ask_bigrams(parts: int, split: int, n_docs: int, total: int, types: int, on
         for p, e in _by_part(part_of(ids[v], ids[w], counts[v], split, parts)):
             t = times[e]
             o = np.repeat(first[e] - (np.cumsum(t) - t), t) + np.arange(t.sum())
-            rows.append((p, key, *(pack(x) for x in (ids[v[e]], ids[w[e]], counts[v[e]], counts[w[e]], seen[e], t.astype(np.int32), place_doc[o].astype(np.int32), mult[o].astype(np.int32))), None))
+            first_word, second = ids[v[e]], ids[w[e]]
+            rows.append((p, key, *(pack(x) for x in (steps(first_word), steps_within(second, first_word), counts[v[e]], counts[w[e]], seen[e], t.astype(np.int32), place_doc[o].astype(np.int32), mult[o].astype(np.int32))), None))
         rows.append((int(salted(np.array([key]), np.zeros(1, np.int64), parts)[0]), key, *[None] * 8, pack(np.stack([x.astype(float) for x in facts]))))
         kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 8, pa.binary()]
         made = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -223,7 +250,7 @@ def _ask_bigrams(parts: int, split: int, n_docs: int, total: int, types: int, on
     return run
 
 
-_MERGED = ["part", "v", "w_at", "c", "cv", "cw", "n", "chunk", "entry", "times", "doc", "mult", "docs", "facts"]
+_MERGED = ["part", "v", "v_at", "c", "cv", "cw", "n", "chunk", "entry", "times", "doc", "mult", "docs", "facts"]
 
 
 def _merge(doc_kind):
@@ -233,20 +260,20 @@ def _merge(doc_kind):
         about = table.filter(pa.compute.is_valid(table.column("facts")))
         asked = table.filter(pa.compute.is_null(table.column("facts")))
         part = table.column("part")[0].as_py()
-        names = {n: pa.binary() for n in ("v", "w_at", "c", "cv", "cw")} | {"n": pa.list_(pa.int64()), "chunk": pa.list_(pa.int64())} | {n: pa.list_(pa.binary()) for n in ("entry", "times", "doc", "mult")}
+        names = {n: pa.binary() for n in ("v", "v_at", "c", "cv", "cw")} | {"n": pa.list_(pa.int64()), "chunk": pa.list_(pa.int64())} | {n: pa.list_(pa.binary()) for n in ("entry", "times", "doc", "mult")}
         rows = []
         if asked.num_rows:
             get = lambda n: [unpack(x, np.int64) for x in asked.column(n)]
-            vs = get("v")
+            vs = [np.cumsum(x) for x in get("v")]
             ends = np.cumsum([len(x) for x in vs])[:-1]
             v, v_at = np.unique(np.concatenate(vs), return_inverse=True)
-            w, w_at = np.unique(np.concatenate(get("w")), return_inverse=True)
+            w, w_at = np.unique(np.concatenate([undo_within(x, y) for x, y in zip(get("w"), vs, strict=True)]), return_inverse=True)
             key, first, at = np.unique(v_at * len(w) + w_at, return_index=True, return_inverse=True)
             c = np.bincount(at, weights=np.concatenate(get("n")), minlength=len(key)).astype(np.int64)
             cv, cw = np.concatenate(get("cv"))[first], np.concatenate(get("cw"))[first]
             n = np.bincount(np.minimum(c, K + 2), minlength=K + 3).tolist()[: K + 2]
             blobs = {x: asked.column(x).to_pylist() for x in ("times", "doc", "mult")}
-            rows.append([pack(v), pack((key // len(w)).astype(np.int32)), pack(c), pack(cv), pack(cw), n, asked.column("chunk").to_pylist(), [pack(x.astype(np.int32)) for x in np.split(at, ends)], blobs["times"], blobs["doc"], blobs["mult"]])
+            rows.append([pack(v), pack(steps((key // len(w)).astype(np.int32))), pack(c), pack(cv), pack(cw), n, asked.column("chunk").to_pylist(), [pack(steps(x.astype(np.int32))) for x in np.split(at, ends)], blobs["times"], blobs["doc"], blobs["mult"]])
         one = [pa.array([r[i] for r in rows], k) for i, k in enumerate(names.values())]
         mine = pa.table([pa.array([part] * len(rows), pa.int64()), *one, pa.nulls(len(rows), doc_kind), pa.nulls(len(rows), pa.binary())], names=_MERGED)
         k = about.num_rows
@@ -258,7 +285,7 @@ def _merge(doc_kind):
 
 def _sums(row: dict, d: np.ndarray, one: Unigrams):
     """(contexts, context of each bigram, counts, token counts of contexts, count taken away, lower mass seen) of a part."""
-    v, at, c = unpack(row["v"], np.int64), unpack(row["w_at"], np.int32), unpack(row["c"], np.int64)
+    v, at, c = unpack(row["v"], np.int64), np.cumsum(unpack(row["v_at"], np.int32)), unpack(row["c"], np.int64)
     cw, cv = unpack(row["cw"], np.int64), np.zeros(len(v), np.int64)
     cv[at] = unpack(row["cv"], np.int64)
     lost = np.bincount(at, weights=(1 - d[np.minimum(c, K + 1)]) * c, minlength=len(v))
@@ -298,7 +325,7 @@ def _score_parts(d: np.ndarray, one: Unigrams, split: int, sent):
                 logs = np.log10(p)
                 out = []
                 for entry, times, doc, mult in zip(row["entry"], row["times"], row["doc"], row["mult"], strict=True):
-                    x = np.repeat(logs[unpack(entry, np.int32)], unpack(times, np.int32)) * unpack(mult, np.int32)
+                    x = np.repeat(logs[np.cumsum(unpack(entry, np.int32))], unpack(times, np.int32)) * unpack(mult, np.int32)
                     docs, k = np.unique(unpack(doc, np.int32), return_inverse=True)
                     out.append((pack(docs), pack(np.bincount(k, weights=x))))
                 yield pa.RecordBatch.from_arrays([pa.array(row["chunk"], pa.int64()), pa.array([row["part"]] * len(out), pa.int64()), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["chunk", "part", "doc", "sum"])
@@ -323,15 +350,19 @@ def score(docs: DataFrame, teach: Column, *, doc_id="doc_id", text="text", token
     schema = lambda names, own: T.StructType([T.StructField(n, own.get(n, blob)) for n in names])
 
     numbers = {n: long for n in ("chunk", "n_types", "n_docs", "n_teach", "n_tokens")}
-    picked.mapInArrow(_chunk_rows(tokens), schema(_CHUNK, numbers | {"docs": doc_list})).write.parquet(f"{root}/chunks")
-    chunks = spark.read.parquet(f"{root}/chunks")
+    rows = schema(_CHUNK, numbers | {"docs": doc_list, "kind": T.StringType()})
+    picked.mapInArrow(_chunk_rows(tokens), rows).write.partitionBy("kind").parquet(f"{root}/chunks")
+    of_kind = lambda kind: spark.read.schema(rows).parquet(f"{root}/chunks").where(F.col("kind") == kind)
+    chunks = of_kind("text")
     asked, n_docs, total, n_tokens = (x or 0 for x in chunks.agg(F.sum("n_types"), F.sum("n_docs"), F.sum("n_teach"), F.sum("n_tokens")).first())
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     word_parts, parts = max(least, -(-asked // entries)), max(least, -(-n_tokens // entries))
 
-    requests = chunks.select("chunk", "vocab", "counts").mapInArrow(_ask_words(word_parts), "part long, chunk long, h binary, c binary")
-    requests.groupBy("part").applyInArrow(_number_words(word_parts), "chunk long, part long, ids binary, c binary, n array<long>").write.parquet(f"{root}/replies")
+    requests = of_kind("words").select("chunk", "vocab", "counts").mapInArrow(_ask_words(word_parts), "part long, chunk long, h binary, c binary")
+    requests.groupBy("part").applyInArrow(_number_words(), "chunk long, part long, ids binary, c binary, n array<long>").write.parquet(f"{root}/replies")
     replies = spark.read.parquet(f"{root}/replies")
+    drop_folder(spark, f"{root}/chunks/kind=words")
+    chunks = of_kind("text")
     counted = replies.where("chunk is null").select(*[F.sum(F.col("n")[r]) for r in range(K + 3)]).first()
     n1 = [x or 0 for x in counted]
     types = n1.pop() + (n_docs > 0)
@@ -345,10 +376,12 @@ def score(docs: DataFrame, teach: Column, *, doc_id="doc_id", text="text", token
     merged_kinds = {"part": long, "n": T.ArrayType(long), "chunk": T.ArrayType(long), "docs": doc_list} | {n: T.ArrayType(blob) for n in ("entry", "times", "doc", "mult")}
     asked_pairs.groupBy("part").applyInArrow(_merge(arrow_list), schema(_MERGED, merged_kinds)).write.parquet(f"{root}/bigrams")
     bigrams = spark.read.parquet(f"{root}/bigrams")
+    for done in ("chunks", "replies"):  # nothing below reads them
+        drop_folder(spark, f"{root}/{done}")
     n2 = [x or 0 for x in bigrams.select(*[F.sum(F.col("n")[r]) for r in range(K + 2)]).first()]
     d = ratios(n2)
 
-    pieces = bigrams.where("v is not null").select("v", "w_at", "c", "cv", "cw")
+    pieces = bigrams.where("v is not null").select("v", "v_at", "c", "cv", "cw")
     pieces.mapInArrow(_hot(d, one, split), "v long, cv long, lost double, low double").groupBy("v", "cv").agg(F.sum("lost").alias("lost"), F.sum("low").alias("low")).write.parquet(f"{root}/split")
     hot = spark.read.parquet(f"{root}/split")
     rows, sent = bigrams.drop("docs", "facts"), None
