@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +101,32 @@ def case_fold(events: DataFrame, keys: list[str], order: list[str], level: str,
     return out.select(*keys, F.element_at(F.array(*[F.lit(x) for x in LEVELS]), F.col("_s.level") + 1).alias("level"), "_s.state", "_s.notified", "_s.reopened")
 
 
+@dataclass
+class Case:
+    """The rules of case_fold, one event at a time: what streams carry from batch to batch."""
+
+    level: int = -1
+    state: str = "none"
+    notified: int = 0
+    reopened: int = 0
+
+    def event(self, level: str | None, resolved: bool) -> None:
+        rank = LEVELS.index(level) if level in LEVELS else -1
+        if resolved and self.level >= 0:
+            self.state = "resolved"
+        elif rank > self.level:
+            alarms, new = rank > 0, self.level < 0
+            self.reopened += self.state == "resolved"
+            self.notified += alarms
+            self.level, self.state = rank, "active" if alarms or not new else "pass"
+        elif rank == 0 and self.level == 1 and self.state != "resolved":
+            self.level, self.state = 0, "auto_cleared"
+
+    @property
+    def name(self) -> str | None:
+        return LEVELS[self.level] if self.level >= 0 else None
+
+
 def notification(state: Column, notified: Column, shown: Column) -> Column:
     """show, cancel or none."""
     return F.when((state == "active") & (notified > 0), "show").when(shown & (state != "active"), "cancel").otherwise("none")

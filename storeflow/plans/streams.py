@@ -137,7 +137,8 @@ def p20_problem_rows(spark, d):
 def s18_case_store(spark, d):
     """Alarms and resolutions streamed into the three tables of a case store; the newest row of each case."""
     f = _folder(spark)
-    twins.pour(levels(event_stream(spark, d).drop("at")), twins.case_store(f"{f}/store", ["person_id"], ["ms", "event_id"], "level", "resolution"), f"{f}/state")
+    cases = twins.case_stream(levels(event_stream(spark, d).drop("at")), "person_id", "ms", "event_id", "level", "resolution")
+    twins.pour(cases, twins.case_store(f"{f}/store", ["person_id"], ["ms", "event_id"], "level", "resolution"), f"{f}/state")
     return twins.latest_cases(spark, f"{f}/store", ["person_id"]).select("person_id", "level", "state", "notified", "reopened")
 
 

@@ -93,6 +93,39 @@ class Machine(Waiting):
         return made, min([w for w in (deadline(), ends) if w is not None], default=None)
 
 
+class Folded(StatefulProcessor):
+    """A machine that takes rows as they come, in order within a batch, and adds to each what it says of it; no timers."""
+
+    def __init__(self, kind, step, names: list[str]):
+        self.kind, self.step, self.names = kind, step, names
+
+    def init(self, handle) -> None:
+        self.machine = handle.getValueState("machine", T.StructType([T.StructField("saved", T.StringType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        machine = self.kind(**(json.loads(self.machine.get()[0]) if self.machine.exists() else {}))
+        pdf = pd.concat(list(rows), ignore_index=True)
+        made = [(*key, t, i, row, *self.step(machine, json.loads(row))) for t, i, row in sorted(zip(pdf["t"].tolist(), pdf["i"].tolist(), pdf["row"].tolist(), strict=True))]
+        self.machine.update((json.dumps(vars(machine)),))
+        yield pd.DataFrame(made, columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_machine(stream: DataFrame, key: str, time: str, tie: str, rest: list[str], kind, step, out: str) -> DataFrame:
+    """Rows of a stream with what step(machine, row) says of each; a key's machine is a dataclass of plain values."""
+    use_rocksdb(stream.sparkSession)
+    whole = f"t long, i long, row string, {out}"
+    source = stream.select(key, F.col(time).cast("bigint").alias("t"), F.col(tie).cast("bigint").alias("i"), F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("row"))
+    schema = T.StructType([stream.schema[key], *T._parse_datatype_string(whole).fields])
+    got = source.groupBy(key).transformWithStateInPandas(Folded(kind, step, _names(key, whole)), schema, "Append", "None")
+    fields = T.StructType([stream.schema[c] for c in rest])
+    said = [f.split()[0] for f in out.split(", ")]
+    order = [F.col("t").alias(time)] + ([F.col("i").alias(tie)] if tie != time else [])
+    return got.select(key, *order, F.from_json("row", fields).alias("r"), *said).select(key, time, *([tie] if tie != time else []), "r.*", *said)
+
+
 def _text(stream: DataFrame, key: str, time: str, tie: str, columns: list[str], late: int) -> DataFrame:
     row = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
     return stream.select(key, F.col(time).cast("bigint").alias("t"), F.col(tie).cast("bigint").alias("i"), row.alias("row"), F.timestamp_millis(time).alias("at")).withWatermark("at", f"{late} milliseconds")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ledger import case_fold
+from ..operators.ledger import Case
 from ..operators.machines import LANE_EVENTS, Hysteresis, LaneCounter, lane_samples
 
 
@@ -121,21 +121,40 @@ def latest_of(spark, path: str, keys: list[str], version: str) -> DataFrame:
     return latest(spark.read.parquet(path).drop("batch"), keys, [version, "_batch"]).drop("_batch")
 
 
+def case_stream(stream: DataFrame, key: str, time: str, tie: str, level: str, resolution: str) -> DataFrame:
+    """Every row with its case as it stands after it (case_level, case_state, notified, reopened; null before a case begins).
+
+    A case's last state is kept by the stream, so a batch reads its own rows only, however long the history is. Rows of one
+    batch are taken in order of time and tie; batches in the order in which they come.
+    """
+    from .timers import keyed_machine
+
+    rest = [c for c in stream.columns if c not in (key, time, tie)]
+
+    def step(case: Case, row: dict) -> tuple:
+        case.event(row[level], row[resolution] is not None)
+        return case.name, case.state if case.level >= 0 else None, case.notified, case.reopened
+
+    return keyed_machine(stream, key, time, tie, rest, Case, step, "case_level string, case_state string, notified int, reopened int")
+
+
 def case_store(path: str, keys: list[str], order: list[str], level: str, resolution: str):
-    """foreachBatch writer of three tables: events, resolutions, and the folded row of every case that the batch touches.
+    """foreachBatch writer of a case_stream into three tables: events, resolutions, and the row of every case that the batch touches.
 
-    A folder a batch, replaced if the batch runs again. Cases are folded from the stored history of the touched keys, as
-    `case_fold` does, so `latest_cases` gives what a fold over everything would.
+    A folder a batch, replaced if the batch runs again. Nothing that is stored is read.
     """
+    case = ["case_level", "case_state", "notified", "reopened"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark, at = batch.sparkSession, f"batch={batch_id:010d}"
-        batch = batch.where(F.col(level).isNotNull() | F.col(resolution).isNotNull())
-        batch.where(F.col(resolution).isNull()).write.mode("overwrite").parquet(f"{path}/events/{at}")
-        batch.where(F.col(resolution).isNotNull()).write.mode("overwrite").parquet(f"{path}/resolutions/{at}")
-        every = spark.read.schema(batch.schema).parquet(f"{path}/events").unionByName(spark.read.schema(batch.schema).parquet(f"{path}/resolutions")).select(*batch.columns)
-        touched = every.join(batch.select(*keys).distinct(), keys, "left_semi")
-        case_fold(touched, keys, order, level, resolution).withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/cases/{at}")
+        at = f"batch={batch_id:010d}"
+        batch = batch.where(F.col(level).isNotNull() | F.col(resolution).isNotNull()).persist()
+        try:
+            batch.where(F.col(resolution).isNull()).drop(*case).write.mode("overwrite").parquet(f"{path}/events/{at}")
+            batch.where(F.col(resolution).isNotNull()).drop(*case).write.mode("overwrite").parquet(f"{path}/resolutions/{at}")
+            last = batch.groupBy(*keys).agg(F.max_by(F.struct(*case), F.struct(*order)).alias("_c")).select(*keys, "_c.*")
+            last.where("case_level is not null").withColumnsRenamed({"case_level": "level", "case_state": "state"}).withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/cases/{at}")
+        finally:
+            batch.unpersist()
 
     return write
 

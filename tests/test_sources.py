@@ -81,10 +81,25 @@ def test_case_store_keeps_history_over_batches(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
     write = twins.case_store(f"{tmp_path}/store", ["case"], ["at"], "level", "resolution")
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    twins.pour(src, write, f"{tmp_path}/ck")
-    write(spark.createDataFrame(batches[2], schema), 2)  # a batch that runs again replaces itself
+    twins.pour(twins.case_stream(src, "case", "at", "at", "level", "resolution"), write, f"{tmp_path}/ck")
+    again = [(1, 3, "HIGH_RISK", None, "HIGH_RISK", "active", 2, 1), (9, 3, None, None, None, None, 0, 0)]
+    write(spark.createDataFrame(again, schema + ", case_level string, case_state string, notified int, reopened int"), 2)  # a batch that runs again replaces itself
     got = {r.case: (r.level, r.state, r.reopened) for r in twins.latest_cases(spark, f"{tmp_path}/store", ["case"]).collect()}
     assert got == {1: ("HIGH_RISK", "active", 1), 2: ("HIGH_RISK", "active", 0)}
     count = lambda n: spark.read.schema(schema).parquet(f"{tmp_path}/store/{n}").count()
     assert (count("events"), count("resolutions")) == (4, 1)
     assert spark.read.parquet(f"{tmp_path}/store/cases").where(F.col("case") == 1).count() == 3
+
+
+def test_cases_one_event_at_a_time(spark):
+    import random
+
+    from storeflow.operators.ledger import LEVELS, Case, case_fold
+
+    rng = random.Random(6)
+    rows = [(rng.randrange(40), t, rng.choice([*LEVELS, None]), "ok" if rng.random() < 0.2 else None) for t in range(900)]
+    cases = {}
+    for case, _, level, resolution in rows:
+        cases.setdefault(case, Case()).event(level, resolution is not None)
+    got = case_fold(spark.createDataFrame(rows, "case long, at long, level string, resolution string"), ["case"], ["at"], "level", "resolution").collect()
+    assert {r.case: (r.level, r.state, r.notified, r.reopened) for r in got} == {k: (c.name, c.state, c.notified, c.reopened) for k, c in cases.items() if c.level >= 0}
