@@ -9,9 +9,9 @@ The template writes a turn as
     ### role:
     content</turn>
 
-Inside roles and contents a backslash doubles, `#` becomes `\\#` and `</` becomes `<\\/`, so neither marker nor a
-placeholder can be forged: the reader undoes this exactly. In a role a line end becomes `\\n`. `<|` of a text becomes
-`<\\|`. The loss mask covers the contents of the chosen roles, without markers.
+Inside roles and contents a backslash doubles, `#` becomes `\\#` and every `<` becomes `\\l`, so neither marker nor a
+placeholder can be forged, not even by parts that follow each other: the reader undoes this exactly. In a role a line
+end becomes `\\n`. The loss mask covers the contents of the chosen roles, without markers.
 
 Each turn is formatted where it is; conversations are assembled by a sort within partitions and streamed turn by turn,
 so a conversation of any length needs one turn of memory.
@@ -34,7 +34,8 @@ from pyspark.sql import types as T
 EXPANDS = {"image": 256, "audio": 375, "document": 1024}
 PARTS = "array<struct<kind:string,text:string,ref:string,tokens:bigint>>"
 
-_ESCAPE = [("\\", "\\\\"), ("#", "\\#"), ("</", "<\\/"), ("<|", "<\\|")]
+_ESCAPE = [("\\", "\\\\"), ("#", "\\#"), ("<", "\\l")]
+_NAMED = {"n": "\n", "l": "<"}
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"### ([^\n]*):\n(.*?)</turn>\n", re.S)
 _SLOT = re.compile(r"<\|([^|]*):(\d+)\|>")
@@ -47,7 +48,7 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPE.sub(lambda m: "\n" if m[1] == "n" else m[1], text)
+    return _UNESCAPE.sub(lambda m: _NAMED.get(m[1], m[1]), text)
 
 
 class Visitor:

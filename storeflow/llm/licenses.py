@@ -7,9 +7,11 @@ Base labels come from places where a phrase's words stand one after another. The
    many more as it takes for every stretch with the likeness `least` to match three of them (of L places, n of which
    must match, L - n + 3). Each occurrence of such a word, with each of its postings (template, position), votes for an
    alignment: place minus position.
-3. Alignments with enough votes are compared word by word; the share of the template's words that stand at their
-   places is its likeness. A template is found when the likeness reaches `least` and one of its key phrases stands
-   inside the aligned stretch and the file.
+3. Votes are added up over neighbouring alignments, as words that were put in or left out move what follows: over
+   `slack` of them, a twelfth of the template's words. Where they are enough, template and text are aligned in order, word by
+   word, inside a band of `slack` alignments to either side; the share of the template's words that find
+   themselves is its likeness. A template is found when the likeness reaches `least` and one of its key phrases
+   stands inside the aligned stretch and the file.
 
 The vocabulary and its counts are as long as the templates, whatever the corpus. Documents are read twice and never
 shuffled; there is no cap on places or alignments.
@@ -157,6 +159,7 @@ class Index:
         posted, first = np.unique(post_word, return_index=True)  # words without a posting are never looked up
         self.vocabulary, self.post_at = self.vocabulary[posted], np.append(first, len(post_word))
         self.longest = max(map(len, self.words))
+        self.slack = [len(w) // 12 for w in self.words]
 
 
 def places(h: np.ndarray, doc: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -168,6 +171,20 @@ def places(h: np.ndarray, doc: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     return at[doc[at] == doc[at + m - 1]] if m > 1 else at
 
 
+def in_order(h: np.ndarray, doc: np.ndarray, words: np.ndarray, start: np.ndarray, who: np.ndarray, width: int) -> np.ndarray:
+    """For each stretch how many of `words` can be found in order, the i-th among the places start + i to start + i + width."""
+    best = np.zeros((len(start), width + 1), np.int32)
+    span = np.arange(width + 1)
+    for i, w in enumerate(words):
+        p = start[:, None] + i + span
+        inside = (p >= 0) & (p < len(h))
+        q = np.where(inside, p, 0)
+        here = best + (inside & (h[q] == w) & (doc[q] == who[:, None]))
+        here[:, :-1] = np.maximum(here[:, :-1], best[:, 1:])  # this word is missing
+        best = np.maximum.accumulate(here, axis=1)  # a place of the text is passed over
+    return best[:, -1] if len(start) else np.zeros(0, np.int32)
+
+
 def alignments(h: np.ndarray, doc: np.ndarray, begin: np.ndarray, ix: Index, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, template, likeness) of the templates found; begin holds each document's first word."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -180,20 +197,18 @@ def alignments(h: np.ndarray, doc: np.ndarray, begin: np.ndarray, ix: Index, lea
     count = ix.post_at[v + 1] - ix.post_at[v]
     post = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(ix.post_at[v], count)
     shift = np.repeat(at, count) - ix.post_place[post] + ix.longest
-    vote, votes = np.unique(np.stack([ix.post_template[post], shift, np.repeat(d, count)]), axis=1, return_counts=True)
+    wide = 2 * ix.longest + len(h) + 2 * max(ix.slack) + 2
+    vote, votes = np.unique((np.repeat(d, count) * len(ix.words) + ix.post_template[post]) * wide + shift, return_counts=True)
+    pair, shift = vote // wide, vote % wide - ix.longest
+    template, total = pair % len(ix.words), np.concatenate([[0], np.cumsum(votes)])
+    near = total[np.searchsorted(vote, vote + np.array(ix.slack)[template], side="right")] - total[np.searchsorted(vote, vote)]
     found_d, found_t, found_s = [], [], []
     for t, words in enumerate(ix.words):
-        mine = (vote[0] == t) & (votes >= ix.votes[t])
-        start, who = vote[1][mine] - ix.longest, vote[2][mine]
+        slack, reach = ix.slack[t], len(words) + 2 * ix.slack[t]
+        mine = (template == t) & (near >= ix.votes[t])
+        start, who = shift[mine] - slack, pair[mine] // len(ix.words)
         if not len(start):
             continue
-        same = np.zeros(len(start), np.int64)
-        for k, w in enumerate(words):
-            p = start + k
-            inside = (p >= 0) & (p < len(h))
-            q = np.where(inside, p, 0)
-            same += inside & (h[q] == w) & (doc[q] == who)
-        like = same / len(words)
         keyed = np.zeros(len(start), bool)
         for key in ix.keys[t]:
             spots = places(h, doc, key)
@@ -201,8 +216,10 @@ def alignments(h: np.ndarray, doc: np.ndarray, begin: np.ndarray, ix: Index, lea
                 continue
             nearest = np.searchsorted(spots, np.maximum(start, begin[who]))  # a stretch may reach past its document's ends
             where = spots[np.minimum(nearest, len(spots) - 1)]
-            keyed |= (nearest < len(spots)) & (where + len(key) <= start + len(words)) & (doc[where] == who)
-        good = keyed & (like >= least)
+            keyed |= (nearest < len(spots)) & (where + len(key) <= start + reach) & (doc[where] == who)
+        start, who = start[keyed], who[keyed]
+        like = in_order(h, doc, words, start, who, 2 * slack) / len(words)
+        good = like >= least
         found_d.append(who[good])
         found_t.append(np.full(good.sum(), t))
         found_s.append(like[good])

@@ -15,7 +15,7 @@ def op3_chat(spark, sf_dir):
 
 QUERIES = {"op3_chat": op3_chat}
 
-_ESC = r"replace(replace(replace(replace({x}, '\', '\\'), '#', '\#'), '</', '<\/'), '<|', '<\|')"
+_ESC = r"replace(replace(replace({x}, '\', '\\'), '#', '\#'), '<', '\l')"
 
 _SEGMENT = f"'### ' || replace({_ESC.format(x='role')}, chr(10), '\\n') || ':' || chr(10) || {_ESC.format(x='text')} || '</turn>' || chr(10)"
 
