@@ -157,6 +157,21 @@ def floor_point(b: Column, ankles: Column, h: list[float], w_least: float = 0.0)
     return let(foot_pixel(b, ankles), lambda p: apply_homography(h, p["x"], p["y"], w_least))
 
 
+def floor_direction(b: Column, ankles: Column, h: list[float], step: float, w_least: float = 0.0) -> Column:
+    """Unit direction on the floor of what lies `step` below the box's foot, where no ankle shows; null where one does, or beyond the horizon."""
+
+    def aim(p: Column, q: Column) -> Column:
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        n = F.sqrt(dx * dx + dy * dy)
+        return F.when(n > 1e-9, F.struct((dx / n).alias("x"), (dy / n).alias("y")))
+
+    def from_foot(foot: Column) -> Column:
+        shown = ~((foot["x"] == (b["x1"] + b["x2"]) / 2) & (foot["y"] == b["y2"]))
+        return let(F.struct(apply_homography(h, foot["x"], foot["y"], w_least).alias("p"), apply_homography(h, foot["x"], foot["y"] + step, w_least).alias("q")), lambda f: F.when(~shown & f["p"].isNotNull() & f["q"].isNotNull(), aim(f["p"], f["q"])))
+
+    return let(foot_pixel(b, ankles), from_foot)
+
+
 def confident(keypoints: Column, least: float = 0.5) -> Column:
     """Keypoints with enough confidence that are not at the origin."""
     return F.filter(keypoints, lambda k: (k["conf"] >= least) & ~((k["x"] == 0) & (k["y"] == 0)))

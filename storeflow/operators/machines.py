@@ -154,7 +154,7 @@ class LaneCounter:
         while len(self.last) > self.median:
             self.last.popleft()
         if len(self.last) >= min(3, self.median):
-            out += self._judged(at, float(np.median(self.last)))
+            out += self._judged(at, float(median(self.last)))
         return out
 
     def _invalid(self, at: int, kind: str) -> list[dict]:

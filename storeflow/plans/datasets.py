@@ -164,21 +164,22 @@ def k3_top_by_rank(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("best"))
 
 
-@query("""WITH old AS (SELECT doc_id, source, 'old' AS origin FROM documents WHERE doc_id % 2 = 0), nw AS (SELECT doc_id, source, 'new' AS origin FROM documents WHERE doc_id % 3 = 0)
-SELECT * FROM old WHERE doc_id NOT IN (SELECT doc_id FROM nw) AND doc_id % 7 <> 0 UNION ALL SELECT * FROM nw WHERE doc_id % 7 <> 0""")
+@query("""WITH kept AS (SELECT * FROM documents WHERE source IS NULL OR source NOT LIKE '%3'), nw AS (SELECT doc_id, source, 'new' AS origin FROM kept WHERE lang = 'en')
+SELECT doc_id, source, 'old' AS origin FROM kept WHERE doc_id NOT IN (SELECT doc_id FROM nw) UNION ALL SELECT * FROM nw""")
 def u4_merge_with_exclusions(spark, d):
-    """New rows replace old ones of their key, excluded keys go."""
-    docs = table(spark, d, "documents").select("doc_id", "source").where("doc_id % 7 <> 0")
-    old, new = docs.where("doc_id % 2 = 0").withColumn("origin", F.lit("old")), docs.where("doc_id % 3 = 0").withColumn("origin", F.lit("new"))
+    """All documents, of which those in English come anew and replace the old ones; excluded sources go."""
+    docs = table(spark, d, "documents").where("source is null or source not like '%3'")
+    old, new = docs.select("doc_id", "source", F.lit("old").alias("origin")), docs.where("lang = 'en'").select("doc_id", "source", F.lit("new").alias("origin"))
     return ds.replace_keys(old, new, ["doc_id"])
 
 
-@query("""WITH old AS (SELECT o_custkey AS k, o_orderkey AS id, 'old' AS src, o_orderstatus = 'P' AS edited FROM orders WHERE o_orderkey % 2 = 0), dr AS (SELECT o_custkey AS k, o_orderkey AS id, 'draft' AS src, false AS edited FROM orders WHERE o_orderkey % 5 = 1),
+@query("""WITH old AS (SELECT o_custkey AS k, o_orderkey AS id, 'old' AS src, o_orderstatus = 'P' AS edited FROM orders), dr AS (SELECT o_custkey AS k, o_orderkey AS id, 'draft' AS src, false AS edited FROM orders WHERE o_orderpriority = '1-URGENT'),
 ok AS (SELECT * FROM dr WHERE k NOT IN (SELECT k FROM old WHERE edited)) SELECT k, id, src FROM old WHERE k NOT IN (SELECT k FROM ok) UNION ALL SELECT k, id, src FROM ok""")
 def u5_protected_merge(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "P").alias("edited"))
-    old = o.where("id % 2 = 0").withColumn("src", F.lit("old"))
-    return ds.protected_merge(old, o.where("id % 5 = 1").withColumn("src", F.lit("draft")).withColumn("edited", F.lit(False)), "k", F.col("edited")).select("k", "id", "src")
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "P").alias("edited"), "o_orderpriority")
+    old = o.drop("o_orderpriority").withColumn("src", F.lit("old"))
+    draft = o.where("o_orderpriority = '1-URGENT'").drop("o_orderpriority").withColumn("src", F.lit("draft")).withColumn("edited", F.lit(False))
+    return ds.protected_merge(old, draft, "k", F.col("edited")).select("k", "id", "src")
 
 
 @query("""SELECT (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'))) AS missing_keys, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS rows, false AS allowed""")

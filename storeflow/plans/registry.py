@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["windows", "joins", "geometry", "scoring", "state", "datasets", "matching", "streams", "reports", "shelf", "exits", "chains", "sync"]
+MODULES: list[str] = ["windows", "joins", "geometry", "scoring", "state", "datasets", "matching", "streams", "reports", "shelf", "exits", "chains", "sync", "evaluate"]
 
 
 def _modules():

@@ -164,6 +164,6 @@ def x6_name_parts(spark, d):
 
 @query(f"""WITH {OBS_SQL}, o AS (SELECT person_id % 10 AS pair, person_id % 10 * 1500 AS off WHERE false UNION ALL SELECT g, g * 1500 FROM range(9) t(g)) SELECT event_id, ms - off AS at_ms FROM ev JOIN o ON o.pair = person_id % 10""".replace("SELECT person_id % 10 AS pair, person_id % 10 * 1500 AS off WHERE false UNION ALL SELECT g, g * 1500 FROM", "SELECT g AS pair, g * 1500 AS off FROM"))
 def x10_axis_migration(spark, d):
-    """Times moved to another clock by each pair's offset; rows of a pair without one are set aside."""
+    """Times moved to another clock by each pair's offset; rows of a pair without one are left out."""
     off = spark.range(9).select(F.col("id").alias("pair"), (F.col("id") * 1500).alias("off"))
     return observations(spark, d).withColumn("pair", F.col("person_id") % 10).join(F.broadcast(off), "pair").select("event_id", (F.col("ms") - F.col("off")).alias("at_ms"))  # nine rows
