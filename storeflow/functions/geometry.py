@@ -63,6 +63,18 @@ def inside(sides: Column, x: Column, y: Column) -> Column:
     return F.aggregate(sides, F.lit(False), lambda odd, e: F.when(crossing(e), ~odd).otherwise(odd))
 
 
+def literal_sides(corners: list[tuple[float, float]]) -> list[tuple[tuple[float, float], tuple[float, float]]]:
+    return [((float(a[0]), float(a[1])), (float(b[0]), float(b[1]))) for a, b in zip(corners, [*corners[1:], corners[0]], strict=True)]
+
+
+def inside_literal(corners: list[tuple[float, float]], x: Column, y: Column) -> Column:
+    """contains_point for a polygon that is known beforehand: a bounding box first, then one plain expression a side."""
+    crossed = [((F.lit(p[1]) > y) != (F.lit(q[1]) > y)) & (x < (q[0] - p[0]) * (y - p[1]) / (q[1] - p[1]) + p[0]) for p, q in literal_sides(corners) if p[1] != q[1]]
+    odd = sum((c.cast("int") for c in crossed), F.lit(0)) % 2 == 1
+    xs, ys = zip(*corners, strict=True)
+    return x.between(float(min(xs)), float(max(xs))) & y.between(float(min(ys)), float(max(ys))) & odd
+
+
 def polygon_area(poly: Column) -> Column:
     return F.abs(F.aggregate(edges(poly), F.lit(0.0), lambda s, e: s + (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]))) / 2
 
@@ -90,11 +102,12 @@ def clip_to_box(poly: Column, b: Column) -> Column:
     return poly
 
 
-def overlap_area(poly: Column, b: Column) -> Column:
+def overlap_area(poly: Column | list, b: Column) -> Column:
     """Area that a simple polygon and an axis-parallel box share, as one sum over the polygon's sides.
 
     Under each side, between the box's left and right, lies the integral of the side's height kept between the box's
-    lower and upper edge; with signs these add up to the shared area.
+    lower and upper edge; with signs these add up to the shared area. A polygon given as a list of corners becomes one
+    plain expression a side.
     """
     lo, hi = b["y1"], b["y2"]
     keep = lambda v, a, z: F.least(F.greatest(v, a), z)
@@ -107,10 +120,13 @@ def overlap_area(poly: Column, b: Column) -> Column:
         mean = F.when(F.abs(y(v) - y(u)) < 1e-6, keep((y(u) + y(v)) / 2, lo, hi)).otherwise((grown(y(v)) - grown(y(u))) / (y(v) - y(u)))
         return F.when(u != v, (v - u) * mean).otherwise(F.lit(0.0))
 
+    if isinstance(poly, list):
+        at = lambda p: {"x": F.lit(p[0]), "y": F.lit(p[1])}
+        return F.abs(sum((under({"a": at(p), "b": at(q)}) for p, q in literal_sides(poly) if p[0] != q[0]), F.lit(0.0)))
     return F.abs(F.aggregate(edges(poly), F.lit(0.0), lambda s, e: s + under(e)))
 
 
-def overlap_ratio(poly: Column, b: Column) -> Column:
+def overlap_ratio(poly: Column | list, b: Column) -> Column:
     """Shared area over the box's area, 1 at most."""
     return F.when(area(b) > 0, F.least(overlap_area(poly, b) / area(b), F.lit(1.0))).otherwise(F.lit(0.0))
 

@@ -32,7 +32,8 @@ def carried_pairs(candidates: DataFrame, sure: DataFrame, keys: list[str], near:
     marks = sure.select(*keys, near, F.col(start).alias("_at"), "sure")
     w = Window.partitionBy(*keys, near).orderBy("_t", "_mark")
     both = marks.select(*keys, near, F.col("_at").alias("_t"), F.lit(0).alias("_mark"), F.struct("_at", "sure").alias("_m")).unionByName(rest.select(*keys, near, F.col(start).alias("_t"), F.lit(1).alias("_mark"), F.lit(None).cast(marks.select(F.struct("_at", "sure")).schema[0].dataType).alias("_m")))
-    before, after = F.last("_m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("_m", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    falling = Window.partitionBy(*keys, near).orderBy(F.desc("_t"), F.desc("_mark"))
+    before, after = (F.last("_m", ignorenulls=True).over(x.rowsBetween(Window.unboundedPreceding, 0)) for x in (w, falling))
     n = both.withColumn("_b", before).withColumn("_a", after).where("_mark = 1")
     pick = F.when(F.col("_a").isNull() | (F.col("_t") - F.col("_b._at") <= F.col("_a._at") - F.col("_t")), F.col("_b")).otherwise(F.col("_a"))
     found = n.withColumn("_p", pick).where("_p is not null").select(*keys, near, F.col("_t").alias(start), F.col("_p.sure").alias("sure"))

@@ -29,7 +29,8 @@ def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], time: str, tie: str, value: str, tolerance: int) -> DataFrame:
     """For each left row the right value nearest in time within the tolerance (ties: the earlier), without a join.
 
-    Both sides are unioned and the last and next right sample are carried over each row: one sort per key.
+    Both sides are unioned and the last and, in falling order, the next right sample are carried over each row: two sorts per
+    key, as a frame that ends at the last row would be gone through anew for every row.
     """
     point = F.struct(F.col(time).alias("t"), F.col(tie).alias("k"), F.col(value).alias("v"))
     none = F.lit(None)
@@ -38,7 +39,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], time: st
     w = Window.partitionBy(*keys).orderBy("_t", "_side", "_k")
     u = l.unionByName(r)
     u = u.withColumn("_a", F.last("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    u = u.withColumn("_z", F.first("_p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("_side = 1")
+    falling = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_side"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    u = u.withColumn("_z", F.last("_p", ignorenulls=True).over(falling)).where("_side = 1")
     da, dz = F.col("_t") - F.col("_a.t"), F.col("_z.t") - F.col("_t")
     pick = F.when(F.col("_z").isNull() | (da <= dz), F.col("_a")).otherwise(F.col("_z"))
     near = u.withColumn("_n", pick).withColumn("_d", F.abs(F.col("_n.t") - F.col("_t")))

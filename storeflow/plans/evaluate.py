@@ -81,14 +81,14 @@ def st17_restock_timeout(spark, d):
     return ev.restocking(o.where("zone not in ('signup', 'error')"), switch, ["person_id"], "ms", "event_id", "on", 15 * HOUR)
 
 
-@query("""WITH b AS (SELECT l_suppkey % 50 AS cam, l_orderkey AS frame, l_orderkey * 8 + l_linenumber AS id, l_returnflag AS cls, CAST(l_quantity AS DOUBLE) AS x1, CAST(l_discount AS DOUBLE) * 100 AS y1, CAST(l_quantity AS DOUBLE) + 6 AS x2, CAST(l_discount AS DOUBLE) * 100 + 4 + l_linenumber % 3 AS y2 FROM lineitem),
+@query("""WITH b AS (SELECT l_orderkey // 20 AS cam, l_orderkey AS frame, l_orderkey * 8 + l_linenumber AS id, l_returnflag AS cls, CAST(l_quantity AS DOUBLE) AS x1, CAST(l_discount AS DOUBLE) * 100 AS y1, CAST(l_quantity AS DOUBLE) + 6 AS x2, CAST(l_discount AS DOUBLE) * 100 + 4 + l_linenumber % 3 AS y2 FROM lineitem),
 h AS (SELECT a.id, count(DISTINCT o.frame) AS n FROM b a JOIN b o ON o.cam = a.cam AND o.cls = a.cls AND o.frame <> a.frame AND greatest(least(a.x2, o.x2) - greatest(a.x1, o.x1), 0) * greatest(least(a.y2, o.y2) - greatest(a.y1, o.y1), 0) > 0.3 * ((a.x2 - a.x1) * (a.y2 - a.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - greatest(least(a.x2, o.x2) - greatest(a.x1, o.x1), 0) * greatest(least(a.y2, o.y2) - greatest(a.y1, o.y1), 0)) GROUP BY 1),
 f AS (SELECT cam, count(DISTINCT frame) - 1 AS others FROM b GROUP BY 1)
 SELECT cam, b.id, round(CASE WHEN others > 0 THEN coalesce(n, 0) / others ELSE 0 END, 6) AS stability, CASE WHEN others > 0 THEN coalesce(n, 0) / others ELSE 0 END < 0.15 AS moved FROM b JOIN f USING (cam) LEFT JOIN h ON h.id = b.id""")
 def a17_moved_boxes(spark, d):
     """The share of a camera's other frames that show a box of the class in the same place, and which boxes moved."""
     x, y = F.col("l_quantity").cast("double"), F.col("l_discount").cast("double") * 100
-    b = table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("cam"), F.col("l_orderkey").alias("frame"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("cls"), x.alias("x1"), y.alias("y1"), (x + 6).alias("x2"), (y + 4 + F.col("l_linenumber") % 3).alias("y2"))
+    b = table(spark, d, "lineitem").select(F.expr("l_orderkey div 20").alias("cam"), F.col("l_orderkey").alias("frame"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("cls"), x.alias("x1"), y.alias("y1"), (x + 6).alias("x2"), (y + 4 + F.col("l_linenumber") % 3).alias("y2"))
     return ev.box_stability(b, ["cam"], "frame", "id", "cls", 6.0).withColumn("stability", F.round("stability", 6))
 
 
