@@ -297,7 +297,7 @@ def repair(rows: DataFrame, *, costs: Costs = Costs(), piece_rows=PIECE_ROWS, pi
         total = {c: sum(r[c] for r in rows) for c in COUNTS}
         seen = [t for r in rows for t in (r["first_turn"], r["last_turn"]) if t is not None]
         for a, b in zip(rows, rows[1:]):
-            total["illegal"] += LETTER_PAIR(a["last_role"], b["first_role"])
+            total["illegal"] += illegal_pair(a["last_role"], b["first_role"])
             total["turns"] -= a["last_turn"] is not None and a["last_turn"] == b["first_turn"]
         cost, audit = chain([ways(r["codes"], costs) for r in rows])
         state, at, out = NOTHING, 0, []
@@ -330,7 +330,7 @@ def repair(rows: DataFrame, *, costs: Costs = Costs(), piece_rows=PIECE_ROWS, pi
     return conversations, repaired
 
 
-def LETTER_PAIR(a: str, b: str) -> int:
+def illegal_pair(a: str, b: str) -> int:
     return int(a[:1] + b[:1] not in LEGAL)
 
 
