@@ -151,13 +151,13 @@ def st11_slot_changes(spark, d):
 
     w = Window.partitionBy("person_id").orderBy("ms", "event_id")
     o = observations(spark, d).withColumn("blocked", F.col("value") < 30)
-    r = islands(o, ["person_id"], ["ms", "event_id"], F.col("blocked") != F.lag("blocked").over(w), "run")
+    r = islands(o, ["person_id"], ["ms", "event_id"], ~F.col("blocked").eqNullSafe(F.lag("blocked").over(w)), "run")
     at = F.struct("ms", "event_id")
     r = r.groupBy("person_id", "run").agg(F.bool_and("blocked").alias("blocked"), F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"), F.min_by("value", at).alias("first_v"), F.max_by("value", at).alias("last_v"))
     k = Window.partitionBy("person_id").orderBy("run")
     n = r.withColumn("before", F.lag("last_v").over(k)).withColumn("after", F.lead("first_v").over(k)).where("blocked")
-    diff = F.col("after") - F.col("before")
-    kind = F.when(F.col("after").isNull(), "unfinished").when(F.col("before").isNull(), "no_reference").when(diff > 20, "INCREASED").when(diff < -20, "DECREASED").otherwise("CHANGED")
+    before, after = F.col("before"), F.col("after")  # a difference of doubles rounds elsewhere than the sum
+    kind = F.when(after.isNull(), "unfinished").when(before.isNull(), "no_reference").when(after > before + 20, "INCREASED").when(after < before - 20, "DECREASED").otherwise("CHANGED")
     return n.select("person_id", "start_ms", "end_ms", kind.alias("direction"))
 
 

@@ -6,7 +6,7 @@ import datetime as dt
 
 import duckdb
 
-from storeflow.plans import joins
+from storeflow.plans import joins, matching
 
 
 def event_table(spark, path, rows):
@@ -34,3 +34,10 @@ def same(df, sql_rows):
 def test_spans_are_streamed_past_one_bucket_of_events(spark):
     plan = joins.j18_event_spans(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_slot_changes_compare_sums_as_the_sql_does(spark, tmp_path):
+    rows = [(1, 0, 1, "view", 30.1), (2, 10, 1, "view", 5.0), (3, 20, 1, "view", 50.1), (4, 0, 2, "view", 32.3), (5, 10, 2, "view", 1.0), (6, 20, 2, "view", 52.3), (7, 0, 3, "view", 40.0), (8, 10, 3, "view", 3.0), (9, 20, 3, "view", None), (10, 30, 3, "view", 3.0), (11, 40, 3, "view", 90.0)]
+    rows += [(100 + 3 * i + k, t, 100 + i, "view", v) for i in range(60) for k, (t, v) in enumerate([(0, 30 + i / 10), (10, 2.0), (20, 50 + i / 10)])]
+    event_table(spark, tmp_path, rows)
+    same(matching.st11_slot_changes(spark, str(tmp_path)).select("person_id", "start_ms", "end_ms", "direction"), by_sql(tmp_path, matching.ORACLES["st11_slot_changes"], "events"))
