@@ -7,6 +7,7 @@ been seen faintly in the same place.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, deque
 from dataclasses import dataclass, field
 from typing import NamedTuple
@@ -57,30 +58,64 @@ def consensus(frames: list[Items], presence: float = 0.6, gate: float = 0.5, flo
     A box joins the cluster whose last member is nearest, closer than `gate` mean sizes, else begins one; boxes
     that score under `floor` are left out.
     """
-    last, size, members = np.zeros((0, 2)), np.zeros(0), []
+    last, members = [], []
     for f in frames:
-        for i in np.flatnonzero(f.score >= floor):
-            at, big = f.centre[i], f.size[i]
-            apart = np.hypot(*(last - at).T) / ((size + big) / 2)
-            k = int(apart.argmin()) if len(apart) and apart.min() < gate else len(members)
+        for label, box, score in zip(f.label, f.box.tolist(), f.score.tolist(), strict=True):
+            if not score >= floor:
+                continue
+            x, y, big = _place(box)
+            k, least = len(members), gate
+            for i, (u, v, size) in enumerate(last):
+                apart = abs(complex(u - x, v - y)) / ((size + big) / 2)
+                if apart != apart:  # not a place: of its own
+                    k = len(members)
+                    break
+                if apart < least:
+                    k, least = i, apart
             if k == len(members):
                 members.append([])
-                last, size = np.vstack([last, at]), np.append(size, big)
-            members[k].append((f.label[i], *f.box[i], f.score[i]))
-            last[k], size[k] = at, big
+                last.append(None)
+            members[k].append((label, *box, score))
+            last[k] = (x, y, big)
     agreed = [m for m in members if len(m) >= presence * len(frames)]
-    return Items.of((Counter(x[0] for x in m).most_common(1)[0][0], *np.median([x[1:5] for x in m], axis=0), np.mean([x[5] for x in m])) for m in agreed)
+    return Items.of((Counter(x[0] for x in m).most_common(1)[0][0], *(_median(c) for c in list(zip(*m, strict=True))[1:5]), _mean([x[5] for x in m])) for m in agreed)
+
+
+# A frame holds a few boxes, for which arrays cost more than they save; sums are added in the order of the array's.
+
+
+def _place(box: list) -> tuple[float, float, float]:
+    """Centre and size of a box."""
+    area = (box[2] - box[0]) * (box[3] - box[1])
+    size = math.sqrt(area) if area >= 0 else math.nan
+    return (box[0] + box[2]) / 2, (box[1] + box[3]) / 2, 1.0 if size < 1.0 else size
+
+
+def _mean(v: list) -> float:
+    if len(v) >= 8:
+        return float(np.mean(v))
+    total = v[0]
+    for x in v[1:]:
+        total += x
+    return total / len(v)
+
+
+def _median(v: list) -> float:
+    if any(x != x for x in v):
+        return math.nan
+    s, h = sorted(v), len(v) // 2
+    return s[h] if len(v) % 2 else (s[h - 1] + s[h]) / 2
 
 
 def places(items: Items, gap: float = 0.6) -> list[str]:
     """`row.place label` of each item: rows from the top, which end where an item lies `gap` mean sizes under the row's mean; places from the left."""
     rows: list[list[int]] = []
-    y, x, size = items.centre[:, 1], items.centre[:, 0], items.size
-    for i in np.argsort(y, kind="stable"):
-        if rows and y[i] - y[rows[-1]].mean() <= gap * np.append(size[rows[-1]], size[i]).mean():
-            rows[-1].append(int(i))
+    x, y, size = (list(c) for c in zip(*map(_place, items.box.tolist()), strict=True)) if items.label else ([], [], [])
+    for i in sorted(range(len(y)), key=lambda i: (y[i] != y[i], y[i])):
+        if rows and y[i] - _mean([y[k] for k in rows[-1]]) <= gap * _mean([*(size[k] for k in rows[-1]), size[i]]):
+            rows[-1].append(i)
         else:
-            rows.append([int(i)])
+            rows.append([i])
     names = [""] * len(y)
     for r, row in enumerate(rows, 1):
         for k, i in enumerate(sorted(row, key=lambda i: x[i]), 1):
@@ -88,16 +123,17 @@ def places(items: Items, gap: float = 0.6) -> list[str]:
     return names
 
 
-def covers(box: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """IoU of a box with each of others."""
-    shared = np.clip(np.minimum(box[2:], others[:, 2:]) - np.maximum(box[:2], others[:, :2]), 0, None).prod(1)
-    whole = (box[2:] - box[:2]).prod() + (others[:, 2:] - others[:, :2]).prod(1) - shared
-    return np.divide(shared, whole, out=np.zeros(len(others)), where=whole > 0)
-
-
 def weakly_present(box: np.ndarray, score: float, frames: list[Items], share: float = 0.3) -> bool:
     """Whether at least `share` of the frames show the item in its place, if only faintly."""
-    hits = sum(bool(((covers(box, f.box) >= SAME_PLACE) & (f.score >= SAME_SCORE * score)).any()) for f in frames)
+    x1, y1, x2, y2 = map(float, box)
+    own, least, hits = (x2 - x1) * (y2 - y1), SAME_SCORE * score, 0
+    for f in frames:
+        for (a1, b1, a2, b2), s in zip(f.box.tolist(), f.score.tolist(), strict=True):
+            shared = max(min(x2, a2) - max(x1, a1), 0.0) * max(min(y2, b2) - max(y1, b1), 0.0)
+            whole = own + (a2 - a1) * (b2 - b1) - shared
+            if whole > 0 and shared / whole >= SAME_PLACE and s >= least:
+                hits += 1
+                break
     return bool(frames) and hits >= share * len(frames)
 
 
@@ -176,7 +212,7 @@ def watch_shelves(frames: DataFrame, keys: list[str], time: str, tie: str, **par
     """Visits of each shelf, changed or not, from frames with `items` (array of label, x1, y1, x2, y2, score; null: not searched) and `blockers` (ids of who hides the shelf)."""
 
     def step(m: ShelfWatch, t: int, _, items, blockers):
-        rows = None if items is None else Items.of((i["label"], i["x1"], i["y1"], i["x2"], i["y2"], i["score"]) for i in items)
+        rows = None if items is None or blockers else Items.of((i["label"], i["x1"], i["y1"], i["x2"], i["y2"], i["score"]) for i in items)
         return m.frame(t, rows, blockers or [])
 
     return stepped(frames.select(*keys, time, tie, "items", "blockers"), keys, [time, tie], lambda: ShelfWatch(**params), step, lambda m: [], VISITS)
