@@ -83,15 +83,11 @@ def frame_choice(moments: DataFrame, frames: DataFrame, keys: list[str], offsets
 
 def score_takes(labels: DataFrame, episodes: DataFrame, keys: list[str], reach: int) -> DataFrame:
     """Each label's episode: one that holds it, else the nearest within reach, else the earlier; and whether its direction agrees."""
-    from .joins import range_join, top_one
+    from .sweeps import nearest_episode
 
-    la = labels.select(*keys, F.col("id").alias("label_id"), F.col("at").alias("ls"), F.col("at").alias("le"), F.col("direction").alias("want"))
+    la = labels.select(*keys, F.col("id").alias("label_id"), F.col("at").alias("ls"), F.col("direction").alias("want"))
     ep = episodes.select(*keys, F.col("id").alias("episode_id"), "s", "e", F.col("direction").alias("got"))
-    c = range_join(la, ep, keys, "ls", "le", "s", "e", max(reach, 1), slack=reach)
-    inside = F.col("ls").between(F.col("s"), F.col("e"))
-    gap = F.greatest(F.col("s") - F.col("ls"), F.col("ls") - F.col("e"), F.lit(0))
-    best = top_one(c, [*keys, "label_id"], [F.desc(inside), gap, F.col("s"), F.col("episode_id")]).select(*keys, "label_id", "episode_id", "got")
-    out = la.join(best, [*keys, "label_id"], "left")
+    out = nearest_episode(la, ep, keys, "label_id", "ls", "episode_id", "s", "e", "got", reach)
     return out.select(*keys, "label_id", "episode_id", F.when(F.col("episode_id").isNull(), "MISSED").when(F.col("got").isNull(), "UNKNOWN").when(F.col("got") == F.col("want"), "RIGHT").otherwise("WRONG").alias("outcome"))
 
 

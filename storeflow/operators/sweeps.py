@@ -102,3 +102,102 @@ def present(moments: DataFrame, points: DataFrame, keys: list[str], start: str,
     schema = T.StructType([*(moments.schema[c] for c in [*keys, *[c for c in moments.columns if c not in keys]]), T.StructField("people", T.ArrayType(T.LongType()))])
     p = points.select(*keys, at, who).dropna(subset=[at, who])
     return swept(moments, p, keys, F.col(start), F.col(at) - reach, F.col(at), 2 * reach, fn, schema)
+
+
+def nearest_holding(labels: DataFrame, boxes: DataFrame, keys: list[str], ident: str, time: str, level: str, at: str, value: str, box: str, owner: str, reach: int) -> DataFrame:
+    """(ident, owner): each label's nearest box in time, at most `reach` away, whose value is at least the label's; of equals the smaller value, then the smaller id.
+
+    Going one way through the boxes in time, a stack keeps those that no later one exceeds: values fall along it, so that a
+    label finds the last one that holds it by bisection.
+    """
+
+    def fn(la: pa.Table, b: pa.Table):
+        both = np.concatenate([_np(la, level), _np(b, value)])
+        order = np.unique(both, return_inverse=True)[1]  # NaN is the largest
+        want, has = order[: la.num_rows].tolist(), order[la.num_rows :].tolist()
+        t, bt, ids = _np(la, time).tolist(), _np(b, at).tolist(), _np(b, box).tolist()
+        best = [None] * len(t)
+        for way in (1, -1):
+            rows = sorted(range(len(bt)), key=lambda i: (way * bt[i], -has[i], -ids[i]))
+            stack, falling, k = [], [], 0  # falling: values with the sign turned, to bisect
+            for i in sorted(range(len(t)), key=lambda i: way * t[i]):
+                while k < len(rows) and way * bt[rows[k]] <= way * t[i]:
+                    j, k = rows[k], k + 1
+                    while stack and has[stack[-1]] <= has[j]:
+                        stack.pop()
+                        falling.pop()
+                    stack.append(j)
+                    falling.append(-has[j])
+                p = bisect_left(falling, 1 - want[i]) - 1
+                if p >= 0:
+                    j = stack[p]
+                    rank = (abs(bt[j] - t[i]), has[j], ids[j])
+                    if rank[0] <= reach and (best[i] is None or rank < best[i][0]):
+                        best[i] = (rank, j)
+        who = _np(b, owner).tolist()
+        yield [la[ident], [None if x is None else who[x[1]] for x in best]]
+
+    la, b = labels.select(*keys, ident, time, level), boxes.select(*keys, at, value, box, owner)
+    schema = T.StructType([la.schema[ident], b.schema[owner]])
+    t, v = F.col(time), F.col(at)
+    none = labels.where(t.isNull() | F.col(level).isNull()).select(ident, F.lit(None).cast(schema[owner].dataType).alias(owner))
+    found = swept(la.dropna(subset=[time, level]), b.dropna(subset=[at, value, box]), keys, t, v - reach, v + reach, 4 * reach, fn, schema)
+    return found.unionByName(none)
+
+
+def nearest_episode(labels: DataFrame, episodes: DataFrame, keys: list[str], label: str, time: str, episode: str, start: str, end: str, result: str, reach: int) -> DataFrame:
+    """(keys, label, time, other columns of labels, episode, result): the earliest episode that holds each label, else the nearest within `reach`; of equals the earlier, then the smaller id.
+
+    Open episodes wait in a heap by their start; closed ones leave the last end behind.
+    """
+    columns = [*keys, *[c for c in labels.columns if c not in keys]]
+
+    def fn(la: pa.Table, b: pa.Table):
+        times, s, e, ids = _np(la, time).tolist(), _np(b, start).tolist(), _np(b, end).tolist(), _np(b, episode).tolist()
+        rows = sorted(range(len(s)), key=lambda i: (s[i], ids[i]))
+        begun, ending, k, gone, found = [], [], 0, None, [None] * len(times)
+        known = [i for i, t in enumerate(times) if t == t]
+        for i in sorted(known, key=times.__getitem__):
+            t = times[i]
+            while k < len(rows) and s[rows[k]] <= t:
+                j, k = rows[k], k + 1
+                heapq.heappush(begun, (s[j], ids[j], j))
+                heapq.heappush(ending, (e[j], s[j], ids[j], j))
+            while ending and ending[0][0] < t:
+                x = heapq.heappop(ending)
+                if gone is None or x[0] > gone[0]:
+                    gone = x
+            while begun and e[begun[0][2]] < t:
+                heapq.heappop(begun)
+            if begun:
+                found[i] = begun[0][2]
+                continue
+            before = None if gone is None else t - gone[0]
+            after = s[rows[k]] - t if k < len(rows) else None
+            if before is not None and before <= reach and (after is None or before <= after):
+                found[i] = gone[3]
+            elif after is not None and after <= reach:
+                found[i] = rows[k]
+        at = pa.array(found, pa.int64())
+        yield [*(la[c] for c in columns), _whole(b[episode]).take(at), _whole(b[result]).take(at)]
+
+    la, b = labels.select(*columns), episodes.select(*keys, start, end, episode, result)
+    schema = T.StructType([*(la.schema[c] for c in columns), b.schema[episode], b.schema[result]])
+    return swept(la, b.where(F.col(start) <= F.col(end)), keys, F.col(time), F.col(start) - reach, F.col(end) + reach, 4 * max(reach, 1), fn, schema)
+
+
+def latest_visitor(payments: DataFrame, visits: DataFrame, keys: list[str], pay: str, time: str, visitor: str, start: str, reach: int) -> DataFrame:
+    """(pay, payer, candidates): the visit that began last, at most `reach` before each payment (of equals the smaller visitor), and how many did."""
+
+    def fn(p: pa.Table, v: pa.Table):
+        t, s, who = _np(p, time), _np(v, start), _np(v, visitor)
+        order = np.lexsort((-who, s))
+        s, who = s[order], who[order]
+        hi = np.searchsorted(s, t, "right")
+        n = hi - np.searchsorted(s, t - reach, "left")
+        at = pa.array(np.maximum(hi - 1, 0), pa.int64(), mask=n <= 0)
+        yield [p[pay], pa.array(who, pa.int64()).take(at), n.astype(np.int64)]
+
+    p, v = payments.select(*keys, pay, time), visits.select(*keys, start, visitor).dropna(subset=[start])
+    schema = T.StructType([p.schema[pay], T.StructField("payer", v.schema[visitor].dataType), T.StructField("candidates", T.LongType())])
+    return swept(p, v, keys, F.col(time), F.col(start), F.col(start) + reach, 2 * reach, fn, schema)
