@@ -7,7 +7,7 @@ from statistics import median
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grouped import grouped
+from .grouped import grouped, listed
 
 
 def match_slots(before: list[tuple], after: list[tuple], gate: float, penalty: float = 0.3) -> list[tuple]:
@@ -32,7 +32,7 @@ def slot_changes(slots: DataFrame, keys: list[str], gate: float = 0.8) -> DataFr
 
     def run(pdf):
         rows: dict[str, list[tuple]] = {"before": [], "after": []}
-        for side, *slot in zip(*(pdf[c].tolist() for c in ("side", "id", "x", "y", "size", "label")), strict=True):
+        for side, *slot in zip(*(pdf[c] for c in ("side", "id", "x", "y", "size", "label")), strict=True):
             rows[side].append(tuple(slot))
         pairs = match_slots(rows["before"], rows["after"], gate)
         a, b = {p[0] for p in pairs}, {p[1] for p in pairs}
@@ -40,7 +40,7 @@ def slot_changes(slots: DataFrame, keys: list[str], gate: float = 0.8) -> DataFr
         out += [("removed", r[0], None, None) for r in rows["before"] if r[0] not in a]
         return out + [("added", None, r[0], None) for r in rows["after"] if r[0] not in b]
 
-    return grouped(slots.select(*keys, "side", "id", "x", "y", "size", "label"), keys, run, "change string, before_id long, after_id long, cost double")
+    return listed(slots.select(*keys, "side", "id", "x", "y", "size", "label"), keys, run, "change string, before_id long, after_id long, cost double")
 
 
 def shelf_visits(frames: DataFrame, keys: list[str], time: str, tie: str, stable: int, window: int = 5) -> DataFrame:
