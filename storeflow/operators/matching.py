@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grouped import grouped
+from .grouped import grouped, listed
 
 
 def stretches(df: DataFrame, keys: list[str], start: str, end: str, slack: float, rows: int) -> DataFrame:
@@ -204,7 +204,7 @@ def greedy_map(scores: DataFrame, keys: list[str], left: str, right: str, score:
 def reading_order(boxes: DataFrame, keys: list[str], ident: str, x: str, y: str, height: str, gap: float = 0.5) -> DataFrame:
     """Rows from top to bottom by the running mean of a row's centre, places by x."""
 
-    def fn(pdf: pd.DataFrame) -> list[tuple]:
+    def fn(pdf: dict[str, list]) -> list[tuple]:
         rows: list[list[tuple]] = []
         for v, u, i, h in sorted(zip(pdf[y], pdf[x], pdf[ident], pdf[height], strict=True)):
             if rows and abs(v - fmean(r[1] for r in rows[-1])) <= gap * h:
@@ -213,7 +213,7 @@ def reading_order(boxes: DataFrame, keys: list[str], ident: str, x: str, y: str,
                 rows.append([(u, v, i)])
         return [(b[2], r, k) for r, row in enumerate(rows) for k, b in enumerate(sorted(row, key=lambda b: (b[0], b[2])))]
 
-    return grouped(boxes.select(*keys, ident, x, y, height), keys, fn, f"{ident} {boxes.schema[ident].dataType.simpleString()}, row_no int, place int")
+    return listed(boxes.select(*keys, ident, x, y, height), keys, fn, f"{ident} {boxes.schema[ident].dataType.simpleString()}, row_no int, place int")
 
 
 def consensus(frames: DataFrame, keys: list[str], box: tuple[str, str], label: str, score: str, frame: str, presence: float, near: float) -> DataFrame:

@@ -111,3 +111,18 @@ def test_slot_precedence_is_a_running_end(spark, tmp_path):
     df = reports.j24_slot_precedence(spark, str(tmp_path)).select("id", "direction")
     same(df, by_sql(tmp_path, reports.ORACLES["j24_slot_precedence"], "orders"))
     assert "Join" not in plan_of(df)
+
+
+def test_small_groups_are_lists_also_across_batches(spark):
+    from storeflow.plans import shelf
+
+    data = "/root/testdata/sf0.001"
+    queries = (lambda: matching.k4_reading_order(spark, data), lambda: shelf.m6_slot_matching(spark, data))
+    for q in queries:
+        assert "MapInArrow" in plan_of(q()) and "Pandas" not in plan_of(q())
+        whole = sorted(map(str, q().collect()))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        try:
+            assert sorted(map(str, q().collect())) == whole
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
