@@ -89,24 +89,34 @@ def best_pairs(a: np.ndarray, b: np.ndarray, before: float, after: float) -> lis
 
     An order-preserving optimum exists for equal windows, so a table over prefixes finds it. Row i holds (pairs, -cost) of
     the first i of a with the first j of b, for j from just before the window of a[i - 1] to its end: past the end nothing
-    changes, and before the start it is row i - 1.
+    changes, and before the start it is row i - 1. A row is made by whole-array steps; of past rows only two bits a place
+    are kept, whether it equals the place above and the one to the left.
     """
-    a, b = list(map(float, a)), list(map(float, b))
-    rows, low, high = [[(0, 0.0)]], [0], [0]
-    at = lambda i, j: rows[i][min(j, high[i]) - low[i]]
-    for i, x in enumerate(a, 1):
-        low.append(bisect_left(b, -before, key=lambda v: v - x))
-        high.append(bisect_right(b, after, key=lambda v: v - x))
-        row = [at(i - 1, low[i])]
-        for j in range(low[i] + 1, high[i] + 1):
-            n, c = at(i - 1, j - 1)
-            row.append(max(at(i - 1, j), row[-1], (n + 1, c - abs(b[j - 1] - x))))
-        rows.append(row)
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    times, row, high = b.tolist(), np.zeros(1, complex), 0  # pairs + i * -cost: complex numbers compare by parts, in this order
+    low, width, ups, lefts = [0], [1], [b""], [b""]
+    for x in a.tolist():
+        first, last = bisect_left(times, -before, key=lambda v: v - x), bisect_right(times, after, key=lambda v: v - x)
+        kept = row[min(first, high) - low[-1] :][: last - first + 1]
+        if len(kept) <= last - first:
+            kept = np.concatenate([kept, np.full(last - first + 1 - len(kept), row[-1])])
+        new = kept.copy()
+        paired = kept[:-1] + 1
+        paired.imag -= np.abs(b[first:last] - x)
+        np.maximum(new[1:], paired, out=new[1:])
+        np.maximum.accumulate(new, out=new)
+        ups.append(np.packbits(new == kept).tobytes())
+        lefts.append(np.packbits(new[1:] == new[:-1]).tobytes())
+        low.append(first)
+        width.append(len(new))
+        row, high = new, last
+    bit = lambda bits, k: bits[k >> 3] >> (7 - (k & 7)) & 1
     out, i, j = [], len(a), len(b)
     while i and j:
-        if j <= low[i] or at(i, j) == at(i - 1, j):
+        j = min(j, low[i] + width[i] - 1)
+        if j <= low[i] or bit(ups[i], j - low[i]):
             i -= 1
-        elif at(i, j) == at(i, j - 1):
+        elif bit(lefts[i], j - low[i] - 1):
             j -= 1
         else:
             out.append((i - 1, j - 1))
@@ -114,8 +124,9 @@ def best_pairs(a: np.ndarray, b: np.ndarray, before: float, after: float) -> lis
     return out[::-1]
 
 
-def match_labels(df: DataFrame, keys: list[str], before: float, after: float) -> DataFrame:
-    """Labels with sensor events of one lane and direction by best_pairs. Rows: side (label or sensor), id, at.
+def match_labels(df: DataFrame, keys: list[str], before: float, after: float, keep_time: bool = False) -> DataFrame:
+    """Labels with sensor events of one lane and direction by best_pairs. Rows: side (label or sensor), id, at. keep_time: adds
+    the time of the label, or of the sensor without one, as `at`.
 
     No pair reaches across a pause longer than both windows, so groups end at such pauses.
     """
@@ -130,14 +141,14 @@ def match_labels(df: DataFrame, keys: list[str], before: float, after: float) ->
         pairs = best_pairs(at, bt, before, after)
         la, sb = {i for i, _ in pairs}, {j for _, j in pairs}
         a, b = (list(x[by].itertuples(index=False, name=None)) for x in (a, b))
-        rows = [("matched", *a[i], *b[j], bt[j] - at[i]) for i, j in pairs]
-        rows += [("missed", *x, *none, None) for i, x in enumerate(a) if i not in la]
-        rows += [("ghost", *none, *x, None) for j, x in enumerate(b) if j not in sb]
+        rows = [("matched", *a[i], *b[j], bt[j] - at[i], at[i]) for i, j in pairs]
+        rows += [("missed", *x, *none, None, at[i]) for i, x in enumerate(a) if i not in la]
+        rows += [("ghost", *none, *x, None, bt[j]) for j, x in enumerate(b) if j not in sb]
         return rows
 
     cut = stretches(df, keys, "at", "at", max(before, after), 1000)
     ids = ", ".join(f"{side}_{c} long" for side in ("label", "sensor") for c in by)
-    return grouped(cut, [*keys, "_cut"], fn, f"kind string, {ids}, dt double").drop("_cut")
+    return grouped(cut, [*keys, "_cut"], fn, f"kind string, {ids}, dt double, at double").drop("_cut", *([] if keep_time else ["at"]))
 
 
 def hungarian(score: np.ndarray) -> list[tuple[int, int]]:
@@ -240,16 +251,13 @@ def staged_compare(labels: DataFrame, sensors: DataFrame, pair: str, lane: str,
 
     Rows: pair, lane, direction, id, at, qty. A quantity of n is n units, told apart by label_unit and sensor_unit (from 0).
     """
-    from pyspark.sql import functions as F
+    from ..sources.tables import shared_checkpoint
 
     of = [pair, lane, direction]
     units = lambda df, side: df.select(*of, F.lit(side).alias("side"), "at", "id", F.explode(F.sequence(F.lit(0).cast("long"), (F.greatest("qty", F.lit(1)) - 1).cast("long"))).alias("unit"))
-    both = units(labels, "label").unionByName(units(sensors, "sensor"))
-    first = match_labels(both, of, before, after)
-    hit = first.where("kind = 'matched'")
-    used = lambda side: hit.select(F.lit(side).alias("side"), F.col(f"{side}_id").alias("id"), F.col(f"{side}_unit").alias("unit"))
-    rest = both.join(used("label").unionByName(used("sensor")), ["side", "id", "unit"], "left_anti")
-    second = match_labels(rest.select(pair, direction, "side", "id", "unit", "at"), [pair, direction], before, after)
+    first = shared_checkpoint(match_labels(units(labels, "label").unionByName(units(sensors, "sensor")), of, before, after, keep_time=True))  # decided once, read for both stages
+    rest = first.where("kind <> 'matched'").select(pair, direction, F.when(F.col("kind") == "missed", "label").otherwise("sensor").alias("side"), *[F.coalesce(f"label_{c}", f"sensor_{c}").alias(c) for c in ("id", "unit")], "at")
+    second = match_labels(rest, [pair, direction], before, after)
     again = second.withColumn("kind", F.when(F.col("kind") == "matched", "other_lane").otherwise(F.col("kind")))
     out = [pair, direction, "kind", "label_id", "label_unit", "sensor_id", "sensor_unit", "dt"]
-    return hit.select(out).unionByName(again.select(out))
+    return first.where("kind = 'matched'").select(out).unionByName(again.select(out))
