@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .grouped import grouped
 from .joins import as_of
+from .sweeps import changes
 
 
 def sure_pairs(candidates: DataFrame, keys: list[str], near: str, start: str, far: str, close_cm: float = 15.0, far_cm: float = 30.0) -> DataFrame:
@@ -118,18 +122,56 @@ def restocking(rows: DataFrame, switches: DataFrame, keys: list[str], time: str,
     return got.select(*keys, time, tie, flag.alias("restock"))
 
 
+def same_place(boxes: DataFrame, keys: list[str], frame: str, ident: str, side: float, same: float) -> DataFrame:
+    """(ident, _f): each box with the other frames that show one of IoU over `same` under its keys, repeated for each such box.
+
+    Partitions are sorted by x1 and streamed; what is held is a batch and the rows before it in reach.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    b = boxes.select(*keys, frame, ident, *[F.col(c).cast("double").alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")]).dropna()
+    schema = T.StructType([b.schema[ident], T.StructField("_f", b.schema[frame].dataType)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            new = changes(held, batch, keys)
+            n0 = 0 if held is None or new[0] else held.num_rows
+            group = np.concatenate([np.zeros(n0, np.int64), np.cumsum(new) - new[0]])
+            t = pa.Table.from_batches([held, batch] if n0 else [batch]).combine_chunks()
+            ids, frames, x1, y1, x2, y2 = (t[c].combine_chunks() for c in (ident, frame, "_x1", "_y1", "_x2", "_y2"))
+            of, x1, y1, x2, y2 = (c.to_numpy(zero_copy_only=False) for c in (frames, x1, y1, x2, y2))
+            size, i, k, found, total = (x2 - x1) * (y2 - y1), np.arange(t.num_rows), 0, [], 0
+            while len(i):
+                k += 1
+                i = i[: np.searchsorted(i, t.num_rows - k)]
+                i = i[(group[i] == group[i + k]) & (x1[i + k] < x1[i] + side)]
+                a = i[np.searchsorted(i, n0 - k) :]
+                b = a + k
+                shared = np.maximum(np.minimum(x2[a], x2[b]) - np.maximum(x1[a], x1[b]), 0) * np.maximum(np.minimum(y2[a], y2[b]) - np.maximum(y1[a], y1[b]), 0)
+                hit = (of[a] != of[b]) & (shared > same * (size[a] + size[b] - shared))
+                found.append((a[hit], b[hit]))
+                total += int(hit.sum())
+                if total and (total >= 1 << 17 or not len(i)):
+                    one, other = (np.concatenate(c) for c in zip(*found, strict=True))
+                    found, total = [], 0
+                    one, other = pa.array(np.concatenate([one, other])), pa.array(np.concatenate([other, one]))
+                    yield pa.RecordBatch.from_arrays([ids.take(one), frames.take(other)], schema=arrow)
+            last = np.flatnonzero((group == group[-1]) & (x1 + side > x1[-1]))
+            held = t.slice(last[0] if len(last) else t.num_rows - 1).combine_chunks().to_batches()[0]
+
+    return b.repartition(*keys).sortWithinPartitions(*keys, "_x1").mapInArrow(run, schema)
+
+
 def box_stability(boxes: DataFrame, group: list[str], frame: str, ident: str, cls: str, side: float, same: float = 0.3, moved: float = 0.15) -> DataFrame:
     """For each box (ident) the share of the group's other frames with a box of its class of IoU over `same`, and whether it moved (under `moved`).
 
-    side: no box is longer or higher; boxes meet in cells of this size, each with its neighbours.
+    side: no box is longer; boxes of a group and class are swept by x1, each with those that begin within this reach.
     """
-    cell = lambda c: F.floor(F.col(c) / side)
-    a = boxes.select(*group, frame, ident, cls, "x1", "y1", "x2", "y2", F.explode(F.sequence(cell("x1") - 1, cell("x1") + 1)).alias("_i"), cell("y1").alias("_y")).withColumn("_j", F.explode(F.sequence(F.col("_y") - 1, F.col("_y") + 1)))
-    b = boxes.select(*group, F.col(frame).alias("_f"), cls, *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")], cell("x1").alias("_i"), cell("y1").alias("_j"))
-    width = lambda x: F.greatest(F.least(F.col(f"{x}2"), F.col(f"_{x}2")) - F.greatest(F.col(f"{x}1"), F.col(f"_{x}1")), F.lit(0.0))
-    shared = width("x") * width("y")
-    size = lambda p: (F.col(f"{p}x2") - F.col(f"{p}x1")) * (F.col(f"{p}y2") - F.col(f"{p}y1"))
-    hits = a.join(b, [*group, cls, "_i", "_j"]).where((F.col(frame) != F.col("_f")) & (shared > same * (size("") + size("_") - shared))).groupBy(ident).agg(F.count_distinct("_f").alias("_n"))
+    hits = same_place(boxes, [*group, cls], frame, ident, side, same).groupBy(ident).agg(F.count_distinct("_f").alias("_n"))
     others = boxes.groupBy(*group).agg((F.count_distinct(frame) - 1).alias("_others"))
     share = F.when(F.col("_others") > 0, F.coalesce("_n", F.lit(0)) / F.col("_others")).otherwise(F.lit(0.0))
     return boxes.select(*group, ident).join(hits, ident, "left").join(others, group).select(*group, ident, share.alias("stability"), (share < moved).alias("moved"))

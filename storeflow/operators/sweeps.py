@@ -40,7 +40,7 @@ def swept(left: DataFrame, right: DataFrame, keys: list[str], at: Column, first:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            edges = np.flatnonzero(_changes(held[-1] if held else None, batch, groups)).tolist()
+            edges = np.flatnonzero(changes(held[-1] if held else None, batch, groups)).tolist()
             begin = 0
             for i in edges:
                 held += [batch.slice(begin, i - begin)] if i > begin else []
@@ -66,7 +66,7 @@ def _whole(c):
     return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
 
 
-def _changes(before: pa.RecordBatch | None, batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+def changes(before: pa.RecordBatch | None, batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     """Which rows begin a group."""
     new = np.zeros(batch.num_rows, bool)
     for n in names:
@@ -201,3 +201,42 @@ def latest_visitor(payments: DataFrame, visits: DataFrame, keys: list[str], pay:
     p, v = payments.select(*keys, pay, time), visits.select(*keys, start, visitor).dropna(subset=[start])
     schema = T.StructType([p.schema[pay], T.StructField("payer", v.schema[visitor].dataType), T.StructField("candidates", T.LongType())])
     return swept(p, v, keys, F.col(time), F.col(start), F.col(start) + reach, 2 * reach, fn, schema)
+
+
+def first_near(moments: DataFrame, points: DataFrame, keys: list[str], own: str, start: str, level: str, at: str, value: str, who: str, reach: int, near: float) -> DataFrame:
+    """Moments with `who` of the first point in [start, start + reach] (of equals the smaller who) that is not their own and whose value is
+    under `near` from their level; others are left out.
+
+    Points are dealt to bands of values, a little wider than `near`; a moment goes on in its own band and the two beside it until one fits.
+    """
+    columns = [*keys, *[c for c in moments.columns if c not in keys]]
+
+    def fn(m: pa.Table, p: pa.Table):
+        s, was, me = _np(m, start), _np(m, level), _np(m, own)
+        t, v, w = _np(p, at), _np(p, value), _np(p, who)
+        band, mine = np.floor(v / (1.05 * near)), np.floor(was / (1.05 * near))
+        order = np.lexsort((w, t, band))
+        t, v, w, band = t[order], v[order], w[order], band[order]
+        best = np.full(len(s), -1)
+        for b in np.unique(band).tolist():
+            some = np.flatnonzero(np.abs(mine - b) <= 1)
+            if not len(some):
+                continue
+            x, y = np.searchsorted(band, b, "left"), np.searchsorted(band, b, "right")
+            i, end = x + np.searchsorted(t[x:y], s[some], "left"), x + np.searchsorted(t[x:y], s[some] + reach, "right")
+            while len(some):
+                left = i < end
+                some, i, end = some[left], i[left], end[left]
+                fits = (np.abs(v[i] - was[some]) < near) & (w[i] != me[some])
+                k, j = some[fits], i[fits]
+                o = best[k]
+                first = (o < 0) | (t[j] < t[o]) | ((t[j] == t[o]) & (w[j] < w[o]))
+                best[k[first]] = j[first]
+                some, i, end = some[~fits], i[~fits] + 1, end[~fits]
+        found = best >= 0
+        yield [*(m.filter(pa.array(found))[c] for c in columns), w[best[found]]]
+
+    m = moments.select(*columns).dropna(subset=[own, start, level])
+    p = points.select(*keys, at, value, who).dropna(subset=[at, value, who])
+    schema = T.StructType([*(m.schema[c] for c in columns), p.schema[who]])
+    return swept(m, p, keys, F.col(start), F.col(at) - reach, F.col(at), 2 * reach, fn, schema)

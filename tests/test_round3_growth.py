@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 import random
+import time
 import tracemalloc
+from statistics import median
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from storeflow.operators import matching
+from storeflow.functions import geometry as g
+from storeflow.operators import evaluate, identity, machines, matching, sweeps
+from storeflow.plans import geometry, joins, shelf
+from storeflow.sources import logs
+from storeflow.sources.tables import pieces
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_past_rows_of_the_pair_table_are_bits():
@@ -26,3 +37,26 @@ def test_left_over_units_keep_their_times(spark):
     # id 1 is on two lanes; only the one of lane 0 is matched there
     got = matching.staged_compare(rows((0, 0, "TAKE", 1, 10.0, 1), (0, 1, "TAKE", 1, 50.0, 1)), rows((0, 0, "TAKE", 7, 11.0, 1), (0, 2, "TAKE", 8, 52.0, 1)), "pair", "lane", "direction", 2.0, 8.0)
     assert sorted((r.kind, r.label_id, r.sensor_id, r.dt) for r in got.collect()) == [("matched", 1, 7, 1.0), ("other_lane", 1, 8, 2.0)]
+
+
+def test_boxes_of_any_height_are_swept_once(spark, tmp_path):
+    rng = random.Random(14)
+    boxes = [(rng.choice([1, 2, None]), i, rng.randrange(6), rng.choice(["tin", "jar"]), x, y, x + 6.0, y + rng.choice([3.0, 40.0])) for i in range(300) for x, y in [(float(rng.randrange(20)), float(rng.randrange(12)))]]
+    df = spark.createDataFrame(boxes, "cam long, id long, frame long, cls string, x1 double, y1 double, x2 double, y2 double")
+    want = {}
+    for cam, i, frame, cls, *p in boxes:
+        if cam is None:
+            continue
+        frames = set()
+        for cam2, _, frame2, cls2, *q in boxes:
+            shared = max(min(p[2], q[2]) - max(p[0], q[0]), 0) * max(min(p[3], q[3]) - max(p[1], q[1]), 0)
+            if (cam, cls) == (cam2, cls2) and frame != frame2 and shared > 0.3 * ((p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - shared):
+                frames.add(frame2)
+        want[i] = round(len(frames) / 5, 6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = evaluate.box_stability(df, ["cam"], "frame", "id", "cls", 6.0)
+        assert {r.id: round(r.stability, 6) for r in out.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Generate" not in plan(out)  # no copies of boxes for the cells around them
