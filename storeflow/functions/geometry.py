@@ -6,6 +6,8 @@ keypoints an array of structs of x, y, conf.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,6 +145,26 @@ def distance_to_polygon(poly: Column, x: Column, y: Column) -> Column:
     return F.when(contains_point(poly, x, y), F.lit(0.0)).otherwise(F.array_min(F.transform(edges(poly), lambda e: segment_distance(e, x, y))))
 
 
+def literal_distance(corners: list[tuple[float, float]], x: Column, y: Column) -> Column:
+    """distance_to_polygon for a polygon that is known beforehand, side by side over whole batches."""
+    sides = literal_sides(corners)
+
+    @F.pandas_udf("double")
+    def distance(px: pd.Series, py: pd.Series) -> pd.Series:
+        u, v = px.to_numpy(float), py.to_numpy(float)
+        odd, least = np.zeros(len(u), bool), np.full(len(u), np.inf)
+        for (ax, ay), (bx, by) in sides:
+            dx, dy = bx - ax, by - ay
+            if dy:
+                odd ^= ((ay > v) != (by > v)) & (u < dx * (v - ay) / dy + ax)
+            n = dx * dx + dy * dy
+            t = np.minimum(np.maximum(((u - ax) * dx + (v - ay) * dy) / n, 0.0), 1.0) if n else 0.0
+            least = np.minimum(least, (u - ax - t * dx) ** 2 + (v - ay - t * dy) ** 2)
+        return pd.Series(np.where(odd, 0.0, np.sqrt(least)))
+
+    return distance(x, y)
+
+
 def apply_homography(h: list[float], x: Column, y: Column, w_least: float = 0.0) -> Column:
     """Point mapped by nine row-major coefficients; null where the scale is not positive enough."""
     a, b, c, d, e, f, g, i, j = (F.lit(float(v)) for v in h)

@@ -60,3 +60,13 @@ def test_boxes_of_any_height_are_swept_once(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "Generate" not in plan(out)  # no copies of boxes for the cells around them
+
+
+def test_known_polygons_are_measured_by_batch(spark):
+    rng = random.Random(16)
+    p = spark.createDataFrame([(rng.uniform(-10, 70), rng.uniform(-10, 70)) for _ in range(500)] + [(10.0, 30.0), (40.0, 5.0), (None, 1.0)], "x double, y double")
+    for corners in geometry.ZONES.values():
+        got = p.select(g.literal_distance(corners, F.col("x"), F.col("y")).alias("a"), g.distance_to_polygon(g.points(*corners), F.col("x"), F.col("y")).alias("b")).collect()
+        assert all(r.a is None and r.b is None or abs(r.a - r.b) < 1e-9 for r in got)
+    text = plan(geometry.g5_distance_to_polygon(spark, "/root/testdata/sf0.001"))
+    assert "NestedLoop" not in text and "transform(" not in text
