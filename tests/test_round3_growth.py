@@ -70,3 +70,48 @@ def test_known_polygons_are_measured_by_batch(spark):
         assert all(r.a is None and r.b is None or abs(r.a - r.b) < 1e-9 for r in got)
     text = plan(geometry.g5_distance_to_polygon(spark, "/root/testdata/sf0.001"))
     assert "NestedLoop" not in text and "transform(" not in text
+
+
+def test_a_capture_takes_each_sample_in_few_steps():
+    m, began = machines.LevelCapture(settle=20_000, measure=30_000, gap=5), time.perf_counter()
+    for i in range(50_001):
+        m.feed(i, 300.0 + i * 37 % 7)
+    assert m.result is not None and m.result[0] == 303.0 and m.result[3] > 30_000
+    assert time.perf_counter() - began < 10  # over a minute when each sample reads all before it
+
+
+def test_captures_like_plain_lists():
+    def plain(rows, settle, measure, spread):
+        raw, calm, kept, begun = [], [], [], None
+        for t, v in rows:
+            raw = [*raw, v][-5:]
+            if len(raw) < 3:
+                continue
+            m = median(raw)
+            calm = [(u, x) for u, x in [*calm, (t, m)] if t - u <= settle]
+            seen = [x for _, x in calm]
+            if begun is None:
+                if max(seen) - min(seen) <= spread and t - calm[0][0] >= 0.95 * settle and len(seen) >= 8:
+                    begun, kept = t, [m]
+            elif abs(m - median(kept)) > 1.5 * spread:
+                begun, calm, kept = None, [(t, m)], []
+            else:
+                kept.append(m)
+                if t - begun >= measure and len(kept) >= 15:
+                    k = len(kept) * 2 // 100
+                    return median(kept), sorted(kept)[k], sorted(kept)[-1 - k], len(kept)
+        return None
+
+    rng = random.Random(17)
+    found = 0
+    for _ in range(200):
+        level, rows = 100.0, []
+        for i in range(200):
+            level += rng.choice([-20, 20]) if rng.random() < 0.02 else 0
+            rows.append((i * 2, level + rng.randrange(5)))
+        m = machines.LevelCapture(settle=40, measure=60, spread=4.0, gap=10)
+        for row in rows:
+            m.feed(*row)
+        assert m.result == plain(rows, 40, 60, 4.0)
+        found += m.result is not None
+    assert 20 < found
