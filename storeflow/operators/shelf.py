@@ -7,6 +7,7 @@ from statistics import median
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import pieces
 from .grouped import grouped, listed
 
 
@@ -132,5 +133,5 @@ def hand_samples(actions: DataFrame, samples: DataFrame, keys: list[str], reach:
 def convert_boxes(boxes: DataFrame, width: Column, height: Column, classes: DataFrame) -> DataFrame:
     """Annotated boxes (name, file, x, y, w, h) as normalised rows; unknown classes and clashing file names go, first wins."""
     w = Window.partitionBy("file").orderBy("source")
-    first = boxes.withColumn("_s", F.first("source").over(w)).where(F.col("source") == F.col("_s")).drop("_s")
+    first = boxes.repartition(pieces(boxes), "file").withColumn("_s", F.first("source").over(w)).where(F.col("source") == F.col("_s")).drop("_s")
     return first.join(classes, "name").select("file", "cls", ((F.col("x") + F.col("w") / 2) / width).alias("cx"), ((F.col("y") + F.col("h") / 2) / height).alias("cy"), (F.col("w") / width).alias("bw"), (F.col("h") / height).alias("bh"))

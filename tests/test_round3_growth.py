@@ -115,3 +115,8 @@ def test_captures_like_plain_lists():
         assert m.result == plain(rows, 40, 60, 4.0)
         found += m.result is not None
     assert 20 < found
+
+
+def test_tasks_grow_in_number_with_the_rows(spark):
+    assert [pieces(spark.range(n), 10) for n in (0, 40, 41, 1000)] == [4, 4, 5, 100]
+    assert "REPARTITION_BY_NUM" in plan(shelf.d9_convert_boxes(spark, "/root/testdata/sf0.001"))
