@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import shelf as sh
 from ..operators import shelfwatch as sw
-from ..sources.tables import HOUR, OBS_SQL, observations, table
+from ..sources.tables import HOUR, OBS_SQL, observations, pieces, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -57,7 +57,9 @@ def a16_weak_presence(spark, d):
     """Whether a line's box shows, at least faintly, in three of ten of its customer's orders."""
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     x, y = F.col("l_quantity").cast("double"), F.col("l_discount").cast("double") * 100
-    b = li.join(o, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("shelf"), F.col("o_orderkey").alias("frame"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("slot"), x.alias("x1"), (x + 20).alias("x2"), y.alias("y1"), (y + 20).alias("y2"), F.col("l_tax").cast("double").alias("score"))
+    n = pieces(li)
+    b = li.repartition(n, "l_orderkey").join(o, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("shelf"), F.col("o_orderkey").alias("frame"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("slot"), x.alias("x1"), (x + 20).alias("x2"), y.alias("y1"), (y + 20).alias("y2"), F.col("l_tax").cast("double").alias("score"))
+    b = b.repartition(n, "shelf")
     return sw.weak_presence(b, b, ["shelf"], "slot", "frame")
 
 

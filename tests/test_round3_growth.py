@@ -120,3 +120,8 @@ def test_captures_like_plain_lists():
 def test_tasks_grow_in_number_with_the_rows(spark):
     assert [pieces(spark.range(n), 10) for n in (0, 40, 41, 1000)] == [4, 4, 5, 100]
     assert "REPARTITION_BY_NUM" in plan(shelf.d9_convert_boxes(spark, "/root/testdata/sf0.001"))
+
+
+def test_shelves_are_dealt_by_the_number_of_lines(spark):
+    text = plan(shelf.a16_weak_presence(spark, "/root/testdata/sf0.001"))
+    assert text.count("REPARTITION_BY_NUM") >= 4 and "ENSURE_REQUIREMENTS" in text
