@@ -135,10 +135,9 @@ def fit_homography(pairs: np.ndarray) -> np.ndarray:
     a, b = scaled(src), scaled(dst)
     one = np.ones((len(pairs), 1))
     p, q = (np.hstack([src, one]) @ a.T), (np.hstack([dst, one]) @ b.T)
-    rows = []
-    for (x, y, w), (u, v, _) in zip(p, q, strict=True):
-        rows += [[-x, -y, -w, 0, 0, 0, u * x, u * y, u * w], [0, 0, 0, -x, -y, -w, v * x, v * y, v * w]]
-    _, values, vt = np.linalg.svd(np.array(rows))
+    zero = np.zeros_like(p)
+    rows = np.vstack([np.hstack([-p, zero, q[:, :1] * p]), np.hstack([zero, -p, q[:, 1:2] * p])])
+    _, values, vt = np.linalg.svd(np.linalg.qr(rows, mode="r"))  # nine rows at most, with the singular values and directions of all
     if len(values) > 7 and values[7] < 1e-9:
         raise ValueError("the points are degenerate")
     h = np.linalg.inv(b) @ vt[-1].reshape(3, 3) @ a

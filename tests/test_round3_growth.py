@@ -125,3 +125,17 @@ def test_tasks_grow_in_number_with_the_rows(spark):
 def test_shelves_are_dealt_by_the_number_of_lines(spark):
     text = plan(shelf.a16_weak_presence(spark, "/root/testdata/sf0.001"))
     assert text.count("REPARTITION_BY_NUM") >= 4 and "ENSURE_REQUIREMENTS" in text
+
+
+def test_a_plane_of_many_points_needs_no_square_matrix():
+    rng = np.random.default_rng(21)
+    x, y = rng.uniform(0, 50, 3000), rng.uniform(0, 30, 3000)
+    w = 0.001 * x + 0.002 * y + 1
+    pairs = np.column_stack([x, y, (1.1 * x + 0.2 * y + 3) / w, (0.9 * y - 0.1 * x + 2) / w])
+    tracemalloc.start()
+    h = identity.fit_homography(pairs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(h, [1.1, 0.2, 3, -0.1, 0.9, 2, 0.001, 0.002, 1], atol=1e-7)
+    assert np.allclose(identity.fit_homography(pairs[:4]), h, atol=1e-6)
+    assert peak < 20_000_000  # the full left side alone is 6000 by 6000
