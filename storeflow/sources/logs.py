@@ -61,13 +61,14 @@ def parse_event_lines(lines: DataFrame, text: str = "value") -> DataFrame:
     """
     rest = [F.col(c) for c in lines.columns if c != text]
     cut = F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+", 6)
-    f = lines.select(*rest, *[F.get(cut, F.lit(i)).alias(f"_{n}") for i, n in enumerate(EVENT_FIELDS)])
+    f = lines.select(*rest, F.explode(F.array(cut)).alias("_cut"))  # a row of its own, so that a line is cut once and not again for each field and filter
+    f = f.select(*rest, *[F.get("_cut", F.lit(i)).alias(f"_{n}") for i, n in enumerate(EVENT_FIELDS)])
     for name, form in EVENT_FIELDS.items():
         f = f.where(F.col(f"_{name}").rlike(f"^(?:{form})$"))
-    clock, change = F.split("_time", ":"), F.split("_change", "→")
-    at = (clock[0].cast("long") * 60 + clock[1].cast("long")) * 60 + clock[2].cast("long")
+    hours, minutes, seconds = (F.substring("_time", i, 2).cast("long") for i in (1, 4, 7))
+    at = (hours * 60 + minutes) * 60 + seconds
     return f.select(
-        *rest, at.alias("at_sec"), F.col("_lane").alias("lane"), F.col("_event").alias("event"), change[0].try_cast("int").alias("before"), change[1].try_cast("int").alias("after"),
+        *rest, at.alias("at_sec"), F.col("_lane").alias("lane"), F.col("_event").alias("event"), F.substring_index("_change", "→", 1).try_cast("int").alias("before"), F.substring_index("_change", "→", -1).try_cast("int").alias("after"),
         F.col("_distance").try_cast("double").alias("distance_mm"), F.coalesce(F.trim(F.get(F.split("_text", "/"), F.lit(1))), F.lit("")).alias("product"),
     )
 

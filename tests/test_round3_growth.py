@@ -155,3 +155,8 @@ def test_births_are_found_without_pairs(spark):
             want.append((i, min(near)[1]))
     assert sorted((r.event_id, r.born) for r in got.collect()) == sorted(want) and len(want) > 100
     assert "Join" not in plan(joins.j9_jump_and_birth(spark, "/root/testdata/sf0.001"))
+
+
+def test_lines_are_cut_once(spark):
+    text = logs.parse_event_lines(spark.createDataFrame([("10:00:00  L1  ADD  1→2  -  a / b",)], "value string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_replace") == 1
