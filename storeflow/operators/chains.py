@@ -6,12 +6,14 @@ Each is a machine over a key's moments in order, which holds a state as large as
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from statistics import median
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .grouped import stepped
+from .grouped import _batch, stepped
 from .matching import hungarian
 
 LINKS = "near long, far long, score double, position double, appearance double"
@@ -112,6 +114,16 @@ def changed_part(a: np.ndarray, b: np.ndarray, level: float = 0.6) -> float:
     return float((np.abs(a - b) > level).mean())
 
 
+def changed_parts(a: list[np.ndarray], b: list[np.ndarray], level: float) -> list[float]:
+    """changed_part of each pair, at once where all looks are as long."""
+    if len({len(x) for x in a}) > 1:
+        return [changed_part(x, y, level) for x, y in zip(a, b, strict=True)]
+    x, n = np.array(a + b), len(a[0])
+    x -= np.add.reduce(x, 1, keepdims=True) / n
+    x /= np.sqrt(np.add.reduce(x * x, 1, keepdims=True) / n) + 1e-6
+    return (np.add.reduce(np.abs(x[: len(a)] - x[len(a) :]) > level, 1) / n).tolist()
+
+
 @dataclass
 class Slot:
     reference: np.ndarray | None = None
@@ -142,7 +154,9 @@ class SlotEpisodes:
         """shown: (slot, hidden, look, edges) of one frame. Episodes that end here."""
         out, again, looks = [], [], {}
         for name, hidden, look, edges in shown:
-            s = self.slots.setdefault(name, Slot())
+            s = self.slots.get(name)
+            if s is None:
+                s = self.slots[name] = Slot()
             look = np.asarray(look, float)
             if s.reference is not None and len(s.reference) == len(look):
                 looks[name] = look
@@ -159,13 +173,15 @@ class SlotEpisodes:
                 out.append((name, s.hidden_from, t, "no_reference", None, None, False, None, None))
             s.reference, s.edges, s.hidden_from = look, edges, None
             looks.pop(name, None)
-        before = {n: s.reference for n, s in self.slots.items()}
-        differ = {n: changed_part(before[n], look, self.level) for n, look in looks.items()} if again else {}
+        if not again:
+            return out
+        differ = dict(zip(looks, changed_parts([self.slots[n].reference for n in looks], list(looks.values()), self.level), strict=True)) if looks else {}
+        renewed = [n for n in dict.fromkeys(x for x, *_ in shown) if n not in differ]  # this very moment, if they have a reference
         for name, s, look, edges in again:
             ratio = differ[name] if name in differ else 1.0
             rest = [v for n, v in differ.items() if n != name]
-            rest += [0.0 for n in {x for x, *_ in shown} - set(differ) - {name} if self.slots[n].reference is not None]  # renewed this very moment
-            baseline = float(np.median(rest)) if rest else 0.0
+            rest += [0.0 for n in renewed if n != name and self.slots[n].reference is not None]
+            baseline = float(median(rest)) if rest else 0.0
             changed = ratio >= self.part and ratio - baseline >= self.margin
             by_edges = edges / max(s.edges, 1e-6)
             out.append((name, s.hidden_from, t, "compared", ratio, baseline, changed, self._direction(name, s, look, by_edges) if changed else None, by_edges if changed else None))
@@ -182,8 +198,43 @@ class SlotEpisodes:
         return [(n, s.hidden_from, t, "unfinished", None, None, False, None, None) for n, s in self.slots.items() if s.hidden_from is not None]
 
 
-def slot_episodes(frames: DataFrame, keys: list[str], time: str, end: int, **params) -> DataFrame:
-    """Episodes of every shelf from rows (keys, time, slot, hidden, look: array of numbers, edges); end: when the recording ends."""
-    row = F.struct("slot", "hidden", "look", F.col("edges").cast("double"))
-    moments = frames.groupBy(*keys, time).agg(F.array_sort(F.collect_list(row)).alias("shown"))
-    return stepped(moments, keys, [time], lambda: SlotEpisodes(**params), lambda m, t, rows: m.moment(t, [tuple(r.values()) for r in rows]), lambda m: m.finish(end), EPISODES)
+def slot_episodes(frames: DataFrame, keys: list[str], time: str, shown: Column, end: int, **params) -> DataFrame:
+    """Episodes of every shelf from frames (keys, time, and what `shown` needs); end: when the recording ends.
+
+    shown: the frame's array of (slot, hidden, look: array of numbers, edges). It is worked out after frames are dealt and
+    sorted, so that looks are neither shuffled nor sorted. Frames of one moment are taken together.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = T.StructType([frames.schema[k] for k in keys] + T._parse_datatype_string(EPISODES).fields)
+    arrow = to_arrow_schema(out)
+    order = lambda r: tuple((x is not None, x) for x in (r[0], r[1], r[2].tolist(), r[3]))
+
+    def run(batches):
+        head, machine, held = None, None, []  # held: what the frames of one moment show
+
+        def moment():
+            return [head[:-1] + tuple(r) for r in machine.moment(head[-1], held[0] if len(held) == 1 else sorted((r for rows in held for r in rows), key=order))]
+
+        for batch in batches:
+            made = []
+            lists = batch.column("_shown")
+            slots, begin = lists.values, lists.offsets.to_pylist()
+            looks = slots.field(2)
+            values, cuts = looks.values.to_numpy(zero_copy_only=False), looks.offsets.to_pylist()
+            rows = list(zip(slots.field(0).to_pylist(), slots.field(1).to_pylist(), [values[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], slots.field(3).to_pylist(), strict=True))
+            for k, at in enumerate(zip(*(batch.column(c).to_pylist() for c in [*keys, time]), strict=True)):
+                if at != head:
+                    if held:
+                        made += moment()
+                    if head is None or at[:-1] != head[:-1]:
+                        made += [head[:-1] + tuple(r) for r in machine.finish(end)] if machine else []
+                        machine = SlotEpisodes(**params)
+                    head, held = at, []
+                held.append(rows[begin[k] : begin[k + 1]])
+            yield _batch(made, arrow)
+        if held:
+            yield _batch(moment() + [head[:-1] + tuple(r) for r in machine.finish(end)], arrow)
+
+    dealt = frames.repartition(*keys).sortWithinPartitions(*keys, time)
+    return dealt.select(*keys, time, F.sort_array(shown).alias("_shown")).mapInArrow(run, out)

@@ -61,12 +61,14 @@ def st16_lane_leases(spark, d):
 def st11_slot_episodes(spark, d):
     """Five slots of each user's shelf, seen at every event; every fifth look hides some of them. Looks are compared with looks: no SQL form."""
     o = observations(spark, d)
-    k = F.col("slot_no")
-    base = F.pmod(F.col("person_id") * 7 + k * 13 + F.floor(F.col("ms") / (96 * HOUR)) * F.when(k < 3, 1).otherwise(0), F.lit(5))
-    look = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.pmod((i + 1) * (base + 2), F.lit(7)).cast("double") + F.col("value") / 1000)
-    f = o.withColumn("slot_no", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("person_id", "ms", F.concat(F.lit("slot "), k.cast("string")).alias("slot"), ((F.col("zone") == "error") & (F.pmod(F.col("event_id") + k, F.lit(3)) > 0)).alias("hidden"), look.alias("look"), (base + 1).alias("edges"))
+    base = lambda k: F.pmod(F.col("person_id") * 7 + k * 13 + F.floor(F.col("ms") / (96 * HOUR)) * int(k < 3), F.lit(5))
+    o = o.withColumns({f"base{k}": base(k) for k in range(5)}).withColumn("light", F.col("value") / 1000)  # shuffled with the frame, so worked out once
+    looks = F.lit([[float((i + 1) * (b + 2) % 7) for i in range(24)] for b in range(5)])
+    look = lambda k: F.transform(F.coalesce(F.get(looks, F.col(f"base{k}").cast("int")), F.array_repeat(F.lit(None).cast("double"), 24)), lambda x: x + F.col("light"))
+    hidden = lambda k: (F.col("zone") == "error") & (F.pmod(F.col("event_id") + k, F.lit(3)) > 0)
+    shown = F.array(*[F.struct(F.lit(f"slot {k}").alias("slot"), hidden(k).alias("hidden"), look(k).alias("look"), (F.col(f"base{k}") + 1).cast("double").alias("edges")) for k in range(5)])
     end = o.agg(F.max("ms")).first()[0]  # one number
-    return ch.slot_episodes(f, ["person_id"], "ms", end, stable=6 * HOUR)
+    return ch.slot_episodes(o, ["person_id"], "ms", shown, end, stable=6 * HOUR)
 
 
 @query()

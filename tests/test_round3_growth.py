@@ -11,8 +11,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from storeflow.functions import geometry as g
+from storeflow.operators import chains as ch
 from storeflow.operators import evaluate, identity, machines, matching, sweeps
-from storeflow.plans import geometry, joins, shelf
+from storeflow.plans import chains, geometry, joins, shelf
 from storeflow.sources import logs
 from storeflow.sources.tables import pieces
 
@@ -160,3 +161,16 @@ def test_births_are_found_without_pairs(spark):
 def test_lines_are_cut_once(spark):
     text = logs.parse_event_lines(spark.createDataFrame([("10:00:00  L1  ADD  1→2  -  a / b",)], "value string"))._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("regexp_replace") == 1
+
+
+def test_looks_are_not_shuffled(spark):
+    text = plan(chains.st11_slot_episodes(spark, "/root/testdata/sf0.001"))
+    above, below = text.split("Exchange hashpartitioning", 1)
+    assert "transform(" in above and "transform(" not in below and "collect_list" not in text
+
+
+def test_looks_differ_alike_one_by_one_and_together():
+    rng = np.random.default_rng(18)
+    for sizes in ([24] * 5, [8, 24]):
+        a, b = ([rng.integers(0, 7, n) + 0.01 for n in sizes] for _ in range(2))
+        assert ch.changed_parts(a, b, 0.6) == [ch.changed_part(x, y, 0.6) for x, y in zip(a, b, strict=True)]
