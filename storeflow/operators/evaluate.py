@@ -13,6 +13,39 @@ from .joins import as_of
 from .sweeps import changes
 
 
+def _several(candidates: DataFrame, keys: list[str], near: str, start: str, far: str, *more: Column, close_cm: float = 15.0, far_cm: float = 30.0) -> DataFrame:
+    """(keys, near, start, _mark, _seen, more): windows of several candidates with samples. _mark: start and the one that can be
+    meant, or null; _seen: all candidates; more: aggregates over these. Windows of one candidate end here, before any list is made.
+    A candidate that may be close, as points or their distance are unknown, is not far away either."""
+    on = [*keys, near, start]
+    live = F.col("samples") > 0
+    c = candidates.withColumn("_n", F.count_if(live).over(Window.partitionBy(*on))).where("_n >= 2")
+    c = c.withColumn("_close", live & (F.col("points") >= 2) & (F.col("point_gap") <= close_cm))
+    apart = F.count_if(live & ~F.col("_close") & (F.col("floor_gap") >= far_cm))
+    mark = F.when((F.count_if("_close") == 1) & (apart == F.max("_n") - 1), F.struct(F.col(start).alias("at"), F.max(F.when(F.col("_close"), F.col(far))).alias("sure")))
+    return c.groupBy(*on).agg(mark.alias("_mark"), F.collect_set(far).alias("_seen"), *more)
+
+
+def _named(windows: DataFrame, keys: list[str], near: str, start: str) -> DataFrame:
+    """Windows of `_several` that name somebody: sure by their own mark, carried by the nearest one (ties: the earlier) that is not of an unknown."""
+    rising, falling = (Window.partitionBy(*keys, near).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(start), F.desc(start)))
+    known = F.when(F.col("_mark.sure").isNotNull(), F.col("_mark"))
+    n = windows.withColumn("_b", F.last(known, ignorenulls=True).over(rising)).withColumn("_a", F.last(known, ignorenulls=True).over(falling))
+    pick = F.when(F.col("_a").isNull() | (F.col(start) - F.col("_b.at") <= F.col("_a.at") - F.col(start)), F.col("_b")).otherwise(F.col("_a"))
+    n = n.withColumn("sure", F.coalesce("_mark", pick)["sure"])
+    return n.withColumn("kind", F.when(F.col("_mark").isNotNull(), "sure").when(F.array_contains("_seen", F.col("sure")), "carried")).where("kind is not null").drop("_mark", "_seen", "_b", "_a")
+
+
+def judged_windows(candidates: DataFrame, keys: list[str], near: str, start: str, far: str, *more: Column) -> DataFrame:
+    """(keys, near, start, more, sure, kind): `sure_pairs` and `carried_pairs` of the candidates as kinds sure and carried, with
+    more aggregates over each window's candidates; windows without a key or a start are left out.
+
+    Candidates are read once, and not shuffled again where they come dealt by window; only windows of several candidates go on
+    to the near person's order of time.
+    """
+    return _named(_several(candidates, keys, near, start, far, *more), keys, near, start).dropna(subset=[*keys, near, start])
+
+
 def sure_pairs(candidates: DataFrame, keys: list[str], near: str, start: str, far: str, close_cm: float = 15.0, far_cm: float = 30.0) -> DataFrame:
     """(keys, near, start, sure): windows in which only one of several candidates can be meant.
 
@@ -20,35 +53,28 @@ def sure_pairs(candidates: DataFrame, keys: list[str], near: str, start: str, fa
     floor_gap (a lower bound of the distance). One candidate alone is within `close_cm` by two points at least, and every other
     one is `far_cm` away or more.
     """
-    live = candidates.where("samples > 0")
-    by = Window.partitionBy(*keys, near, start)
-    is_close = F.coalesce((F.col("points") >= 2) & (F.col("point_gap") <= close_cm), F.lit(False))
-    c = live.withColumn("_close", is_close).withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_k", F.count_if(F.col("_close")).over(by))
-    c = c.withColumn("_apart", F.count_if(~F.col("_close") & (F.col("floor_gap") >= far_cm)).over(by))
-    return c.where("_close and _n >= 2 and _k = 1 and _apart = _n - 1").select(*keys, near, start, F.col(far).alias("sure"))
+    return _several(candidates, keys, near, start, far, close_cm=close_cm, far_cm=far_cm).where("_mark is not null").select(*keys, near, start, "_mark.sure")
 
 
 def carried_pairs(candidates: DataFrame, sure: DataFrame, keys: list[str], near: str, start: str, far: str) -> DataFrame:
     """(keys, near, start, sure) of the other windows with several candidates: whom the nearest sure window of the near person
     names (ties: the earlier), if that person is a candidate now."""
-    many = candidates.where("samples > 0").groupBy(*keys, near, start).count().where("count >= 2").drop("count")
-    rest = many.join(sure.select(*keys, near, start), [*keys, near, start], "left_anti")
-    marks = sure.select(*keys, near, F.col(start).alias("_at"), "sure")
-    w = Window.partitionBy(*keys, near).orderBy("_t", "_mark")
-    both = marks.select(*keys, near, F.col("_at").alias("_t"), F.lit(0).alias("_mark"), F.struct("_at", "sure").alias("_m")).unionByName(rest.select(*keys, near, F.col(start).alias("_t"), F.lit(1).alias("_mark"), F.lit(None).cast(marks.select(F.struct("_at", "sure")).schema[0].dataType).alias("_m")))
-    falling = Window.partitionBy(*keys, near).orderBy(F.desc("_t"), F.desc("_mark"))
-    before, after = (F.last("_m", ignorenulls=True).over(x.rowsBetween(Window.unboundedPreceding, 0)) for x in (w, falling))
-    n = both.withColumn("_b", before).withColumn("_a", after).where("_mark = 1")
-    pick = F.when(F.col("_a").isNull() | (F.col("_t") - F.col("_b._at") <= F.col("_a._at") - F.col("_t")), F.col("_b")).otherwise(F.col("_a"))
-    found = n.withColumn("_p", pick).where("_p is not null").select(*keys, near, F.col("_t").alias(start), F.col("_p.sure").alias("sure"))
-    seen = candidates.select(*keys, near, start, F.col(far).alias("sure")).distinct()
-    return found.join(seen, [*keys, near, start, "sure"], "left_semi")
+    on = [*keys, near, start]
+    marks = sure.select(*on, F.struct(F.col(start).alias("at"), "sure").alias("_mark"))
+    both = _several(candidates, keys, near, start, far).drop("_mark").unionByName(marks, allowMissingColumns=True)
+    both = both.groupBy(*on).agg(F.first("_mark", ignorenulls=True).alias("_mark"), F.first("_seen", ignorenulls=True).alias("_seen"))
+    return _named(both, keys, near, start).where("kind = 'carried'").dropna(subset=on).select(*on, "sure")
+
+
+def link_counts(judged: DataFrame, got: str, by: list[str]) -> DataFrame:
+    """Windows whose link is right, another person's (wrong), or missing (none), by what is sure there."""
+    g, s = F.col(got), F.col("sure")
+    return judged.groupBy(*by).agg(F.count_if(g == s).alias("right"), F.count_if(g != s).alias("wrong"), F.count_if(g.isNull()).alias("none"))
 
 
 def score_links(links: DataFrame, reference: DataFrame, keys: list[str], near: str, start: str, far: str, by: list[str]) -> DataFrame:
     """Windows of the reference whose link is right, another person's (wrong), or missing (none)."""
-    j = reference.join(links.select(*keys, near, start, F.col(far).alias("_got")), [*keys, near, start])
-    return j.groupBy(*by).agg(F.count_if(F.col("_got") == F.col("sure")).alias("right"), F.count_if(F.col("_got") != F.col("sure")).alias("wrong"), F.count_if(F.col("_got").isNull()).alias("none"))
+    return link_counts(reference.join(links.select(*keys, near, start, F.col(far).alias("_got")), [*keys, near, start]), "_got", by)
 
 
 def label_outcomes(labels: DataFrame, episodes: DataFrame, keys: list[str], window: int) -> DataFrame:

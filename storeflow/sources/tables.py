@@ -31,9 +31,13 @@ def order_intervals(spark: SparkSession, d: str) -> DataFrame:
 ORDERS_SQL = "iv AS (SELECT o_orderkey AS id, o_custkey AS key, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS s, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) + 3 + o_orderkey % 7 AS e, o_totalprice AS price FROM orders)"
 
 
-def pieces(df: DataFrame, rows: int = 1 << 18) -> int:
-    """Tasks of about `rows` rows each for df, so that none sorts more when the table grows; Parquet's footers give the count."""
-    return max(-(-df.count() // rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def pieces(df: DataFrame, rows: int = 1 << 18, least: int | None = None) -> int:
+    """Tasks of about `rows` rows each for df, so that none sorts more when the table grows; Parquet's footers give the count.
+
+    At least `least`, else Spark's shuffle partitions. Where another shuffle follows, fewer are better: each task writes a file
+    a partition there, however few its rows.
+    """
+    return max(-(-df.count() // rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if least is None else least)
 
 
 def shared_root(spark: SparkSession) -> str:
