@@ -49,10 +49,13 @@ def staged_episodes(obs: DataFrame, keys: list[str], time: str, tie: str, qualif
 
 
 def coalesce_intervals(iv: DataFrame, keys: list[str], start: str, end: str, gap: int = 0) -> DataFrame:
-    """Merge while a start is at most the running maximum end plus `gap`."""
-    w = _by(keys, start, end)
+    """Merge while a start is at most the running maximum end plus `gap`. Unknown starts and ends come last and merge with nothing by themselves."""
+    w = _by(keys, F.asc_nulls_last(start), F.asc_nulls_last(end))
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = islands(iv, keys, [start, end], F.col(start) > reach + gap)
+    d = iv.withColumn("_new", F.when(F.col(start) <= reach + gap, 0).otherwise(1))
+    equals, each = F.sum("_new").over(w), F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # equal intervals that reach themselves are one run, in whatever order they come; others all begin one, or none does
+    runs = d.withColumn("island", F.when(F.col(start) <= F.col(end) + gap, equals).otherwise(each))
     return runs.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("merged")).drop("island")
 
 

@@ -25,7 +25,7 @@ def order_intervals(spark: SparkSession, d: str) -> DataFrame:
     """orders as intervals of days: id, key (customer), s, e: open for 3 to 9 days from the order date."""
     o = table(spark, d, "orders")
     day = F.datediff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date")).cast("bigint")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key"), day.alias("s"), (day + 3 + F.pmod(F.col("o_orderkey"), F.lit(7))).alias("e"), F.col("o_totalprice").alias("price"))
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key"), day.alias("s"), (day + 3 + F.col("o_orderkey") % 7).alias("e"), F.col("o_totalprice").alias("price"))
 
 
 ORDERS_SQL = "iv AS (SELECT o_orderkey AS id, o_custkey AS key, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS s, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) + 3 + o_orderkey % 7 AS e, o_totalprice AS price FROM orders)"
